@@ -41,17 +41,17 @@ _VS = "array(4D, 3D, 3D, 8D, 8D, 8D, 8D, 8D, 8D, 8D, 4D, 8D)"
 
 def _objects(df: DataFrame) -> DataFrame:
     """Positions of the objects `e` of each frame: people 0-21 and the ball 22, at its holder `h`."""
-    df = df.withColumn("h", F.expr(
-        "cast(if(e < 22, e, if(ph <= 1, 11, 0) + if(ph = 1, 10, 9)) as int)"))
-    df = df.withColumn("i", F.col("h") % 11).withColumn("_k", F.expr("ph + 6 * (h div 11)").cast("int"))
-    u = F.expr(f"if(i = 0, -50D, {_UB}[_k] + {_US}[_k] * ((i - 1) div 4))")
-    v = F.expr(f"if(i = 0, 0D, {_VB}[_k] + {_VS}[_k] * (2 * ((i - 1) % 4) - 3))")
-    df = df.withColumn("_u", u).withColumn("_v", v)
-    side = "if(h < 11, 1D, -1D)"
-    px = F.expr(f"{side} * _u + ((ck * (h + 1)) % 29 - 14) / 100D + if(e = 22, 0.5D, 0D)")
-    py = F.expr(f"if(e = 22 and ph = 5, 40D, {side} * _v + ((ck * (h + 2)) % 29 - 14) / 100D)")
-    flip = F.expr("if(period = 2, -1D, 1D)")
-    return df.withColumn("x", flip * px).withColumn("y", flip * py).withColumn("_ball", F.col("e") == 22)
+    base = ["match_id", "frame_idx", "period", "timestamp", "ph", "ck", "e"]
+    df = df.selectExpr(*base, "cast(if(e < 22, e, if(ph <= 1, 11, 0) + if(ph = 1, 10, 9)) as int) as h")
+    df = df.selectExpr(*base, "h", "h % 11 as i", "ph + 6 * cast(h div 11 as int) as k")
+    df = df.selectExpr(
+        *base, "h", "i", f"if(i = 0, -50D, {_UB}[k] + {_US}[k] * ((i - 1) div 4)) as u",
+        f"if(i = 0, 0D, {_VB}[k] + {_VS}[k] * (2 * ((i - 1) % 4) - 3)) as v")
+    side, flip = "if(h < 11, 1D, -1D)", "if(period = 2, -1D, 1D)"
+    return df.selectExpr(
+        *base, "i", "e = 22 as _ball",
+        f"{flip} * ({side} * u + ((ck * (h + 1)) % 29 - 14) / 100D + if(e = 22, 0.5D, 0D)) as x",
+        f"{flip} * if(e = 22 and ph = 5, 40D, {side} * v + ((ck * (h + 2)) % 29 - 14) / 100D) as y")
 
 
 def _rows(df: DataFrame) -> DataFrame:
@@ -93,10 +93,10 @@ TRACK_COLUMNS = ["match_id", "frame_idx", "period", "timestamp", "track_id", "ro
 
 
 def as_tracks(df: DataFrame) -> DataFrame:
-    df = (df.withColumn("speed", F.lit(None).cast("double")).withColumn("accel", F.lit(None).cast("double"))
-          .withColumn("interpolated", F.lit(False)).withColumn("live_wide", F.lit(True))
-          .withColumn("shot", F.lit(0)))
-    return df.select(*TRACK_COLUMNS, *[c for c in ("ph", "ck", "e", "i") if c in df.columns])
+    extra = {"speed": "cast(null as double)", "accel": "cast(null as double)", "interpolated": "false",
+             "live_wide": "true", "shot": "0"}
+    return df.selectExpr(*[f"{extra[c]} as {c}" if c in extra else c for c in TRACK_COLUMNS],
+                         "ph", "ck", "e", "i")
 
 
 def tracks_wide(spark, sf_dir) -> DataFrame:
@@ -138,6 +138,28 @@ def pred(spark, sf_dir) -> DataFrame:
     return t.withColumn("bbox_x", F.col("bbox_x") + 4.0 * (F.col("ck") % 7).cast("double"))
 
 
+def pairs(spark, sf_dir, gate: float) -> DataFrame:
+    """Ground truth paired with its own prediction, as far as the gate allows."""
+    g = as_tracks(people(spark, sf_dir)).filter((F.col("ck") + F.col("e")) % 9 != 0)
+    swapped = F.when(F.col("team") == HOME, AWAY).otherwise(HOME)
+    d = (F.col("ck") % 7).cast("double") / 2.0
+    return g.filter(d <= gate).select(
+        "match_id", "frame_idx", F.col("track_id").alias("gt_track"), F.col("track_id").alias("pred_track"),
+        F.col("role").alias("gt_role"),
+        F.when((F.col("ck") + F.col("e")) % 13 == 0, "referee").otherwise(F.col("role")).alias("pred_role"),
+        F.col("team").alias("gt_team"),
+        F.when((F.col("ck") + F.col("e")) % 31 == 0, swapped).otherwise(F.col("team")).alias("pred_team"),
+        d.alias("dist"))
+
+
+def sensor_readings(spark, sf_dir) -> DataFrame:
+    """Position readings of the home side, near every second frame and up to 0.08 s off it."""
+    p = as_tracks(people(spark, sf_dir)).filter((F.col("e") < 11) & (F.col("frame_idx") % 2 == 0))
+    off = (F.col("ck") % 9 - 4).cast("double") / 50.0
+    return p.select("match_id", F.round(F.col("frame_idx") / 25.0 + off, 3).alias("ts"),
+                    F.col("track_id").alias("tag_id"), F.col("x").alias("x_pitch"), F.col("y").alias("y_pitch"))
+
+
 def pred_ball(spark, sf_dir) -> DataFrame:
     b = as_tracks(ball(spark, sf_dir)).filter(F.col("ck") % 5 != 0)
     return (b.withColumn("bbox_x", F.col("bbox_x") + 7.0 * (F.col("ck") % 6).cast("double"))
@@ -299,3 +321,10 @@ SQL["detections_base"] = """SELECT match_id, frame_idx, e AS det, CASE WHEN role
 SQL["detections"] = """SELECT * EXCLUDE (ck) FROM (SELECT * FROM detections_base UNION ALL
  SELECT * REPLACE (det + 100 AS det, bbox_x + 3 AS bbox_x, greatest(conf - 0.05::DOUBLE, 0) AS conf) FROM detections_base
  WHERE (ck + det) % 3 = 0)"""
+
+SQL["pairs5"] = """SELECT g.match_id, g.frame_idx, g.track_id AS gt_track, p.track_id AS pred_track, g.role AS gt_role, p.role AS pred_role,
+ g.team AS gt_team, p.team AS pred_team, (g.ck % 7)::DOUBLE/2 AS dist FROM gt g JOIN pred p USING (match_id, frame_idx, track_id)
+ WHERE (g.ck % 7)::DOUBLE/2 <= 5"""
+SQL["pairs2"] = "SELECT * FROM pairs5 WHERE dist <= 2"
+SQL["sensor_readings"] = """SELECT match_id, round(frame_idx/25.0::DOUBLE + (ck % 9 - 4)::DOUBLE/50, 3) AS ts, track_id AS tag_id, x AS x_pitch,
+ y AS y_pitch FROM gt WHERE e < 11 AND frame_idx % 2 = 0"""
