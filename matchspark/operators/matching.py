@@ -19,7 +19,15 @@ FAR = 1e6
 def _pairs(gx, gy, px, py, gate: float, gate_first: bool) -> list[tuple[int, int, float]]:
     d = np.hypot(np.subtract.outer(np.asarray(gx, float), np.asarray(px, float)),
                  np.subtract.outer(np.asarray(gy, float), np.asarray(py, float)))
-    rows, cols = assign(np.where(d <= gate, d, FAR) if gate_first else d)
+    if not gate_first:
+        rows, cols = assign(d)
+    else:
+        # Whoever has nobody within the gate cannot change the rest, and is left out of the solve.
+        near = d <= gate
+        keep_r, keep_c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        sub = d[np.ix_(keep_r, keep_c)]
+        r, c = assign(np.where(sub <= gate, sub, FAR))
+        rows, cols = keep_r[r], keep_c[c]
     return [(int(r), int(c), float(d[r, c])) for r, c in zip(rows, cols) if d[r, c] <= gate]
 
 

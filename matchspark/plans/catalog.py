@@ -1,3 +1,3 @@
 """Importing the query modules fills the registry."""
-from . import accuracy, motion, tactics  # noqa: F401
+from . import accuracy, motion, pitch, tactics  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
