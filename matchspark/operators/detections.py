@@ -2,11 +2,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.batches import whole_groups
 from ..schema import BALL, GOALKEEPER, OTHER, PLAYER, REFEREE
 
 # Class-name fragments in order of precedence.
@@ -47,19 +46,16 @@ def _kept(x, y, w, h, conf, iou: float) -> list[int]:
 
 
 def suppress(detections: DataFrame, iou: float = 0.55) -> DataFrame:
-    """Greedy suppression per frame and class; one array row per frame and class goes to Python."""
-    cols = [c for c in detections.columns if c not in ("match_id", "frame_idx", "cls_name")]
+    """Greedy suppression per frame and class, over sorted batches streamed through each task."""
+    keys = ["match_id", "frame_idx", "cls_name"]
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def keep(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([_kept(*row, iou) for row in zip(x, y, w, h, c)])
-
-    order = ["det"] + [c for c in cols if c != "det"]
-    g = detections.groupBy("match_id", "frame_idx", "cls_name").agg(
-        F.sort_array(F.collect_list(F.struct(*order))).alias("b"))
-    g = g.withColumn("k", F.explode(keep("b.bbox_x", "b.bbox_y", "b.bbox_w", "b.bbox_h", "b.conf")))
-    return g.select("match_id", "frame_idx", "cls_name", F.get("b", F.col("k")).alias("r")).select(
-        "match_id", "frame_idx", "cls_name", "r.*").select(*detections.columns)
+    def run(batches):
+        for df, cuts in whole_groups(batches, keys):
+            cols = [df[c].to_numpy() for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h", "conf")]
+            kept = [a + k for a, b in zip(cuts[:-1], cuts[1:]) for k in _kept(*(c[a:b] for c in cols), iou)]
+            yield df.iloc[kept]
+    return (detections.repartition(*keys).sortWithinPartitions(*keys, "det")
+            .mapInPandas(run, detections.schema))
 
 
 def anti_override(detections: DataFrame, dedicated: DataFrame) -> DataFrame:

@@ -5,37 +5,36 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.assignment import assign
+from ..functions.assignment import assign_many
+from ..functions.batches import whole_groups
 from ..functions.ordered import Ordered
 from ..schema import PLAYING, finite
 
-PAIRS = T.ArrayType(T.StructType([T.StructField("gt", T.IntegerType()), T.StructField("pred", T.IntegerType()),
-                                  T.StructField("dist", T.DoubleType())]))
+PAIRS = ("match_id string, frame_idx int, gt_track int, pred_track int, gt_role string, pred_role string, "
+         "gt_team string, pred_team string, dist double")
 FAR = 1e6
-
-
-def _pairs(gx, gy, px, py, gate: float, gate_first: bool) -> list[tuple[int, int, float]]:
-    d = np.hypot(np.subtract.outer(np.asarray(gx, float), np.asarray(px, float)),
-                 np.subtract.outer(np.asarray(gy, float), np.asarray(py, float)))
-    if not gate_first:
-        rows, cols = assign(d)
-    else:
-        # Whoever has nobody within the gate cannot change the rest, and is left out of the solve.
-        near = d <= gate
-        keep_r, keep_c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-        sub = d[np.ix_(keep_r, keep_c)]
-        r, c = assign(np.where(sub <= gate, sub, FAR))
-        rows, cols = keep_r[r], keep_c[c]
-    return [(int(r), int(c), float(d[r, c])) for r, c in zip(rows, cols) if d[r, c] <= gate]
-
-
-def _matcher(gate: float, gate_first: bool):
-    @F.pandas_udf(PAIRS)
-    def match(gx: pd.Series, gy: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
-        return pd.Series([_pairs(a, b, c, d, gate, gate_first) for a, b, c, d in zip(gx, gy, px, py)])
-    return match
+FRAME = ["match_id", "frame_idx"]
+
+
+def _pair_frames(x, y, start, mid, end, gate: float, gate_first: bool):
+    """Row pairs (gt row, pred row, distance) of many frames: gt rows start..mid, pred rows mid..end."""
+    ng, np_ = mid - start, end - mid
+    flip = ng > np_                       # rows of a problem are its smaller side
+    r0, rn = np.where(flip, mid, start), np.minimum(ng, np_)
+    c0, cn = np.where(flip, start, mid), np.maximum(ng, np_)
+    ri, ci = np.arange(rn.max()), np.arange(cn.max())
+    rows, cols = np.minimum(r0[:, None] + ri, len(x) - 1), np.minimum(c0[:, None] + ci, len(x) - 1)
+    d = np.hypot(x[rows][:, :, None] - x[cols][:, None, :], y[rows][:, :, None] - y[cols][:, None, :])
+    cost = np.where(d <= gate, d, FAR) if gate_first else d.copy()
+    cost[np.broadcast_to((ci >= cn[:, None])[:, None, :], cost.shape)] = np.inf
+    got = assign_many(cost, rn)
+    b, r = np.nonzero(got >= 0)
+    c = got[b, r]
+    dist = d[b, r, c]
+    near = dist <= gate
+    b, one, two, dist = b[near], rows[b, r][near], cols[b, c][near], dist[near]
+    return np.where(flip[b], two, one), np.where(flip[b], one, two), dist
 
 
 def _located(df: DataFrame, roles) -> DataFrame:
@@ -43,32 +42,36 @@ def _located(df: DataFrame, roles) -> DataFrame:
     return df.filter(F.col("role").isin(*roles)) if roles else df
 
 
-def frame_sides(gt: DataFrame, pred: DataFrame, roles=PLAYING) -> DataFrame:
-    """One row per frame with both sides' rows as arrays; both inputs share a single exchange.
-
-    A frame holds the people in view, so the arrays stay small whatever the size of the match."""
-    cols = [F.col(c) for c in ("match_id", "frame_idx", "track_id", "role", "team")] + [
-        F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
-    both = (_located(gt, roles).select(*cols, F.lit(True).alias("_g"))
-            .unionByName(_located(pred, roles).select(*cols, F.lit(False).alias("_g"))))
-    row = F.struct("track_id", "role", "team", "x", "y")
-    side = lambda flag: F.sort_array(F.collect_list(F.when(F.col("_g") == flag, row)))
-    return both.groupBy("match_id", "frame_idx").agg(side(True).alias("g"), side(False).alias("p"))
-
-
 def match_people(gt: DataFrame, pred: DataFrame, max_dist: float = 2.0, roles=PLAYING,
                  gate_first: bool = False) -> DataFrame:
     """Minimum-distance one-to-one pairs per frame, as rows with both sides' attributes.
 
     With `gate_first` False the assignment ignores the gate and far pairs are dropped after it;
-    with True they are ruled out before it, which can give other pairs."""
-    s = frame_sides(gt, pred, roles).filter((F.size("g") > 0) & (F.size("p") > 0))
-    s = s.withColumn("m", _matcher(max_dist, gate_first)("g.x", "g.y", "p.x", "p.y"))
-    m = s.select("match_id", "frame_idx", "g", "p", F.explode("m").alias("m"))
-    g, p = F.get("g", F.col("m.gt")), F.get("p", F.col("m.pred"))
-    return m.select("match_id", "frame_idx", g["track_id"].alias("gt_track"), p["track_id"].alias("pred_track"),
-                    g["role"].alias("gt_role"), p["role"].alias("pred_role"), g["team"].alias("gt_team"),
-                    p["team"].alias("pred_team"), F.col("m.dist").alias("dist"))
+    with True they are ruled out before it, which can give other pairs. Both inputs share one
+    exchange by (match, frame); tasks then stream sorted Arrow batches, a frame at a time."""
+    cols = [F.col(c) for c in ("match_id", "frame_idx", "track_id", "role", "team")] + [
+        F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
+    both = (_located(gt, roles).select(*cols, F.lit(0).alias("side"))
+            .unionByName(_located(pred, roles).select(*cols, F.lit(1).alias("side"))))
+
+    def solve(batches):
+        for df, cuts in whole_groups(batches, FRAME):
+            x, y = df["x"].to_numpy(), df["y"].to_numpy()
+            preds = np.append(0, df["side"].to_numpy().cumsum())
+            start, end = cuts[:-1], cuts[1:]
+            mid = end - (preds[end] - preds[start])
+            both_there = (start < mid) & (mid < end)
+            if not both_there.any():
+                continue
+            g_rows, p_rows, dist = _pair_frames(x, y, start[both_there], mid[both_there], end[both_there],
+                                                max_dist, gate_first)
+            g, p = df.iloc[g_rows].reset_index(drop=True), df.iloc[p_rows].reset_index(drop=True)
+            yield pd.DataFrame({
+                "match_id": g["match_id"], "frame_idx": g["frame_idx"], "gt_track": g["track_id"],
+                "pred_track": p["track_id"], "gt_role": g["role"], "pred_role": p["role"],
+                "gt_team": g["team"], "pred_team": p["team"], "dist": dist})
+    return (both.repartition(*FRAME).sortWithinPartitions(*FRAME, "side", "track_id", "x", "y")
+            .mapInPandas(solve, PAIRS))
 
 
 def match_people_gated(gt: DataFrame, pred: DataFrame, max_dist: float = 5.0, roles=PLAYING) -> DataFrame:

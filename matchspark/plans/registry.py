@@ -32,24 +32,27 @@ def define(name: str, sql: str) -> None:
     CTE[name] = sql
 
 
-_deps_cache: dict[str, list[str]] = {}
-
-
 def _deps(sql: str) -> list[str]:
     names = set(re.findall(r"[a-z_][a-z0-9_]*", sql))
     return [n for n in CTE if n in names]
 
 
 def with_tables(sql: str) -> str:
-    """Prefix the WITH chain of every named expression the text needs."""
-    need, stack = set(), _deps(sql)
-    while stack:
-        n = stack.pop()
-        if n not in need:
-            need.add(n)
-            stack += [d for d in _deps(CTE[n]) if d != n]
-    chain = [f"{n} AS ({CTE[n]})" for n in CTE if n in need]
-    return ("WITH " + ",\n".join(chain) + "\n" if chain else "") + sql
+    """Prefix the WITH chain of every named expression the text needs, dependencies first."""
+    chain: dict[str, str] = {}
+
+    def need(text: str, own: str = "") -> None:
+        for n in _deps(text):
+            if n != own and n not in chain:
+                need(CTE[n], n)
+                chain[n] = f"{n} AS ({CTE[n]})"
+    need(sql)
+    return ("WITH " + ",\n".join(chain.values()) + "\n" if chain else "") + sql
+
+
+def oracles() -> dict[str, str]:
+    """DuckDB text per query, built once every named expression is known."""
+    return {k: with_tables(v) for k, v in ORACLES.items()}
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", cte: bool = False):
@@ -65,6 +68,6 @@ def query(name: str, sql: str | None = None, doubles: str = "", cte: bool = Fals
                 body = sql
             reps = ", ".join(f'round({c} + {EPS}, {DIGITS}) AS {c}' for c in doubles.split())
             pick = f"* REPLACE ({reps})" if reps else "*"
-            ORACLES[name] = with_tables(f"SELECT {pick} FROM ({body})")
+            ORACLES[name] = f"SELECT {pick} FROM ({body})"
         return fn
     return wrap
