@@ -89,6 +89,18 @@ class Ordered:
         df = self.df.withColumn(name, F.sum(expr).over(w)).join(carry, self.keys + ["_chunk"], "left")
         return self._with(df.withColumn(name, F.coalesce(F.col("_in"), F.lit(0)) + F.col(name)).drop("_in"))
 
+    def running_max(self, name: str, expr: Column, strict: bool = False) -> "Ordered":
+        """Largest value of expr up to the row (before it when strict)."""
+        w = self._window().rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+        if not self.chunked:
+            return self._with(self.df.withColumn(name, F.max(expr).over(w)))
+        top = self.df.groupBy(*self.keys, "_chunk").agg(F.max(expr).alias("_v"))
+        before = (Window.partitionBy(*self.keys).orderBy("_chunk")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        carry = top.select(*self.keys, "_chunk", F.max("_v").over(before).alias("_in"))
+        df = self.df.withColumn(name, F.max(expr).over(w)).join(carry, self.keys + ["_chunk"], "left")
+        return self._with(df.withColumn(name, F.greatest("_in", name)).drop("_in"))
+
     def _edge_value(self, name: str, expr: Column, backward: bool, strict: bool, fill: bool) -> "Ordered":
         w = self._window(backward)
         if fill:

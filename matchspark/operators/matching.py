@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.assignment import assign_many
 from ..functions.batches import whole_groups
 from ..functions.ordered import Ordered
-from ..schema import PLAYING, finite
+from ..schema import (AWAY, BALL, GOALKEEPER, HOME, OFFICIAL, OTHER, PLAYER, PLAYING, REFEREE, UNKNOWN,
+                      finite)
 
-PAIRS = ("match_id string, frame_idx int, gt_track int, pred_track int, gt_role string, pred_role string, "
-         "gt_team string, pred_team string, dist double")
+PAIRS = "match_id string, frame_idx int, gt_track int, pred_track int, g int, p int, dist double"
+# Roles and teams cross to Python as one small number and come back as text.
+ROLES, TEAM_NAMES = (PLAYER, GOALKEEPER, REFEREE, BALL, OTHER), (HOME, AWAY, OFFICIAL, UNKNOWN)
 FAR = 1e6
 FRAME = ["match_id", "frame_idx"]
 
@@ -49,8 +51,10 @@ def match_people(gt: DataFrame, pred: DataFrame, max_dist: float = 2.0, roles=PL
     With `gate_first` False the assignment ignores the gate and far pairs are dropped after it;
     with True they are ruled out before it, which can give other pairs. Both inputs share one
     exchange by (match, frame); tasks then stream sorted Arrow batches, a frame at a time."""
-    cols = [F.col(c) for c in ("match_id", "frame_idx", "track_id", "role", "team")] + [
-        F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
+    code = (F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")) * 8
+            + F.array_position(F.array(*[F.lit(t) for t in TEAM_NAMES]), F.col("team"))).cast("int")
+    cols = [F.col(c) for c in ("match_id", "frame_idx", "track_id")] + [
+        code.alias("code"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
     both = (_located(gt, roles).select(*cols, F.lit(0).alias("side"))
             .unionByName(_located(pred, roles).select(*cols, F.lit(1).alias("side"))))
 
@@ -65,13 +69,17 @@ def match_people(gt: DataFrame, pred: DataFrame, max_dist: float = 2.0, roles=PL
                 continue
             g_rows, p_rows, dist = _pair_frames(x, y, start[both_there], mid[both_there], end[both_there],
                                                 max_dist, gate_first)
-            g, p = df.iloc[g_rows].reset_index(drop=True), df.iloc[p_rows].reset_index(drop=True)
+            pick = lambda c, r: df[c].to_numpy()[r]
             yield pd.DataFrame({
-                "match_id": g["match_id"], "frame_idx": g["frame_idx"], "gt_track": g["track_id"],
-                "pred_track": p["track_id"], "gt_role": g["role"], "pred_role": p["role"],
-                "gt_team": g["team"], "pred_team": p["team"], "dist": dist})
-    return (both.repartition(*FRAME).sortWithinPartitions(*FRAME, "side", "track_id", "x", "y")
-            .mapInPandas(solve, PAIRS))
+                "match_id": pick("match_id", g_rows), "frame_idx": pick("frame_idx", g_rows),
+                "gt_track": pick("track_id", g_rows), "pred_track": pick("track_id", p_rows),
+                "g": pick("code", g_rows), "p": pick("code", p_rows), "dist": dist})
+    m = (both.repartition(*FRAME).sortWithinPartitions(*FRAME, "side", "track_id", "x", "y")
+         .mapInPandas(solve, PAIRS))
+    name = lambda values, k: F.try_element_at(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    role, team = (lambda c: name(ROLES, F.expr(f"{c} div 8"))), (lambda c: name(TEAM_NAMES, F.col(c) % 8))
+    return m.select("match_id", "frame_idx", "gt_track", "pred_track", role("g").alias("gt_role"), role("p").alias("pred_role"),
+                    team("g").alias("gt_team"), team("p").alias("pred_team"), "dist")
 
 
 def match_people_gated(gt: DataFrame, pred: DataFrame, max_dist: float = 5.0, roles=PLAYING) -> DataFrame:

@@ -1,3 +1,3 @@
 """Importing the query modules fills the registry."""
-from . import accuracy, files, motion, pitch, tactics  # noqa: F401
-from .registry import QUERIES, oracles  # noqa: F401
+from . import accuracy, files, motion, people, pitch, tactics  # noqa: F401
+from .registry import ORACLES, QUERIES, oracles  # noqa: F401

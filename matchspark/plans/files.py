@@ -84,7 +84,7 @@ def _xml(spark, sf):
     return path
 
 
-@query("read_tracker_xml", """SELECT match_id, frame_idx, period, frame_idx*40/1000.0::DOUBLE AS "timestamp", track_id, role, x, y FROM tracks
+@query("read_tracker_xml", """SELECT match_id, frame_idx, period, frame_idx*40/1000.0::DOUBLE AS "timestamp", track_id, CASE WHEN role = 'ball' THEN role ELSE 'player' END AS role, x, y FROM tracks
  WHERE role = 'ball' OR (ck + e) % 7 <> 0""", "timestamp x y")
 def read_tracker_xml(spark, sf):
     rows, _, _ = S.read_tracker_xml(spark, _xml(spark, sf), suffix=PART)
