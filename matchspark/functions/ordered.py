@@ -11,8 +11,9 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LIMIT_CONF = "spark.matchspark.maxGroupRows"
-DEFAULT_LIMIT = 8_000_000
+LIMIT_CONF = "spark.matchspark.maxGroupRows"     # rows of one group a single window may hold
+CHUNK_CONF = "spark.matchspark.chunkRows"        # rows (or frames) per chunk of a larger group
+DEFAULT_LIMIT, DEFAULT_CHUNK = 8_000_000, 65_536
 _names = itertools.count()
 
 
@@ -20,6 +21,10 @@ def group_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(LIMIT_CONF, str(DEFAULT_LIMIT)))
 
 
+def chunk_size(spark: SparkSession) -> int:
+    return int(spark.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK)))
+
+
 def has_oversized_group(df: DataFrame, keys: list[str], limit: int) -> bool:
     """One map-side combined count; only a flag reaches the driver."""
     return not (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -42,7 +47,8 @@ class Ordered:
     """A DataFrame with keys and an order; methods return a new one with a column added."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str],
-                 chunk_rows: int = 65536, limit: int | None = None, _chunked: bool | None = None):
+                 chunk_rows: int | None = None, limit: int | None = None, _chunked: bool | None = None):
+        chunk_rows = chunk_rows or chunk_size(df.sparkSession)
         self.df, self.keys, self.order, self.chunk_rows = df, list(keys), list(order), chunk_rows
         if _chunked is None:
             limit = group_limit(df.sparkSession) if limit is None else limit
@@ -144,7 +150,7 @@ class Ordered:
 
 
 def position_blocks(df: DataFrame, keys: list[str], order: list[str], halo: int,
-                    block_rows: int = 65536, limit: int | None = None):
+                    block_rows: int | None = None, limit: int | None = None):
     """(df, window keys, keep) for rolling windows of at most `halo` rows each side.
 
     Adds `_p` (0-based position) and `_n` (group size). Normal groups are windowed whole. When a
@@ -157,6 +163,7 @@ def position_blocks(df: DataFrame, keys: list[str], order: list[str], halo: int,
         out = (o.df.withColumn("_p", F.row_number().over(w.orderBy(*order)) - 1)
                .withColumn("_n", F.count(F.lit(1)).over(w)))
         return out, list(keys), F.lit(True)
+    block_rows = max(block_rows or chunk_size(df.sparkSession), 2 * halo)
     o = o.running_sum("_p", F.lit(1))
     sizes = o.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     out = o.done().withColumn("_p", F.col("_p") - 1).join(sizes, list(keys))
