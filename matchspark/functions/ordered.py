@@ -54,13 +54,17 @@ class Ordered:
             limit = group_limit(df.sparkSession) if limit is None else limit
             _chunked = has_oversized_group(df, self.keys, limit)
             if _chunked:
-                self.df = cut_lineage(df).withColumn(
+                self.df = df.withColumn(
                     "_chunk", F.floor(F.col(order[0]) / F.lit(chunk_rows)).cast("long"))
         self.chunked = _chunked
 
     def _with(self, df: DataFrame) -> "Ordered":
         return Ordered(df, self.keys, self.order, self.chunk_rows, _chunked=self.chunked)
 
+    def _written(self) -> "Ordered":
+        """Rows and summary both read the table so far; written once, the plan does not double per step."""
+        return self._with(cut_lineage(self.df))
+
     def col(self, name: str, expr: Column) -> "Ordered":
         return self._with(self.df.withColumn(name, expr))
 
@@ -88,6 +92,7 @@ class Ordered:
         w = self._window().rowsBetween(Window.unboundedPreceding, 0)
         if not self.chunked:
             return self._with(self.df.withColumn(name, F.sum(expr).over(w)))
+        self = self._written()
         total = self.df.groupBy(*self.keys, "_chunk").agg(F.sum(expr).alias("_v"))
         before = (Window.partitionBy(*self.keys).orderBy("_chunk")
                   .rowsBetween(Window.unboundedPreceding, -1))
@@ -100,6 +105,7 @@ class Ordered:
         w = self._window().rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
         if not self.chunked:
             return self._with(self.df.withColumn(name, F.max(expr).over(w)))
+        self = self._written()
         top = self.df.groupBy(*self.keys, "_chunk").agg(F.max(expr).alias("_v"))
         before = (Window.partitionBy(*self.keys).orderBy("_chunk")
                   .rowsBetween(Window.unboundedPreceding, -1))
@@ -116,6 +122,7 @@ class Ordered:
             here = F.lag(expr, 1).over(w)
         if not self.chunked:
             return self._with(self.df.withColumn(name, here))
+        self = self._written()
         tmp = f"_rn{next(_names)}"
         by = F.struct(*self.order)
         pick = (F.min_by if backward else F.max_by)
