@@ -2,6 +2,9 @@
 from __future__ import annotations
 
 import re
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +17,17 @@ ORACLES: dict[str, str] = {}
 EPS, DIGITS = 1e-7, 4
 
 
+def ship_package(spark) -> None:
+    """Give the Python workers this package, wherever the driver was started from; once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_matchspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/matchspark", "zip", root, "matchspark")
+    sc.addPyFile(archive)
+    sc._matchspark_shipped = True
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Floating columns rounded the way the SQL side rounds them."""
     cols = []
@@ -58,8 +72,10 @@ def oracles() -> dict[str, str]:
 def query(name: str, sql: str | None = None, doubles: str = "", cte: bool = False):
     """Register a query; `doubles` names the floating columns the SQL side rounds."""
     def wrap(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
-        QUERIES[name].raw = fn
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return rounded(fn(spark, sf_dir))
+        QUERIES[name] = run
         if sql is not None:
             if cte:
                 define(name, sql)
