@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BINS, VOCAB = 64, 48, 12, 12, 16, 1 << 14, 8192
+WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BINS, VOCAB = 64, 48, 12, 12, 8, 1 << 14, 8192
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 1500, 10, 5, 256, 0.004     # bounds of the labelled sample: rows a class, windows a row
 EDGE = ".,;:!?*%&$#|\"'()[]{}<>-"
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 300_000
 
 
 def char_bins(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +39,17 @@ def char_bins(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+def summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each index below n."""
+    order = np.argsort(index, kind="stable")
+    at = index[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 class Net:
@@ -71,19 +81,26 @@ class Net:
         """States of one direction over windows `index` (rows of word positions); `keep` gathers the steps for training."""
         h, u = HIDDEN, self.p[f"u{side}"]
         state = np.zeros((len(index), h), np.float32)
-        out = np.empty((len(index), index.shape[1], h), np.float32)
+        out = np.empty((index.shape[1], len(index), h), np.float32)
         for t in (range(index.shape[1]) if side == "f" else range(index.shape[1] - 1, -1, -1)):
             x, r = gates[index[:, t]], state @ u
-            zr = sigmoid(x[:, :2 * h] + r[:, :2 * h])
-            new = np.tanh(x[:, 2 * h:] + zr[:, h:] * r[:, 2 * h:])
-            after = new + zr[:, :h] * (state - new)
+            zr = x[:, :2 * h] + r[:, :2 * h]
+            zr *= np.float32(0.5)
+            np.tanh(zr, out=zr)
+            zr *= np.float32(0.5)
+            zr += np.float32(0.5)                           # logistic
+            new = zr[:, h:] * r[:, 2 * h:]
+            new += x[:, 2 * h:]
+            np.tanh(new, out=new)
+            after = np.subtract(state, new, out=out[t])
+            after *= zr[:, :h]
+            after += new
             if mask is not None:
-                after = np.where(mask[:, t, None], after, state)
+                np.copyto(after, state, where=~mask[:, t, None])
             if keep is not None:
                 keep.append((t, state, zr, new, r[:, 2 * h:]))
             state = after
-            out[:, t] = state
-        return out
+        return out.transpose(1, 0, 2)
 
     def logits(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray | None, keep: dict | None = None) -> np.ndarray:
         states = np.concatenate([self.run(s, x @ self.p[f"x{s}"] + self.p[f"b{s}"], index, mask,
@@ -114,7 +131,7 @@ class Net:
         states = keep["weight"][:, :, None] * pooled[:, None, :] + hidden @ p["att"].T
         to_x = np.zeros_like(x)
         for k, side in enumerate("fb"):
-            u, gates = p[f"u{side}"], np.zeros((len(x), 3 * h), np.float32)
+            u, raws = p[f"u{side}"], np.empty((index.shape[1], len(index), 3 * h), np.float32)
             gu, back = np.zeros_like(u), np.zeros((len(index), h), np.float32)
             for t, before, zr, new, rn in reversed(keep[side]):
                 live = mask[:, t, None]
@@ -124,16 +141,15 @@ class Net:
                 dn = here * (1 - z) * (1 - new ** 2)
                 dz = here * (before - new) * z * (1 - z)
                 dr = dn * rn * r * (1 - r)
-                raw = np.hstack([dz, dr, dn])
+                raws[t] = np.hstack([dz, dr, dn])
                 pre = np.hstack([dz, dr, dn * r])
                 gu += before.T @ pre
                 back = here * z + pre @ u.T + full * ~live
-                np.add.at(gates, index[:, t], raw)
+            gates = summed(index.T.ravel(), raws.reshape(-1, 3 * h), len(x))
             g |= {f"u{side}": gu, f"x{side}": x.T @ gates, f"b{side}": gates.sum(0)}
             to_x += gates @ p[f"x{side}"].T
-        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(g["word"], ids, to_x[:, :WORD_DIM])
-        np.add.at(g["char"], bins, np.repeat(to_x[:, WORD_DIM:] / np.sqrt(n)[:, None], n, axis=0))
+        g["word"] = summed(ids, to_x[:, :WORD_DIM], len(p["word"]))
+        g["char"] = summed(bins, np.repeat(to_x[:, WORD_DIM:] / np.sqrt(n)[:, None].astype(np.float32), n, axis=0), CHAR_BINS)
         return g
 
 
@@ -234,25 +250,39 @@ def platt(top: np.ndarray, length: np.ndarray, label: np.ndarray, shares: tuple[
     return tuple(b.tolist())
 
 
+class Places(dict):
+    """Numbers words in the order in which they are asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self.words)
+        self.words.append(word)
+        return n
+
+
 class Scorer:
     """Scores texts with a trained net; the gate inputs of words already seen are remembered (at most KNOWN_WORDS)."""
 
     def __init__(self, net: Net):
-        self.net, self.place = net, {}
-        self.gates = {s: np.zeros((0, 3 * HIDDEN), np.float32) for s in "fb"}
+        self.net, self.place = net, Places()
+        self.gates = {s: np.zeros((KNOWN_WORDS, 3 * HIDDEN), np.float32) for s in "fb"}
 
     def positions(self, words: list[list[str]]) -> list[list[int]]:
-        new = list({w for ws in words for w in ws}.difference(self.place))
-        if len(self.place) + len(new) > KNOWN_WORDS:
-            self.__init__(self.net)
-            new = list({w for ws in words for w in ws})
-        for a in range(0, len(new), 8192):
-            part = new[a:a + 8192]
+        if len(self.place) > KNOWN_WORDS // 2:
+            self.place = Places()
+        done, place = len(self.place), self.place
+        out = [[place[w] for w in ws] for ws in words]
+        while len(place) > len(self.gates["f"]):             # one slice may bring more words than are remembered
+            self.gates = {s: np.vstack([g, np.zeros_like(g)]) for s, g in self.gates.items()}
+        for a in range(done, len(place), 8192):
+            part = place.words[a:a + 8192]
             x, _ = self.net.inputs(part)
-            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
-            self.gates = {s: np.vstack([g, x @ self.net.p[f"x{s}"] + self.net.p[f"b{s}"]]) for s, g in self.gates.items()}
-        place = self.place
-        return [[place[w] for w in ws] for ws in words]
+            for s, g in self.gates.items():
+                g[a:a + len(part)] = x @ self.net.p[f"x{s}"] + self.net.p[f"b{s}"]
+        return out
 
     def windowed(self, index: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
         net = self.net
