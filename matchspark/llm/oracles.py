@@ -1,2 +1,42 @@
 """DuckDB text of the queries that SQL can express on whole tables."""
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .secret_scan import BASE, RULES
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, unnest(list_transform(range(1, len(hit) + 1), lambda i: {{
+        's': list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda h: length(h))), 0),
+        'n': length(hit[i]), 'v': length(val[i])}})) AS m
+      FROM (SELECT doc_id, string_split_regex(t, '{p}') AS gap, regexp_extract_all(t, '{p}') AS hit, regexp_extract_all(t, '{p}', {group}) AS val
+            FROM docs WHERE regexp_matches(t, '{p}')) WHERE len(hit) > 0"""
+
+
+def _secrets() -> str:
+    each = " UNION ALL ".join(f"SELECT doc_id, rank, kind, m.s AS s, m.s + m.n AS e FROM ({_spans(r.kind, i, r.pattern, r.group, r.least)}) WHERE m.v >= {r.least}"
+                              for i, r in enumerate(RULES))
+    names = ", ".join(f"coalesce(count(*) FILTER (kind = '{r.kind}'), 0) AS n_{r.kind}" for r in BASE)
+    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({each}),
+      sums AS (SELECT doc_id, {names}, string_agg({one}, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}) AS base,
+               string_agg({one}, ',' ORDER BY s, rank) AS spans FROM found GROUP BY doc_id)
+      SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+             coalesce(spans, '') AS spans FROM docs d LEFT JOIN sums ON d.doc_id IS NOT DISTINCT FROM sums.doc_id"""
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '\\', '\\s'), '<', '\\l'), '|', '\\p')"
+
+
+SQL: dict[str, str] = {
+    "op3_trigram_secrets": _secrets(),
+    "op6_event_chat": f"""WITH said AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+      whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(length({_escaped('role')}) + length({_escaped('text')}) + 8) AS formatted_chars FROM said GROUP BY conv_id)
+      SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+             CAST(formatted_chars AS BIGINT) AS formatted_chars FROM whole""",
+}
