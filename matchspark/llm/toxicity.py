@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BINS, VOCAB = 64, 48, 12, 12, 8, 1 << 14, 8192
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 1500, 10, 5, 256, 0.004     # bounds of the labelled sample: rows a class, windows a row
+TRAIN_DOCS, TRAIN_WINDOWS, ROUNDS, STEPS, BATCH, RATE = 1500, 10, 5, 80, 128, 0.004     # bounds of the labelled sample: rows a class, windows a row
 EDGE = ".,;:!?*%&$#|\"'()[]{}<>-"
 KNOWN_WORDS = 300_000
 
@@ -183,7 +183,7 @@ def distinct(texts: list[list[str]]) -> tuple[list[str], list[list[int]]]:
 def train(texts: list[str], labels: np.ndarray, shares: tuple[float, float], seed: int = 3) -> Net:
     """Fit on labelled texts; `shares` are the natural frequencies of label 0 and 1, for the final scale.
 
-    A label holds for a text, not for each window: after the first epoch only those windows of a positive text stay positive
+    A label holds for a text, not for each window: after the first round (all windows once, STEPS steps at least) only those windows of a positive text stay positive
     that score near its highest; its others are left out. A fifth of the texts fits the scale from a text's highest window.
     """
     rng = np.random.default_rng(seed)
@@ -210,20 +210,21 @@ def train(texts: list[str], labels: np.ndarray, shares: tuple[float, float], see
         x, _ = net.inputs([words[i] for i in used])
         again = again.reshape(len(rows), WINDOW)
         return np.concatenate([net.logits(x, again[a:a + 2048], mask[rows[a:a + 2048]]) for a in range(0, len(rows), 2048)])
-    for epoch in range(EPOCHS):
+    for turn in range(ROUNDS):
         live = chosen[weight[chosen] > 0]
-        mixed = rng.permutation(live)
+        again = max(1, -(-STEPS * BATCH // max(1, len(live))))
+        mixed = np.concatenate([rng.permutation(live) for _ in range(again)])
         for a in range(0, len(mixed), BATCH):
             rows = mixed[a:a + BATCH]
-            used, again = np.unique(index[rows], return_inverse=True)
-            g = net.gradients([words[i] for i in used], again.reshape(len(rows), WINDOW), mask[rows], label[rows], weight[rows])
+            used, place = np.unique(index[rows], return_inverse=True)
+            g = net.gradients([words[i] for i in used], place.reshape(len(rows), WINDOW), mask[rows], label[rows], weight[rows])
             step += 1
             for k, v in g.items():
                 v = np.clip(v, -1, 1)
                 m[k] += 0.1 * (v - m[k])
                 s[k] += 0.01 * (v * v - s[k])
                 net.p[k] -= RATE * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-6)
-        if epoch + 1 < EPOCHS:
+        if turn + 1 < ROUNDS:
             z = np.full(len(owner), -np.inf)
             z[chosen] = scored(chosen)
             top = np.full(len(texts), -np.inf)
