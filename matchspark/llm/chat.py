@@ -37,7 +37,7 @@ def event_log(turns: DataFrame) -> DataFrame:
     half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
     log = (F.when(F.col("role") == TRAINED, F.concat(one("delta", half), one("regenerate", F.lit("")), deltas))
            .when(F.col("role") == "user", F.concat(one("delta", half), one("edit", F.col("text")))).otherwise(deltas))
-    return rows.select("conv_id", "turn", "tie", "role", F.posexplode(log).alias("seq", "e")).select(
+    return rows.select("conv_id", "turn", "tie", "role", F.posexplode_outer(log).alias("seq", "e")).select(
         "conv_id", "turn", "tie", "seq", F.col("e.event").alias("event"), "role", F.col("e.text").alias("text"))
 
 

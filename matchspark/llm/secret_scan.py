@@ -79,7 +79,8 @@ def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     """The inverted index of the trigrams that rules ask for: (gram, doc_id, text_hash), a row for each text that holds it."""
     folded = keyed(docs).withColumn("folded", F.lower("text"))
     present = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return folded.select("doc_id", "text_hash", F.explode(present).alias("gram"))
+    # outer: an inner explode would be preceded by a filter that computes all its input once more
+    return folded.select("doc_id", "text_hash", F.explode_outer(present).alias("gram")).where(F.col("gram").isNotNull())
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
