@@ -1,69 +1,107 @@
-"""Order-dependent columns over keyed groups, safe when one key holds much of the table.
+"""Order-dependent columns over keyed groups, one plan for every size.
 
-While every group is below a row limit, each method is one plain window. Above it the groups are
-cut into chunks of the order column: the window runs inside a chunk, and what earlier (or later)
-chunks contribute comes from a one-row-per-chunk summary. Results are identical.
+Groups are cut into chunks of the order column. Windows run inside a chunk, all on one ascending sort; what earlier or later
+chunks contribute comes from a table of one row per chunk: one aggregate for all columns of a step, one small window, one join.
+Nothing runs while the columns are added, and no key gathers in one task.
 """
 from __future__ import annotations
 
-import itertools
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LIMIT_CONF = "spark.matchspark.maxGroupRows"     # rows of one group a single window may hold
-CHUNK_CONF = "spark.matchspark.chunkRows"        # rows (or frames) per chunk of a larger group
-DEFAULT_LIMIT, DEFAULT_CHUNK = 8_000_000, 65_536
-_names = itertools.count()
-
-
-def group_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(LIMIT_CONF, str(DEFAULT_LIMIT)))
+CHUNK_CONF = "spark.matchspark.chunkRows"        # how far the order column runs inside one chunk
+DEFAULT_CHUNK = 8192
 
 
 def chunk_size(spark: SparkSession) -> int:
     return int(spark.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK)))
 
 
-def has_oversized_group(df: DataFrame, keys: list[str], limit: int) -> bool:
-    """One map-side combined count; only a flag reaches the driver."""
-    return not (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > limit).limit(1).isEmpty())
+@dataclass(frozen=True)
+class Step:
+    """A column: its value inside the chunk, what a chunk passes on, how passed values add up, and how both combine."""
+    here: Callable
+    summary: Callable
+    carry: Callable
+    both: Callable
+
+
+def _rows(w, strict: bool = False):
+    return w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+
+
+def _ahead(w, strict: bool = False):
+    return w.rowsBetween(1 if strict else 0, Window.unboundedFollowing)
+
+
+def running_sum(expr: Column) -> Step:
+    """Sum of expr up to and including the row."""
+    return Step(lambda w: F.sum(expr).over(_rows(w)), lambda by: F.sum(expr), lambda v, w: F.sum(v).over(_rows(w, True)),
+                lambda here, passed: F.coalesce(passed, F.lit(0)) + here)
+
+
+def running_max(expr: Column, strict: bool = False) -> Step:
+    """Largest value of expr up to the row (before it when strict)."""
+    return Step(lambda w: F.max(expr).over(_rows(w, strict)), lambda by: F.max(expr), lambda v, w: F.max(v).over(_rows(w, True)),
+                lambda here, passed: F.greatest(passed, here))
+
+
+def last_value(expr: Column, strict: bool = False) -> Step:
+    """Last non-null value up to the row (before it when strict)."""
+    return Step(lambda w: F.last(expr, ignorenulls=True).over(_rows(w, strict)),
+                lambda by: F.max_by(expr, F.when(expr.isNotNull(), by)),
+                lambda v, w: F.last(v, ignorenulls=True).over(_rows(w, True)), F.coalesce)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by spark.checkpoint.dir (a new one when unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-            named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
+def next_value(expr: Column, strict: bool = False) -> Step:
+    """First non-null value from the row on (after it when strict)."""
+    return Step(lambda w: F.first(expr, ignorenulls=True).over(_ahead(w, strict)),
+                lambda by: F.min_by(expr, F.when(expr.isNotNull(), by)),
+                lambda v, w: F.first(v, ignorenulls=True).over(_ahead(w, True)), F.coalesce)
+
+
+def _boxed(expr: Column) -> Column:
+    """A value that is never null itself, so that a null neighbour and no neighbour differ."""
+    return F.struct(expr.alias("v"))
+
+
+def lag(expr: Column) -> Step:
+    """Value of the row before."""
+    return Step(lambda w: F.lag(_boxed(expr)).over(w), lambda by: F.max_by(_boxed(expr), by),
+                lambda v, w: F.last(v, ignorenulls=True).over(_rows(w, True)), lambda here, passed: F.coalesce(here, passed)["v"])
+
+
+def lead(expr: Column) -> Step:
+    """Value of the row after."""
+    return Step(lambda w: F.lead(_boxed(expr)).over(w), lambda by: F.min_by(_boxed(expr), by),
+                lambda v, w: F.first(v, ignorenulls=True).over(_ahead(w, True)), lambda here, passed: F.coalesce(here, passed)["v"])
 
 
 class Ordered:
-    """A DataFrame with keys and an order; methods return a new one with a column added."""
-
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str],
-                 chunk_rows: int | None = None, limit: int | None = None, _chunked: bool | None = None):
-        chunk_rows = chunk_rows or chunk_size(df.sparkSession)
-        self.df, self.keys, self.order, self.chunk_rows = df, list(keys), list(order), chunk_rows
-        if _chunked is None:
-            limit = group_limit(df.sparkSession) if limit is None else limit
-            _chunked = has_oversized_group(df, self.keys, limit)
-            if _chunked:
-                self.df = df.withColumn(
-                    "_chunk", F.floor(F.col(order[0]) / F.lit(chunk_rows)).cast("long"))
-        self.chunked = _chunked
+    """A DataFrame with keys and an order; methods return a new one with columns added."""
 
-    def _with(self, df: DataFrame) -> "Ordered":
-        return Ordered(df, self.keys, self.order, self.chunk_rows, _chunked=self.chunked)
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], chunk_rows: int | None = None, _cut: bool = False):
+        self.keys, self.order, self.chunk_rows = list(keys), list(order), chunk_rows or chunk_size(df.sparkSession)
+        self.df = df if _cut else df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(self.chunk_rows)).cast("long"))
 
-    def _written(self) -> "Ordered":
-        """Rows and summary both read the table so far; written once, the plan does not double per step."""
-        return self._with(cut_lineage(self.df))
+    def _with(self, df: DataFrame) -> "Ordered":
+        return Ordered(df, self.keys, self.order, self.chunk_rows, _cut=True)
+
+    def add(self, **steps: Step) -> "Ordered":
+        """Columns that need each other's inputs only, in one pass."""
+        part, by = [*self.keys, "_chunk"], F.struct(*self.order)
+        inside = Window.partitionBy(*part).orderBy(*self.order)
+        across = Window.partitionBy(*self.keys).orderBy("_chunk")
+        sums = self.df.groupBy(*part).agg(*[s.summary(by).alias(f"_s_{n}") for n, s in steps.items()])
+        carried = sums.select(*part, *[s.carry(F.col(f"_s_{n}"), across).alias(f"_c_{n}") for n, s in steps.items()])
+        rows = self.df.select("*", *[s.here(inside).alias(f"_h_{n}") for n, s in steps.items()])
+        joined = rows.join(carried, part, "left")
+        new = {n: s.both(F.col(f"_h_{n}"), F.col(f"_c_{n}")) for n, s in steps.items()}
+        kept = [c for c in self.df.columns if c not in new]
+        return self._with(joined.select(*kept, *[c.alias(n) for n, c in new.items()]))
 
     def col(self, name: str, expr: Column) -> "Ordered":
         return self._with(self.df.withColumn(name, expr))
@@ -71,112 +109,23 @@ class Ordered:
     def filter(self, cond: Column) -> "Ordered":
         return self._with(self.df.filter(cond))
 
+    def drop(self, *names: str) -> "Ordered":
+        return self._with(self.df.drop(*names))
+
     def done(self) -> DataFrame:
-        return self.df.drop("_chunk") if self.chunked else self.df
-
-    def _window(self, backward: bool = False):
-        part = self.keys + (["_chunk"] if self.chunked else [])
-        order = [F.col(c).desc() if backward else F.col(c).asc() for c in self.order]
-        return Window.partitionBy(*part).orderBy(*order)
-
-    def _carry(self, summary: DataFrame, backward: bool) -> DataFrame:
-        """Summary with `_in` = last non-null `_v` of the chunks before (after)."""
-        order = F.col("_chunk").desc() if backward else F.col("_chunk").asc()
-        w = (Window.partitionBy(*self.keys).orderBy(order)
-             .rowsBetween(Window.unboundedPreceding, -1))
-        return summary.select(*self.keys, "_chunk",
-                              F.last("_v", ignorenulls=True).over(w).alias("_in"))
-
-    def running_sum(self, name: str, expr: Column) -> "Ordered":
-        """Sum of expr up to and including the row."""
-        w = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        if not self.chunked:
-            return self._with(self.df.withColumn(name, F.sum(expr).over(w)))
-        self = self._written()
-        total = self.df.groupBy(*self.keys, "_chunk").agg(F.sum(expr).alias("_v"))
-        before = (Window.partitionBy(*self.keys).orderBy("_chunk")
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        carry = total.select(*self.keys, "_chunk", F.sum("_v").over(before).alias("_in"))
-        df = self.df.withColumn(name, F.sum(expr).over(w)).join(carry, self.keys + ["_chunk"], "left")
-        return self._with(df.withColumn(name, F.coalesce(F.col("_in"), F.lit(0)) + F.col(name)).drop("_in"))
-
-    def running_max(self, name: str, expr: Column, strict: bool = False) -> "Ordered":
-        """Largest value of expr up to the row (before it when strict)."""
-        w = self._window().rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-        if not self.chunked:
-            return self._with(self.df.withColumn(name, F.max(expr).over(w)))
-        self = self._written()
-        top = self.df.groupBy(*self.keys, "_chunk").agg(F.max(expr).alias("_v"))
-        before = (Window.partitionBy(*self.keys).orderBy("_chunk")
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        carry = top.select(*self.keys, "_chunk", F.max("_v").over(before).alias("_in"))
-        df = self.df.withColumn(name, F.max(expr).over(w)).join(carry, self.keys + ["_chunk"], "left")
-        return self._with(df.withColumn(name, F.greatest("_in", name)).drop("_in"))
-
-    def _edge_value(self, name: str, expr: Column, backward: bool, strict: bool, fill: bool) -> "Ordered":
-        w = self._window(backward)
-        if fill:
-            here = F.last(expr, ignorenulls=True).over(
-                w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
-        else:
-            here = F.lag(expr, 1).over(w)
-        if not self.chunked:
-            return self._with(self.df.withColumn(name, here))
-        self = self._written()
-        tmp = f"_rn{next(_names)}"
-        by = F.struct(*self.order)
-        pick = (F.min_by if backward else F.max_by)
-        value = F.struct(expr.alias("v"))
-        if fill:
-            value = F.when(expr.isNotNull(), value)
-            summary = self.df.groupBy(*self.keys, "_chunk").agg(
-                pick(value, F.when(expr.isNotNull(), by)).alias("_v"))
-        else:
-            summary = self.df.groupBy(*self.keys, "_chunk").agg(pick(value, by).alias("_v"))
-        df = (self.df.withColumn(tmp, F.row_number().over(w)).withColumn(name, here)
-              .join(self._carry(summary, backward), self.keys + ["_chunk"], "left"))
-        if fill:
-            df = df.withColumn(name, F.coalesce(F.col(name), F.col("_in.v")))
-        else:
-            df = df.withColumn(name, F.when(F.col(tmp) == 1, F.col("_in.v")).otherwise(F.col(name)))
-        return self._with(df.drop("_in", tmp))
-
-    def lag(self, name: str, expr: Column) -> "Ordered":
-        return self._edge_value(name, expr, False, True, False)
-
-    def lead(self, name: str, expr: Column) -> "Ordered":
-        return self._edge_value(name, expr, True, True, False)
-
-    def last_value(self, name: str, expr: Column, strict: bool = False) -> "Ordered":
-        """Last non-null value up to the row (before it when strict)."""
-        return self._edge_value(name, expr, False, strict, True)
-
-    def next_value(self, name: str, expr: Column, strict: bool = False) -> "Ordered":
-        """First non-null value from the row on (after it when strict)."""
-        return self._edge_value(name, expr, True, strict, True)
-
-
-def position_blocks(df: DataFrame, keys: list[str], order: list[str], halo: int,
-                    block_rows: int | None = None, limit: int | None = None):
+        return self.df.drop("_chunk")
+
+
+def position_blocks(df: DataFrame, keys: list[str], order: list[str], halo: int, block_rows: int | None = None):
     """(df, window keys, keep) for rolling windows of at most `halo` rows each side.
 
-    Adds `_p` (0-based position) and `_n` (group size). Normal groups are windowed whole. When a
-    group is oversized, rows are dealt to position blocks and the `halo` rows at each block edge
+    Adds `_p` (0-based position) and `_n` (group size). Rows are dealt to position blocks and the `halo` rows at each block edge
     are copied to the neighbour; `keep` marks the rows to retain afterwards.
     """
-    o = Ordered(df, keys, order, limit=limit)
-    if not o.chunked:
-        w = Window.partitionBy(*keys)
-        out = (o.df.withColumn("_p", F.row_number().over(w.orderBy(*order)) - 1)
-               .withColumn("_n", F.count(F.lit(1)).over(w)))
-        return out, list(keys), F.lit(True)
     block_rows = max(block_rows or chunk_size(df.sparkSession), 2 * halo)
-    o = o.running_sum("_p", F.lit(1))
-    sizes = o.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out = o.done().withColumn("_p", F.col("_p") - 1).join(sizes, list(keys))
-    home = F.floor(F.col("_p") / block_rows)
-    within = F.col("_p") % block_rows
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out = Ordered(df, keys, order).add(_p=running_sum(F.lit(1))).done().withColumn("_p", F.col("_p") - 1).join(sizes, list(keys))
+    home, within = F.floor(F.col("_p") / block_rows), F.col("_p") % block_rows
     out = out.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(F.array(
-        home, F.when((within < halo) & (home > 0), home - 1),
-        F.when(within >= block_rows - halo, home + 1)))))
-    return out, list(keys) + ["_block"], F.col("_block") == F.col("_home")
+        home, F.when((within < halo) & (home > 0), home - 1), F.when(within >= block_rows - halo, home + 1)))))
+    return out, [*keys, "_block"], F.col("_block") == F.col("_home")

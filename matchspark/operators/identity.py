@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.assignment import assign
 from ..functions.batches import whole_groups
-from ..functions.ordered import Ordered, cut_lineage
+from ..functions.ordered import Ordered, running_max, running_sum
+from ..sources.scratch import cut_lineage
 from ..functions.vectors import cosine_distance
 from ..schema import (AWAY, BALL, FPS, GOALKEEPER, HOME, OTHER, PITCH_LENGTH, PITCH_WIDTH, REFEREE, UNKNOWN)
 
@@ -102,8 +103,8 @@ def candidate_successors(tracklets: DataFrame, fps: float = FPS, max_gap_s: floa
 def _best_pairs(edges: DataFrame) -> DataFrame:
     """Optimal one-to-one successors. Edges whose gaps never overlap in time cannot compete, so
     each stretch of overlapping gaps is solved on its own."""
-    o = Ordered(edges, ["match_id"], ["a_end", "b_start", "a", "b"]).running_max("_reach", F.col("b_start"), strict=True)
-    o = o.running_sum("island", F.coalesce(F.col("a_end") > F.col("_reach"), F.lit(True)).cast("int"))
+    o = Ordered(edges, ["match_id"], ["a_end", "b_start", "a", "b"]).add(_reach=running_max(F.col("b_start"), strict=True))
+    o = o.add(island=running_sum(F.coalesce(F.col("a_end") > F.col("_reach"), F.lit(True)).cast("int")))
     e = o.done().select("match_id", "island", "a", "b", "a_start", "cost")
 
     def solve(batches):

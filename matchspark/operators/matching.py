@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.assignment import assign_many
 from ..functions.batches import whole_groups
-from ..functions.ordered import Ordered
+from ..functions.ordered import Ordered, lag
 from ..schema import (AWAY, BALL, GOALKEEPER, HOME, OFFICIAL, OTHER, PLAYER, PLAYING, REFEREE, UNKNOWN,
                       finite)
 
@@ -88,7 +88,7 @@ def match_people_gated(gt: DataFrame, pred: DataFrame, max_dist: float = 5.0, ro
 
 def id_switches(pairs: DataFrame) -> DataFrame:
     """Changes of predicted track along each ground-truth person, per match."""
-    o = Ordered(pairs, ["match_id", "gt_track"], ["frame_idx"]).lag("_p", F.col("pred_track"))
+    o = Ordered(pairs, ["match_id", "gt_track"], ["frame_idx"]).add(_p=lag(F.col("pred_track")))
     return o.done().groupBy("match_id").agg(
         F.count(F.when(F.col("_p") != F.col("pred_track"), 1)).alias("id_switches"),
         F.count_distinct("gt_track").alias("gt_players_seen"))

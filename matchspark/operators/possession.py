@@ -6,7 +6,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import Ordered
+from ..functions.ordered import Ordered, lag, running_sum
 from ..schema import AWAY, FPS, HOME, PITCH_LENGTH, PITCH_WIDTH, TEAMS, ball, is_playing
 from .shape import with_ball
 
@@ -41,36 +41,36 @@ def possession_from_control(control: DataFrame, min_hold_s: float = 0.5, max_gap
                             fps: float = FPS, by_period: bool = False) -> DataFrame:
     hold_n, max_gap_n = max(1, math.ceil(min_hold_s * fps)), int(max_gap_s * fps)
     keys = ["match_id"] + (["period"] if by_period else [])
-    has = F.col("control") != "NONE"
-    o = Ordered(control, keys, ["frame_idx"]).running_sum("_pos", F.lit(1))
-    o = (o.last_value("_before", F.when(has, F.col("_pos")))
-         .next_value("_after", F.when(has, F.col("_pos"))))
-    # Without a later ball the gap runs to the last frame of the group.
-    ends = o.df.groupBy(*keys).agg((F.max("_pos") + 1).alias("_end"))
-    df = o.df.join(ends, keys)
-    gap = F.coalesce("_after", "_end") - F.coalesce("_before", F.lit(0)) - 1
+    o = Ordered(control, keys, ["frame_idx"]).add(_pos=running_sum(F.lit(1)), _was=lag(F.col("control")))
+    frames = o.done()
+    # From here on one row per run of equal control; the windows below hold a match's runs, not its frames.
+    starts = frames.filter(F.col("_was").isNull() | (F.col("_was") != F.col("control")))
+    size = frames.groupBy(*keys).agg(F.max("_pos").alias("_size"))
+    w = Window.partitionBy(*keys).orderBy("_pos")
+    upto, before = (w.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    runs = starts.select(*keys, "_pos", "control").join(size, keys)
+    runs = runs.withColumn("_len", F.coalesce(F.lead("_pos").over(w), F.col("_size") + 1) - F.col("_pos"))
     marker = (F.when(F.col("control").isin("HOME", "AWAY", "BALLOUT"), F.col("control"))
-              .when(~has & (gap > max_gap_n), "UNKNOWN"))
-    o = o._with(df.withColumn("_m", marker)).last_value("_prev", F.col("_m"), strict=True)
-    starts = F.col("_m").isNotNull() & ((F.col("_prev").isNull()) | (F.col("_m") != F.col("_prev")))
-    o = o.col("_new", F.coalesce(starts, F.lit(False))).running_sum("_run", F.col("_new").cast("int"))
-    runs = (o.df.filter(F.col("_m").isin("HOME", "AWAY")).groupBy(*keys, "_run")
-            .agg(F.count(F.lit(1)).alias("_held")))
-    df = o.df.join(runs, keys + ["_run"], "left")
+              .when((F.col("control") == "NONE") & (F.col("_len") > max_gap_n), "UNKNOWN"))
+    runs = runs.withColumn("_m", marker).withColumn("_prev", F.last("_m", ignorenulls=True).over(before))
+    new = F.coalesce(F.col("_m").isNotNull() & (F.col("_prev").isNull() | (F.col("_m") != F.col("_prev"))), F.lit(False))
+    runs = runs.withColumn("_new", new).withColumn("_island", F.sum(F.col("_new").cast("int")).over(upto))
+    held = F.sum(F.when(F.col("_m").isin("HOME", "AWAY"), F.col("_len"))).over(Window.partitionBy(*keys, "_island"))
+    runs = runs.withColumn("_held", held)
     taken = (F.when(F.col("_m").isin("BALLOUT", "UNKNOWN"), F.col("_m"))
              .when(F.col("_new") & (F.col("_held") >= hold_n), F.col("_m")))
-    o = o._with(df.withColumn("_t", taken)).last_value("_s", F.col("_t"))
-    return o.df.select("match_id", "frame_idx", "period", "timestamp",
-                       F.coalesce("_s", F.lit("UNKNOWN")).alias("ball_status"))
+    state = F.coalesce(F.last(taken, ignorenulls=True).over(upto), F.lit("UNKNOWN"))
+    spread = runs.select(*keys, state.alias("ball_status"), F.explode(F.sequence(F.col("_pos"), F.col("_pos") + F.col("_len") - 1)).alias("_pos"))
+    return frames.join(spread, [*keys, "_pos"]).select("match_id", "frame_idx", "period", "timestamp", "ball_status")
 
 
 def possession_runs(possession: DataFrame, fps: float = FPS, by_period: bool = False) -> DataFrame:
     """Runs of HOME or AWAY frames; other statuses are dropped first, so runs merge across them."""
     keys = ["match_id"] + (["period"] if by_period else [])
     held = possession.filter(F.col("ball_status").isin("HOME", "AWAY"))
-    o = Ordered(held, keys, ["frame_idx"]).lag("_prev", F.col("ball_status"))
+    o = Ordered(held, keys, ["frame_idx"]).add(_prev=lag(F.col("ball_status")))
     new = F.col("_prev").isNull() | (F.col("_prev") != F.col("ball_status"))
-    o = o.running_sum("_run", new.cast("int"))
+    o = o.add(_run=running_sum(new.cast("int")))
     return o.df.groupBy(*keys, "_run").agg(
         F.first("ball_status").alias("team"), F.min("frame_idx").alias("start"),
         F.max("frame_idx").alias("end"), F.min("timestamp").alias("t0"),
@@ -83,7 +83,7 @@ def transitions(tracks: DataFrame, possession: DataFrame, min_hold_s: float = 1.
     """Turnovers with where the ball was won and how far it went in the next seconds."""
     keys = ["match_id"] + (["period"] if by_period else [])
     runs = possession_runs(possession, fps, by_period).filter(F.col("len_s") >= min_hold_s)
-    o = Ordered(runs, keys, ["start"]).lag("_prev", F.col("team"))
+    o = Ordered(runs, keys, ["start"]).add(_prev=lag(F.col("team")))
     won = o.done().filter(F.col("_prev") != F.col("team"))
     # The look-ahead is a bounded number of frames, so the range becomes an equi-join.
     ahead = F.explode(F.sequence(F.col("start"), (F.col("start") + F.lit(int(window_s * fps)))))
@@ -102,20 +102,12 @@ def transitions(tracks: DataFrame, possession: DataFrame, min_hold_s: float = 1.
                     ((F.col("x1") - F.col("x0")) * sign).alias("gain_m"))
 
 
-def possession_orientation_check(tracks: DataFrame, possession: DataFrame, samples: int = 300) -> DataFrame:
-    """Is the team nearer the ball the one said to hold it? Swap the labels when mostly not."""
+def possession_orientation_check(tracks: DataFrame, possession: DataFrame) -> DataFrame:
+    """Is the team nearer the ball the one said to hold it? Every frame votes; swap the labels when mostly not."""
     from .shape import one_status_per_frame
-    poss = one_status_per_frame(possession)
-    counted = Ordered(poss, ["match_id"], ["frame_idx"]).running_sum("_rn", F.lit(1)).done()
-    total = poss.groupBy("match_id").agg(F.count(F.lit(1)).alias("_total"))
-    step = F.greatest(F.floor(F.col("_total") / samples), F.lit(1))
+    held = one_status_per_frame(possession).filter(F.col("ball_status").isin("HOME", "AWAY"))
     balls = ball(tracks).groupBy("match_id", "frame_idx").agg(F.min(F.struct("track_id", "x", "y")).alias("_b"))
-    picked = (counted.join(total, "match_id").filter((F.col("_rn") - 1) % step == 0)
-              .join(balls, ["match_id", "frame_idx"]))
-    # At most 2 * samples - 1 rows of a match satisfy the step, so this window group is bounded.
-    picked = picked.withColumn("_k", F.row_number().over(
-        Window.partitionBy("match_id").orderBy("frame_idx"))).filter(F.col("_k") <= samples)
-    picked = picked.filter(F.col("ball_status").isin("HOME", "AWAY"))
+    picked = held.join(balls, ["match_id", "frame_idx"])
     p = tracks.filter(F.col("role") != "ball").join(picked, ["match_id", "frame_idx"])
     d = F.hypot(F.col("x") - F.col("_b.x"), F.col("y") - F.col("_b.y"))
     g = p.groupBy("match_id", "frame_idx", "ball_status").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import cut_lineage
+from ..sources.scratch import cut_lineage
 from ..functions.quantiles import exact_percentiles
 from ..schema import AWAY, BALL, GOALKEEPER, HOME, PLAYING, REFEREE, TEAMS, finite
 from .matching import id_switches, match_people_gated
@@ -72,14 +72,13 @@ def role_summary(counts: DataFrame, by=("match_id",)) -> DataFrame:
         ratio(both(REFEREE), p == REFEREE).alias("referee_precision"))
 
 
-def position_summary(pairs: DataFrame, gt: DataFrame, by=("match_id",), match_m: float = 2.0,
-                     limit: int | None = None) -> DataFrame:
+def position_summary(pairs: DataFrame, gt: DataFrame, by=("match_id",), match_m: float = 2.0) -> DataFrame:
     """Median and p90 error of matched people, and recall within `match_m` over located ones."""
     by = list(by)
     people = gt.filter(F.col("role").isin(*PLAYING) & finite(F.col("x")) & finite(F.col("y")))
     total = people.groupBy(*by).agg(F.count(F.lit(1)).alias("gt_people"))
     found = pairs.groupBy(*by).agg(F.count(F.when(F.col("dist") <= match_m, 1)).alias("found"))
-    q = exact_percentiles(pairs, by, "dist", {"pos_err_median_m": 0.5, "pos_err_p90_m": 0.9}, limit=limit)
+    q = exact_percentiles(pairs, by, "dist", {"pos_err_median_m": 0.5, "pos_err_p90_m": 0.9})
     if by:
         out = total.join(found, by, "left").join(q, by, "left")
     else:
@@ -106,15 +105,14 @@ def ball_distances(gt: DataFrame, pred: DataFrame) -> DataFrame:
         "px", F.hypot(F.col("g.u") - F.col("p.u"), F.col("g.v") - F.col("p.v")))
 
 
-def ball_metrics(gt: DataFrame, pred: DataFrame, by=("match_id",), hit_px: float = 20.0,
-                 limit: int | None = None) -> DataFrame:
+def ball_metrics(gt: DataFrame, pred: DataFrame, by=("match_id",), hit_px: float = 20.0) -> DataFrame:
     by = list(by)
     d = ball_distances(gt, pred)
     hit = F.col("px") <= hit_px
     n = F.count(F.lit(1))
     out = d.groupBy(*by).agg(n.alias("gt_frames"), F.count(F.when(hit, 1)).alias("hits"),
                              F.count("px").alias("boxes"))
-    med = exact_percentiles(d.filter(hit), by, "px", {"_m": 0.5}, limit=limit)
+    med = exact_percentiles(d.filter(hit), by, "px", {"_m": 0.5})
     out = out.join(med, by, "left")
     return out.select(*by, F.round(F.col("hits") / F.col("gt_frames"), 4).alias("ball_recall"),
                       F.round("_m", 2).alias("ball_px_median_hits"),
@@ -191,8 +189,7 @@ def team_counts(gt: DataFrame, pred: DataFrame, sides: DataFrame, quota: int = 1
         F.round(F.avg((F.col("m") > quota).cast("double")), 4).alias("quota_breach_share"))
 
 
-def tracking_score(gt: DataFrame, pred: DataFrame, max_dist: float = 5.0, roles=PLAYING,
-                   limit: int | None = None) -> DataFrame:
+def tracking_score(gt: DataFrame, pred: DataFrame, max_dist: float = 5.0, roles=PLAYING) -> DataFrame:
     """Matched pairs, per-frame recall and precision, error percentiles, switches, and a verdict."""
     # Assignment is the costly step and four aggregates read its rows, so it is written once.
     pairs = cut_lineage(match_people_gated(gt, pred, max_dist, roles))
@@ -206,7 +203,7 @@ def tracking_score(gt: DataFrame, pred: DataFrame, max_dist: float = 5.0, roles=
                                       F.avg(F.col("h") / F.col("p")).alias("precision"))
     errs = pairs.groupBy("match_id").agg(F.count(F.lit(1)).alias("matched"), F.avg("dist").alias("err_mean_m"))
     q = exact_percentiles(pairs, ["match_id"], "dist",
-                          {"err_median_m": 0.5, "err_p90_m": 0.9, "err_p99_m": 0.99}, limit=limit)
+                          {"err_median_m": 0.5, "err_p90_m": 0.9, "err_p99_m": 0.99})
     out = rates.join(errs, "match_id").join(q, "match_id").join(id_switches(pairs), "match_id")
     m = F.col("err_median_m")
     band = F.when(m < 0.5, "fine").when(m < 1.5, "formation").when(m < 3.0, "coarse").otherwise("unusable")
@@ -227,14 +224,14 @@ def identity_purity(owners: DataFrame) -> DataFrame:
 
 def active_intervals(tracklets: DataFrame) -> DataFrame:
     """Head count of each side after every change: +1 where a tracklet starts, -1 after its end."""
-    from ..functions.ordered import Ordered
+    from ..functions.ordered import Ordered, lead, running_sum
     change = F.explode(F.array(F.struct(F.col("start").alias("frame_idx"), F.lit(1).alias("d")),
                                F.struct((F.col("end") + 1).alias("frame_idx"), F.lit(-1).alias("d"))))
     ev = tracklets.select("match_id", "team", change.alias("c")).select("match_id", "team", "c.*")
     side = lambda t: F.sum(F.when(F.col("team") == t, F.col("d")).otherwise(0))
     ev = ev.groupBy("match_id", "frame_idx").agg(side(HOME).alias("dh"), side(AWAY).alias("da"))
     o = Ordered(ev, ["match_id"], ["frame_idx"])
-    o = o.running_sum("home_n", F.col("dh")).running_sum("away_n", F.col("da")).lead("until", F.col("frame_idx"))
+    o = o.add(home_n=running_sum(F.col("dh")), away_n=running_sum(F.col("da")), until=lead(F.col("frame_idx")))
     return o.done().select("match_id", "frame_idx", "until", "home_n", "away_n")
 
 

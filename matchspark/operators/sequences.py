@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import Ordered
+from ..functions.ordered import Ordered, lag, running_sum
 from ..schema import AWAY, FPS, HOME, PITCH_LENGTH, PITCH_WIDTH, TEAMS, attacking_sign, players
 from .shape import one_status_per_frame, press_distance, sample_every, team_block
 
@@ -76,10 +76,10 @@ def sequence_runs(hits: DataFrame, every: int, fps: float = FPS, min_s: dict[str
     new shot always starts a new run. `min_s` drops runs shorter than the label's minimum."""
     keys = ["match_id", "label", "team", "period", "run_flank"]
     o = Ordered(hits, keys, ["frame_idx"])
-    o = o.lag("_pf", F.col("frame_idx")).lag("_ps", F.col("shot"))
+    o = o.add(_pf=lag(F.col("frame_idx")), _ps=lag(F.col("shot")))
     new = (F.col("_pf").isNull() | (F.col("frame_idx") - F.col("_pf") > 2 * every)
            | (F.col("shot") != F.col("_ps")))
-    o = o.running_sum("_run", new.cast("int"))
+    o = o.add(_run=running_sum(new.cast("int")))
     g = o.df.groupBy(*keys, "_run").agg(
         F.min("frame_idx").alias("_f0"), F.max("frame_idx").alias("_f1"),
         F.min_by("timestamp", "frame_idx").alias("start_s"), F.max_by("timestamp", "frame_idx").alias("_t1"),

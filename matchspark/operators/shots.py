@@ -1,10 +1,10 @@
 """Replays, live wide play and shot ids from per-frame image signals."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import Ordered
+from ..functions.ordered import Ordered, lag, running_sum
 from ..functions.vectors import l1
 from ..schema import FPS
 
@@ -14,84 +14,100 @@ STINGER_MIN_S, STINGER_GAP_S, REPLAY_MAX_S = 0.5, 0.4, 45.0
 BRIDGE_S, MIN_WIDE_S, CUT = 0.5, 2.0, 0.35
 
 
-def mask_runs(o: Ordered, flag: str, prefix: str) -> Ordered:
-    """Adds {prefix}_first and {prefix}_last: the bounds of the run of equal `flag` a row is in.
-
-    Expects one row per consecutive frame, so a run is known from its two edges alone."""
-    o = o.lag("_p", F.col(flag)).lead("_q", F.col(flag))
-    starts = F.col("_p").isNull() | (F.col("_p") != F.col(flag))
-    ends = F.col("_q").isNull() | (F.col("_q") != F.col(flag))
-    o = (o.col("_s", F.when(starts, F.col("frame_idx"))).col("_e", F.when(ends, F.col("frame_idx")))
-         .last_value(f"{prefix}_first", F.col("_s")).next_value(f"{prefix}_last", F.col("_e")))
-    return o._with(o.df.drop("_p", "_q", "_s", "_e"))
-
-
-def fill_gaps(o: Ordered, flag: str, max_gap: int, blocked: str | None = None) -> Ordered:
-    """Turn interior false runs of at most `max_gap` frames true, unless a blocked frame lies in
-    the run or on the frame after it."""
-    o = mask_runs(o, flag, "_g")
-    o = o.lag("_b", F.col(flag)).lead("_a", F.col(flag))
-    # A run is interior when the frames just outside it exist.
-    first, last = F.col("_g_first"), F.col("_g_last")
-    o = (o.col("_lo", F.when(F.col("frame_idx") == first, F.col("_b").isNotNull()))
-         .col("_hi", F.when(F.col("frame_idx") == last, F.col("_a").isNotNull()))
-         .last_value("_lo2", F.col("_lo")).next_value("_hi2", F.col("_hi")))
-    ok = ~F.col(flag) & F.col("_lo2") & F.col("_hi2") & (last - first + 1 <= max_gap)
-    if blocked:
-        o = o.col("_blk", F.when(F.col(blocked), F.col("frame_idx"))).last_value("_bl", F.col("_blk"))
-        o = o.lead("_bn", F.col("_bl"))
-        # Last blocked frame up to one past the run's end.
-        o = o.col("_edge", F.when(F.col("frame_idx") == last, F.coalesce("_bn", "_bl", F.lit(-1)))).next_value(
-            "_edge2", F.col("_edge"))
-        ok = ok & (F.col("_edge2") < first)
-    o = o.col(flag, F.col(flag) | F.coalesce(ok, F.lit(False)))
-    return o._with(o.df.drop("_g_first", "_g_last", "_b", "_a", "_lo", "_hi", "_lo2", "_hi2", "_blk", "_bl",
-                             "_bn", "_edge", "_edge2"))
+def _by_start():
+    """A match's runs or events in order; never its frames."""
+    return Window.partitionBy("match_id").orderBy("s")
 
 
 def _frames(seconds: float, fps: float) -> int:
     return int(round(seconds * fps))
 
 
-def stinger_and_replay(signals: DataFrame, fps: float = FPS) -> DataFrame:
-    """Adds is_stinger and replay. A replay spans two stingers at most 45 s apart, both included."""
-    o = Ordered(signals.withColumn("is_stinger", F.col("stinger")), ["match_id"], ["frame_idx"])
-    o = fill_gaps(o, "is_stinger", _frames(STINGER_GAP_S, fps))
-    o = mask_runs(o, "is_stinger", "_r")
-    long_run = F.col("is_stinger") & (F.col("_r_last") - F.col("_r_first") + 1 >= _frames(STINGER_MIN_S, fps))
-    o = o.col("is_stinger", long_run)
+def run_table(frames: DataFrame, flags: list[str], marks: Column | None = None) -> DataFrame:
+    """match_id, s, e, the flags, and how many `marks` lie from s to one past e: the runs of frames whose flags are all equal.
+
+    Expects one row per consecutive frame. Only run starts and marked frames leave the frame table.
+    """
+    mark = marks if marks is not None else F.lit(False)
+    o = Ordered(frames, ["match_id"], ["frame_idx"]).add(_was=lag(F.struct(*flags)))
+    starts = F.col("_was").isNull() | ~F.col("_was").eqNullSafe(F.struct(*flags))
+    ends = frames.groupBy("match_id").agg(F.max("frame_idx").alias("_end"))
+    events = o.done().select("match_id", F.col("frame_idx").alias("s"), starts.alias("_start"), mark.alias("_mark"), *flags)
+    events = events.filter(F.col("_start") | F.col("_mark"))
+    seen = F.sum(F.col("_mark").cast("int")).over(_by_start())
+    runs = events.withColumn("_seen", seen).filter("_start").join(ends, "match_id")
+    before = F.col("_seen") - F.col("_mark").cast("int")
+    total = F.max("_seen").over(Window.partitionBy("match_id"))
+    runs = runs.withColumn("_total", total).withColumn("marks", F.coalesce(F.lead("_seen").over(_by_start()), F.col("_total")) - before)
+    return runs.select("match_id", "s", F.coalesce(F.lead("s").over(_by_start()) - 1, F.col("_end")).alias("e"), *flags, "marks")
+
+
+def joined_runs(runs: DataFrame, flag: str) -> DataFrame:
+    """Adds from and to: the bounds of the stretch of neighbouring runs with an equal flag."""
+    new = F.coalesce(F.lag(flag).over(_by_start()) != F.col(flag), F.lit(True))
+    ids = runs.withColumn("_new", new).withColumn("_id", F.sum(F.col("_new").cast("int")).over(_by_start()))
+    same = Window.partitionBy("match_id", "_id")
+    return ids.select(*runs.columns, F.min("s").over(same).alias("from"), F.max("e").over(same).alias("to"), F.sum("marks").over(same).alias("in_marks"))
+
+
+def fill_gaps(runs: DataFrame, flag: str, max_gap: int) -> DataFrame:
+    """Turn interior false stretches of at most `max_gap` frames true, unless a mark lies in one or on the frame after it."""
+    found = joined_runs(runs, flag)
+    inside = Window.partitionBy("match_id")
+    ok = (~F.col(flag) & (F.col("from") > F.min("s").over(inside)) & (F.col("to") < F.max("e").over(inside))
+          & (F.col("to") - F.col("from") + 1 <= max_gap) & (F.col("in_marks") == 0))
+    return found.withColumn("_filled", F.col(flag) | ok).select(*[F.col("_filled" if c == flag else c).alias(c) for c in runs.columns])
+
+
+def stinger_spans(signals: DataFrame, fps: float = FPS) -> tuple[DataFrame, DataFrame]:
+    """(stingers, replays) as match_id, s, e. A replay spans two stingers at most 45 s apart, both included."""
+    runs = fill_gaps(run_table(signals, ["stinger"]), "stinger", _frames(STINGER_GAP_S, fps))
+    stingers = joined_runs(runs, "stinger").filter("stinger").select("match_id", F.col("from").alias("s"), F.col("to").alias("e")).distinct()
+    stingers = stingers.filter(F.col("e") - F.col("s") + 1 >= _frames(STINGER_MIN_S, fps))
     # Chains of stingers close enough to pair; odd members open a replay, even ones close it.
-    runs = o.df.filter(F.col("is_stinger") & (F.col("frame_idx") == F.col("_r_first"))).select(
-        "match_id", F.col("_r_first").alias("s"), F.col("_r_last").alias("e"))
-    r = Ordered(runs, ["match_id"], ["s"]).lag("_pe", F.col("e"))
-    r = r.col("_far", F.col("_pe").isNull() | (F.col("s") - F.col("_pe") > REPLAY_MAX_S * fps))
-    r = r.running_sum("_k", F.lit(1))
-    r = r.col("_k0", F.when(F.col("_far"), F.col("_k"))).last_value("_base", F.col("_k0"))
-    r = r.lead("_next", F.struct("e", "_far"))
-    opens = ((F.col("_k") - F.col("_base")) % 2 == 0) & F.col("_next").isNotNull() & ~F.col("_next._far")
-    spans = r.df.filter(opens).select("match_id", F.col("s").alias("frame_idx"), F.col("_next.e").alias("_until"))
-    o = o._with(o.df.join(spans, ["match_id", "frame_idx"], "left")).last_value("_end", F.col("_until"))
-    o = o.col("replay", F.coalesce(F.col("frame_idx") <= F.col("_end"), F.lit(False)))
-    return o.done().select(*signals.columns, "is_stinger", "replay")
-
-
-def is_wide():
+    gap = F.col("s") - F.lag("e").over(_by_start())
+    chain = stingers.withColumn("_far", F.coalesce(gap > REPLAY_MAX_S * fps, F.lit(True)))
+    chain = chain.withColumn("_chain", F.sum(F.col("_far").cast("int")).over(_by_start()))
+    own = Window.partitionBy("match_id", "_chain").orderBy("s")
+    pairs = chain.withColumn("_k", F.row_number().over(own)).withColumn("_until", F.lead("e").over(own))
+    return stingers, pairs.filter((F.col("_k") % 2 == 1) & F.col("_until").isNotNull()).select("match_id", "s", F.col("_until").alias("e"))
+
+
+def stinger_and_replay(signals: DataFrame, fps: float = FPS) -> DataFrame:
+    """Adds is_stinger and replay."""
+    stingers, replays = stinger_spans(signals, fps)
+    spans = stingers.withColumn("_kind", F.lit(0)).unionByName(replays.withColumn("_kind", F.lit(1)))
+    hit = spans.select("match_id", "_kind", F.explode(F.sequence("s", "e")).alias("frame_idx")).groupBy("match_id", "frame_idx").agg(
+        F.max(F.col("_kind") == 0).alias("is_stinger"), F.max(F.col("_kind") == 1).alias("replay"))
+    out = signals.join(hit, ["match_id", "frame_idx"], "left")
+    return out.select(*signals.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_stinger", "replay")])
+
+
+def is_wide() -> Column:
     return ((F.col("grass") >= GRASS_MIN) & (F.col("blob") <= BLOB_MAX) & ~F.col("stinger")
             & ~F.coalesce(F.col("person_h") > PERSON_H_MAX, F.lit(False)))
 
 
+def with_cuts(signals: DataFrame) -> DataFrame:
+    """Adds cut: the colour histogram jumps from the frame before."""
+    o = Ordered(signals, ["match_id"], ["frame_idx"]).add(_ph=lag(F.col("hist")))
+    return o.done().select(*signals.columns, F.coalesce(0.5 * l1(F.col("hist"), F.col("_ph")) > CUT, F.lit(False)).alias("cut"))
+
+
+def live_spans(frames: DataFrame, fps: float = FPS, min_s: float = MIN_WIDE_S) -> DataFrame:
+    """match_id, s, e, live of wide play outside stingers and replays, bridged over short gaps without a cut."""
+    flagged = frames.withColumn("blocked", F.col("is_stinger") | F.col("replay")).withColumn("live", is_wide() & ~F.col("blocked"))
+    runs = fill_gaps(run_table(flagged, ["live", "blocked"], F.col("cut")), "live", _frames(BRIDGE_S, fps))
+    runs = joined_runs(runs.withColumn("live", F.col("live") & ~F.col("blocked")), "live")
+    return runs.select("match_id", "s", "e", (F.col("live") & (F.col("to") - F.col("from") + 1 >= min_s * fps)).alias("live"))
+
+
 def live_wide_segments(signals: DataFrame, fps: float = FPS) -> DataFrame:
     """Adds is_stinger, replay, cut, live and shot per frame."""
-    df = stinger_and_replay(signals, fps)
-    blocked = F.col("is_stinger") | F.col("replay")
-    o = Ordered(df, ["match_id"], ["frame_idx"]).lag("_ph", F.col("hist"))
-    o = o.col("cut", F.coalesce(0.5 * l1(F.col("hist"), F.col("_ph")) > CUT, F.lit(False)))
-    o = o._with(o.df.drop("_ph")).col("live", is_wide() & ~blocked)
-    o = fill_gaps(o, "live", _frames(BRIDGE_S, fps), "cut").col("live", F.col("live") & ~blocked)
-    o = mask_runs(o, "live", "_w")
-    o = o.col("live", F.col("live") & (F.col("_w_last") - F.col("_w_first") + 1 >= MIN_WIDE_S * fps))
-    o = o.lag("_pl", F.col("live"))
-    new = F.col("cut") | F.coalesce(F.col("_pl") != F.col("live"), F.lit(False))
-    o = o.running_sum("shot", new.cast("int"))
-    return o.done().select(*signals.columns, "is_stinger", "replay", "cut", "live",
-                           F.col("shot").cast("int").alias("shot"))
+    frames = with_cuts(stinger_and_replay(signals, fps))
+    spans = live_spans(frames, fps).withColumn("_new", F.coalesce(F.lag("live").over(_by_start()) != F.col("live"), F.lit(False)))
+    each = spans.select("match_id", "live", "_new", F.col("s"), F.explode(F.sequence("s", "e")).alias("frame_idx"))
+    rows = frames.join(each, ["match_id", "frame_idx"])
+    new = F.col("cut") | (F.col("_new") & (F.col("frame_idx") == F.col("s")))
+    o = Ordered(rows, ["match_id"], ["frame_idx"]).add(shot=running_sum(new.cast("int")))
+    return o.done().select(*signals.columns, "is_stinger", "replay", "cut", "live", F.col("shot").cast("int").alias("shot"))

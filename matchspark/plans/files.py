@@ -45,7 +45,7 @@ def match_metadata(spark, sf):
                                  F.lit(True).alias("attacks_positive_x_first_half"))
     m = D.matches(spark, sf).withColumn("home", info("Home ", "HOM")).withColumn("away", info("Away ", "AWY")).withColumn(
         "provenance", F.create_map(F.lit("from"), F.lit("orders")))
-    M.write_match_state(D.tracks(spark, sf).limit(0), m, path)
+    M.write_match_state(D.tracks(spark, sf), m, path)
     _, back = M.read_match_state(spark, path)
     return back.select("match_id", "fps", "pitch_length", "pitch_width", "source_type", "full_pitch_visible", F.col("home.name").alias("home_name"))
 
@@ -53,14 +53,14 @@ def match_metadata(spark, sf):
 # ------------------------------------------------------------------ feeds
 
 @query("read_mot", """SELECT match_id, frame_idx, track_id, 'player' AS role, 'unknown' AS team, frame_idx/25.0::DOUBLE AS "timestamp", bbox_x, bbox_y, 1.0::DOUBLE AS det_conf
- FROM tracks WHERE role <> 'ball' AND frame_idx < 6000""", "timestamp bbox_x bbox_y det_conf")
+ FROM tracks WHERE role <> 'ball'""", "timestamp bbox_x bbox_y det_conf")
 def read_mot(spark, sf):
     path = scratch_dir(spark)
     t = D.as_tracks(D.people(spark, sf)).select(
         "match_id", F.col("frame_idx").alias("frame"), "track_id", F.col("bbox_x").alias("x"), F.col("bbox_y").alias("y"),
         F.col("bbox_w").alias("w"), F.col("bbox_h").alias("h"), F.lit(1).alias("conf"), F.lit(-1).alias("cls"), F.lit(1).alias("vis"), F.lit(-1).alias("extra"))
     t.write.mode("overwrite").partitionBy("match_id").csv(path)
-    return S.read_mot(spark, path, max_frames=6000, suffix=PART).select(
+    return S.read_mot(spark, path, suffix=PART).select(
         "match_id", "frame_idx", "track_id", "role", "team", "timestamp", "bbox_x", "bbox_y", "det_conf")
 
 
@@ -284,7 +284,7 @@ def _sequences(spark, sf):
 
 
 @query("read_marks", """SELECT match_id, verdict AS what, count(*) AS n FROM mark_rows GROUP BY ALL UNION ALL SELECT match_id, 'missed ' || team, count(*) FROM detect_sequences
- WHERE start_frame % 4 <> 0 GROUP BY ALL UNION ALL SELECT match_id, 'end_s must be after start_s', count(*) FROM detect_sequences WHERE start_frame % 4 = 0 GROUP BY match_id""")
+ WHERE start_frame % 4 <> 0 GROUP BY ALL UNION ALL SELECT match_id, 'empty span', count(*) FROM detect_sequences WHERE start_frame % 4 = 0 GROUP BY match_id""")
 def read_marks(spark, sf):
     marks, missed, problems = X.read_marks(spark, _mark_docs(spark, sf, _sequences(spark, sf)), suffix=PART, lines=True)
     n = lambda df, what: df.groupBy("match_id", what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
@@ -317,10 +317,10 @@ def read_tracking_scores(spark, sf):
 
 
 @query("parse_calibration_scores", """SELECT match_id || '-' || frame_idx AS run_id, round(((ck % 97)/100.0::DOUBLE)*100, 3) AS score, round(((ck % 89)/100.0::DOUBLE)*100, 3) AS completeness,
- (ck % 83)::DOUBLE AS jac, CASE WHEN ck % 5 = 0 THEN 0 ELSE (ck % 79)::DOUBLE END AS "precision", 0.0::DOUBLE AS recall FROM frames WHERE frame_idx % 10 = 0""", 'score completeness jac "precision" recall')
+ (ck % 83)::DOUBLE AS jac, CASE WHEN ck % 5 = 0 THEN 0 ELSE (ck % 79)::DOUBLE END AS "precision", 0.0::DOUBLE AS recall FROM frames""", 'score completeness jac "precision" recall')
 def parse_calibration_scores(spark, sf):
     num = lambda e: F.expr(f"cast({e} as string)")
-    t = D.frames(spark, sf).filter("frame_idx % 10 = 0").select(F.concat_ws("-", "match_id", "frame_idx").alias("run_id"), F.concat(
+    t = D.frames(spark, sf).select(F.concat_ws("-", "match_id", "frame_idx").alias("run_id"), F.concat(
         F.lit("noise\nfinal score of : "), num("(ck % 97) / 100D"), F.lit("\ncompleteness rate of : "), num("(ck % 89) / 100D"),
         F.lit("\naccuracy mean value :  "), num("ck % 83"), F.lit("%\nprecision mean value : "), F.when(F.col("ck") % 5 == 0, "nan").otherwise(num("ck % 79")),
         F.lit("%\n")).alias("value"))

@@ -280,13 +280,10 @@ def live_wide_segments(spark, sf):
 
 @query("fill_mask_gaps", """SELECT match_id, frame_idx, wide OR f.g IS NOT NULL AS live FROM wide1 LEFT JOIN wide_fill f USING (match_id, g)""")
 def fill_mask_gaps(spark, sf):
-    s = X.stinger_and_replay(D.signals(spark, sf))
-    from ..functions.ordered import Ordered
-    from ..functions.vectors import l1
-    o = Ordered(s, ["match_id"], ["frame_idx"]).lag("_ph", F.col("hist"))
-    o = o.col("cut", F.coalesce(0.5 * l1(F.col("hist"), F.col("_ph")) > 0.35, F.lit(False)))
-    o = o.col("live", X.is_wide() & ~F.col("is_stinger") & ~F.col("replay"))
-    return X.fill_gaps(o, "live", 12, "cut").done().select("match_id", "frame_idx", "live")
+    s = X.with_cuts(X.stinger_and_replay(D.signals(spark, sf)))
+    s = s.withColumn("live", X.is_wide() & ~F.col("is_stinger") & ~F.col("replay"))
+    runs = X.fill_gaps(X.run_table(s, ["live"], F.col("cut")), "live", 12)
+    return runs.select("match_id", F.explode(F.sequence("s", "e")).alias("frame_idx"), "live")
 
 
 @query("run_report", """SELECT match_id, any_value(fp) AS frames_processed, any_value(fc) AS frames_calibrated, any_value(det) AS detections,

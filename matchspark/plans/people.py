@@ -136,22 +136,17 @@ def people_minus_officials(spark, sf):
 
 # ------------------------------------------------------------------ kits
 
-define("kit_rows", """SELECT match_id, track_id, frame_idx, role, e, CASE WHEN e % 11 = 0 THEN 2 WHEN e < 11 THEN 0 ELSE 1 END AS kit, (ck*(e+1)) % 10 AS wob FROM gt WHERE frame_idx % 5 = 0""")
+define("kit_rows", """SELECT match_id, track_id, frame_idx, role, e, CASE WHEN e % 11 = 0 THEN 2 WHEN e < 11 THEN 0 ELSE 1 END AS kit, (ck*(e+1)) % 10 AS wob FROM gt""")
 
 
 def kit_rows(spark, sf):
     """Three kits: two teams and the keepers', with a little noise and one row in ten blank."""
-    p = D.as_tracks(D.people(spark, sf)).filter("frame_idx % 5 = 0")
+    p = D.as_tracks(D.people(spark, sf))
     d = "transform(sequence(0, 5), k -> if(w = 9, 0D, if(k = kit * 2, 1D, 0D) + if(k = w % 6, 0.1D, 0D)))"
     p = p.selectExpr("match_id", "track_id", "frame_idx", "role", "if(e % 11 = 0, 2, if(e < 11, 0, 1)) as kit", "(ck * (e + 1)) % 10 as w")
     return p.selectExpr("match_id", "track_id", "frame_idx", "role", "kit", f"{d} as descriptor")
 
 
-@query("fit_sample")
-def fit_sample(spark, sf):
-    return M.fit_sample(kit_rows(spark, sf), 4000).select("match_id", "track_id", "frame_idx")
-
-
 @query("kit_clusters")
 def kit_clusters(spark, sf):
     return M.kit_clusters(kit_rows(spark, sf)).select("match_id", "balance", F.get("c0", F.lit(0)).alias("c00"), F.get("c1", F.lit(0)).alias("c10"))
@@ -195,7 +190,7 @@ def split_officials(spark, sf):
 @query("resolve_identity")
 def resolve_identity(spark, sf):
     t = D.tracks_frag(spark, sf).select(*D.TRACK_COLUMNS).unionByName(D.as_tracks(D.ball(spark, sf)).select(*D.TRACK_COLUMNS))
-    kits = D.tracks_frag(spark, sf).filter("frame_idx % 5 = 0").selectExpr(
+    kits = D.tracks_frag(spark, sf).selectExpr(
         "match_id", "track_id", "frame_idx", "transform(sequence(0, 5), k -> if(k = if(e % 11 = 0, 4, if(e < 11, 0, 2)), 1D, 0.01D * ((ck + k) % 3))) as descriptor")
     out = I.resolve_identity(t, M.mean_descriptors(kits))
     return out.groupBy("match_id", "team", "role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("track_id").alias("people"))

@@ -25,7 +25,7 @@ define("ground_lines", "SELECT * FROM (VALUES " + ", ".join(
 
 # ------------------------------------------------------------------ derived inputs
 
-define("label_frames", "SELECT * FROM frames WHERE frame_idx % 50 = 0")
+define("label_frames", "SELECT * FROM frames")
 LABEL = """SELECT match_id, frame_idx, ck, k, landmark, lx, ly, 960 + 8*lx + ((ck*(k+{a})) % 5 - 2) AS u, 540 + 6*ly + ((ck*(k+{b})) % 5 - 2) AS v
  FROM label_frames, pitch_points WHERE (ck + k) % {m} <> 0"""
 define("labels_a", LABEL.format(a=1, b=2, m=3))
@@ -36,7 +36,7 @@ define("cams", """SELECT match_id, frame_idx, ck, 0.125::DOUBLE AS a, -120.0::DO
 
 def label_rows(spark, sf, a, b, m):
     pts = G.landmark_array(F.lit(105.0), F.lit(68.0))
-    f = D.frames(spark, sf).filter("frame_idx % 50 = 0").select("match_id", "frame_idx", "ck", F.posexplode(pts).alias("k", "p"))
+    f = D.frames(spark, sf).select("match_id", "frame_idx", "ck", F.posexplode(pts).alias("k", "p"))
     return f.filter(f"(ck + k) % {m} <> 0").selectExpr(
         "match_id", "frame_idx", "ck", "k", "p.landmark", "p.lx", "p.ly", f"960D + 8D * p.lx + ((ck * (k + {a})) % 5 - 2) as u",
         f"540D + 6D * p.ly + ((ck * (k + {b})) % 5 - 2) as v")
@@ -207,11 +207,11 @@ def orientation_suspects(spark, sf):
  count(j) FILTER (NOT sw) AS pairs_between, count(*) FILTER (j IS NULL) AS pairs_skipped FROM (SELECT match_id, frame_idx, any_value(sw) AS sw, avg(moved) AS j FROM (
  SELECT *, sqrt(power((a*(u + t) + b)/(1 + p1*v) - lx, 2) + power((c*v + d)/(1 + p1*v) - ly, 2)) AS moved FROM (SELECT *, (lx*(1 + p*v) - b)/a AS u FROM (
  SELECT q.*, lx, ly, (ly - d)/(c - p*ly) AS v FROM (SELECT *, lead(p) OVER w AS p1, keyf OR lead(keyf) OVER w AS sw, lead(frame_idx) OVER w AS nf FROM cams
- WINDOW w AS (PARTITION BY match_id ORDER BY frame_idx)) q, pitch_points WHERE nf IS NOT NULL AND k % 5 = 0))) GROUP BY match_id, frame_idx) GROUP BY match_id""",
+ WINDOW w AS (PARTITION BY match_id ORDER BY frame_idx)) q, pitch_points WHERE nf IS NOT NULL))) GROUP BY match_id, frame_idx) GROUP BY match_id""",
        "switch_m between_m")
 def calibration_jitter(spark, sf):
     pts = G.landmark_array(F.lit(105.0), F.lit(68.0))
-    points = D.matches(spark, sf).select("match_id", F.posexplode(pts).alias("k", "p")).filter("k % 5 = 0").select("match_id", "p.lx", "p.ly")
+    points = D.matches(spark, sf).select("match_id", F.posexplode(pts).alias("k", "p")).select("match_id", "p.lx", "p.ly")
     return C.calibration_jitter(cams(spark, sf), points)
 
 
@@ -225,8 +225,8 @@ def pair_weighted_mean(spark, sf):
 # ------------------------------------------------------------------ camera lines
 
 define("line_labels", """SELECT match_id, frame_idx, ck, line, q, ((ck*(k+3+q)) % 97)/97.0::DOUBLE AS qx, ((ck*(k+5+q)) % 89)/89.0::DOUBLE AS qy
- FROM frames, ground_lines, range(2) t(q) WHERE frame_idx % 100 = 0""")
-define("line_cams", """SELECT match_id, frame_idx, radians((ck % 21 - 10)::DOUBLE) AS pa, radians((75 + ck % 5)::DOUBLE) AS ti, 1500.0::DOUBLE*0.5 AS fo FROM frames WHERE frame_idx % 100 = 0""")
+ FROM frames, ground_lines, range(2) t(q)""")
+define("line_cams", """SELECT match_id, frame_idx, radians((ck % 21 - 10)::DOUBLE) AS pa, radians((75 + ck % 5)::DOUBLE) AS ti, 1500.0::DOUBLE*0.5 AS fo FROM frames""")
 define("line_variants", """SELECT match_id, frame_idx, 0 AS m, line, qx, qy FROM line_labels UNION ALL SELECT match_id, frame_idx, 1,
  CASE WHEN line LIKE '%left%' THEN replace(line, 'left', 'right') WHEN line LIKE '%right%' THEN replace(line, 'right', 'left') WHEN line LIKE '%top' THEN replace(line, 'top', 'bottom')
  WHEN line LIKE '%bottom' THEN replace(line, 'bottom', 'top') ELSE line END, qx, qy FROM line_labels""")
@@ -243,7 +243,7 @@ define("line_point_dist", """SELECT match_id, frame_idx, m, line, qx, qy, min(sq
 @query("median_reprojection_px", """SELECT match_id, frame_idx, round(min(px), 3) AS median_px FROM (SELECT match_id, frame_idx, m, median(dd) AS px
  FROM line_point_dist GROUP BY match_id, frame_idx, m) GROUP BY match_id, frame_idx""", "median_px")
 def median_reprojection_px(spark, sf):
-    f = D.frames(spark, sf).filter("frame_idx % 100 = 0")
+    f = D.frames(spark, sf)
     names = F.array(*[F.lit(r[1]) for r in LINES])
     lines = f.select("match_id", "frame_idx", "ck", F.posexplode(names).alias("k", "line")).withColumn("q", F.explode(F.array(F.lit(0), F.lit(1))))
     lines = lines.selectExpr("match_id", "frame_idx", "line", "((ck * (k + 3 + q)) % 97) / 97D as qx", "((ck * (k + 5 + q)) % 89) / 89D as qy")
@@ -255,14 +255,14 @@ def median_reprojection_px(spark, sf):
 @query("mirror_lines", """SELECT match_id, frame_idx, count(*) AS n, count(DISTINCT line) AS names, min(line) AS first_line FROM line_variants WHERE m = 1 GROUP BY match_id, frame_idx""")
 def mirror_lines(spark, sf):
     names = F.array(*[F.lit(r[1]) for r in LINES])
-    l = D.frames(spark, sf).filter("frame_idx % 100 = 0").select("match_id", "frame_idx", F.explode(names).alias("line"))
+    l = D.frames(spark, sf).select("match_id", "frame_idx", F.explode(names).alias("line"))
     l = l.withColumn("q", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("line", G.mirror_line())
     return l.groupBy("match_id", "frame_idx").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line").alias("names"), F.min("line").alias("first_line"))
 
 
 # ------------------------------------------------------------------ pitch size
 
-define("measures", "SELECT match_id, 68 + (ck % 40)/4.0::DOUBLE + CASE WHEN ck % 3 = 0 THEN 20 ELSE 0 END AS value, frame_idx AS ord FROM frames WHERE frame_idx % 25 = 0")
+define("measures", "SELECT match_id, 68 + (ck % 40)/4.0::DOUBLE + CASE WHEN ck % 3 = 0 THEN 20 ELSE 0 END AS value, frame_idx AS ord FROM frames")
 
 
 @query("consensus_measure", """SELECT match_id, any_value(med) AS value, any_value(agree) AS n_agree, any_value(spread) AS spread FROM (SELECT b.*, (SELECT max(value) - min(value) FROM measures m
@@ -270,7 +270,7 @@ define("measures", "SELECT match_id, 68 + (ck % 40)/4.0::DOUBLE + CASE WHEN ck %
  SELECT a.match_id, a.value, a.ord, count(*) AS agree, row_number() OVER (PARTITION BY a.match_id ORDER BY count(*) DESC, a.ord) AS k FROM measures a
  JOIN measures b ON a.match_id = b.match_id AND abs(a.value - b.value) <= 2 GROUP BY a.match_id, a.value, a.ord) b WHERE k = 1) GROUP BY match_id""", "value spread")
 def consensus_measure(spark, sf):
-    m = D.frames(spark, sf).filter("frame_idx % 25 = 0").selectExpr(
+    m = D.frames(spark, sf).selectExpr(
         "match_id", "68D + (ck % 40) / 4D + if(ck % 3 = 0, 20D, 0D) as value", "frame_idx as ord")
     return C.consensus_measure(m)
 
@@ -317,7 +317,7 @@ SPLITS = """SELECT match_id, frame_idx, match_id || '/' || lpad(frame_idx::VARCH
 
 
 def splits(spark, sf):
-    return L.assign_splits(D.frames(spark, sf).filter("frame_idx % 50 = 0").select("match_id", "frame_idx"))
+    return L.assign_splits(D.frames(spark, sf).select("match_id", "frame_idx"))
 
 
 @query("assign_splits", SPLITS, cte=True)
@@ -327,7 +327,7 @@ def assign_splits(spark, sf):
 
 @query("even_spread_sample")
 def even_spread_sample(spark, sf):
-    c = D.frames(spark, sf).filter("frame_idx % 50 = 0 and ck % 3 <> 0").selectExpr("match_id", "frame_idx", "ck % 5 = 0 as rejected")
+    c = D.frames(spark, sf).filter("ck % 3 <> 0").selectExpr("match_id", "frame_idx", "ck % 5 = 0 as rejected")
     return L.even_spread_sample(c)
 
 

@@ -344,23 +344,21 @@ def transition_summary(spark, sf):
 @query("possession_orientation_check", """SELECT match_id, count(*) FILTER (ok) AS agree, count(*) FILTER (NOT ok) AS disagree,
  count(*) FILTER (NOT ok) > count(*) FILTER (ok) AS swapped FROM (SELECT match_id, frame_idx, (CASE WHEN min(ball_dist) FILTER (team='away') <
  min(ball_dist) FILTER (team='home') THEN 'AWAY' ELSE 'HOME' END) = any_value(ball_status) AS ok FROM player_ball JOIN (
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame_idx) AS k FROM (
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame_idx) - 1 AS rn,
- greatest(count(*) OVER (PARTITION BY match_id) // 300, 1) AS step FROM possession_gt) WHERE rn % step = 0)
- JOIN norm_ball USING (match_id, frame_idx)) WHERE k <= 300 AND ball_status IN ('HOME','AWAY')) USING (match_id, frame_idx)
+ SELECT match_id, frame_idx, ball_status FROM possession_gt JOIN norm_ball USING (match_id, frame_idx)
+ WHERE ball_status IN ('HOME','AWAY')) USING (match_id, frame_idx)
  GROUP BY match_id, frame_idx) GROUP BY match_id""")
 def possession_orientation_check(spark, sf):
     return P.possession_orientation_check(norm(spark, sf), D.possession_gt(spark, sf))
 
 
-@query("swap_team_labels", """SELECT match_id, team, count(*) AS n FROM tracks GROUP BY match_id, team""")
+@query("swap_team_labels", """SELECT match_id, track_id, team, count(*) AS n FROM tracks GROUP BY match_id, track_id, team""")
 def swap_team_labels(spark, sf):
     """Labels turned the wrong way round are detected and put back."""
     t = norm(spark, sf)
     flip = F.when(F.col("team") == "home", "away").when(F.col("team") == "away", "home").otherwise(F.col("team"))
     bad = t.withColumn("team", flip)
     fixed = P.swap_team_labels(bad, P.possession_orientation_check(bad, D.possession_gt(spark, sf)))
-    return fixed.groupBy("match_id", "team").agg(F.count(F.lit(1)).alias("n"))
+    return fixed.groupBy("match_id", "track_id", "team").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("distinct_frames", """SELECT match_id, frame_idx, period, "timestamp" FROM frames""", "timestamp")

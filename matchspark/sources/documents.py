@@ -81,9 +81,9 @@ def read_marks(spark: SparkSession, path: str, suffix: str = r"\.json", lines: b
     """(sequence marks, missed entries, problems) of review documents; teams are lower-cased on read."""
     d = spark.read.schema(MARKS).option("multiLine", not lines).json(path).withColumn("match_id", match_of_path(suffix))
     bad = (F.when(F.coalesce(F.col("version"), F.lit(-1)) != 1, "version")
-           .when(F.col("reviewer").isNull() | F.col("video").isNull(), "reviewer and video must be text")
-           .when(F.col("video_offset_s").isNull() | F.isnan("video_offset_s"), "video_offset_s must be a number")
-           .when(F.col("sequences").isNull() | F.col("missed").isNull(), "sequences and missed are required"))
+           .when(F.col("reviewer").isNull() | F.col("video").isNull(), "no reviewer or video")
+           .when(F.col("video_offset_s").isNull() | F.isnan("video_offset_s"), "no video offset")
+           .when(F.col("sequences").isNull() | F.col("missed").isNull(), "no list of marks"))
     docs = d.withColumn("_bad", bad)
     seq = docs.filter("_bad is null").select("match_id", F.explode("sequences").alias("sequence_id", "m")).select(
         "match_id", "sequence_id", "m.verdict", "m.note")
@@ -94,7 +94,7 @@ def read_marks(spark: SparkSession, path: str, suffix: str = r"\.json", lines: b
     mis = mis.withColumn("problem", F.when(F.coalesce(F.col("label"), F.lit("")) == "", "label")
                          .when(~F.coalesce(F.col("team").isin("HOME", "AWAY"), F.lit(False)), "team")
                          .when(~(finite("start_s") & finite("end_s")), "times")
-                         .when(F.col("end_s") <= F.col("start_s"), "end_s must be after start_s")).withColumn("team", F.lower("team"))
+                         .when(F.col("end_s") <= F.col("start_s"), "empty span")).withColumn("team", F.lower("team"))
     problems = (docs.filter("_bad is not null").select("match_id", F.col("_bad").alias("problem"))
                 .unionByName(seq.filter("problem is not null").select("match_id", "problem"))
                 .unionByName(mis.filter("problem is not null").select("match_id", "problem")))

@@ -4,13 +4,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_dir(spark: SparkSession) -> str:
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset a new temporary folder, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    return f"{shared_base(spark)}/files-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; for loops only, whose plans would grow without end."""
+    sc = df.sparkSession.sparkContext
+    base = shared_base(df.sparkSession)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return df.checkpoint()

@@ -21,10 +21,8 @@ def spark():
 
 @pytest.fixture(params=["plain", "chunked"])
 def mode(request, spark):
-    """Run a test with groups windowed whole, and again with every group treated as oversized."""
+    """Run a test with the usual chunks, and again with groups cut into many small ones."""
     if request.param == "chunked":
-        spark.conf.set("spark.matchspark.maxGroupRows", "5")
         spark.conf.set("spark.matchspark.chunkRows", "16")
     yield request.param
-    spark.conf.unset("spark.matchspark.maxGroupRows")
     spark.conf.unset("spark.matchspark.chunkRows")

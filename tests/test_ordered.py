@@ -3,7 +3,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from matchspark.functions.ordered import Ordered
+from matchspark.functions.ordered import Ordered, lag, last_value, lead, next_value, running_max, running_sum
 from matchspark.functions.quantiles import exact_percentiles
 
 
@@ -21,10 +21,9 @@ def test_scans_match_pandas(spark, mode):
     t = _table()
     df = spark.createDataFrame(t.astype({"s": object}).where(t.notna(), None), "k string, f int, v double, s double")
     o = Ordered(df, ["k"], ["f"])
-    assert o.chunked == (mode == "chunked")
-    got = (o.running_sum("rs", F.col("v")).running_max("rm", F.col("v"), strict=True).lag("lg", F.col("s")).lead("ld", F.col("v"))
-           .last_value("lv", F.col("s")).last_value("lvs", F.col("s"), strict=True).next_value("nv", F.col("s"))
-           .next_value("nvs", F.col("s"), strict=True).done().toPandas().sort_values(["k", "f"]).reset_index(drop=True))
+    got = (o.add(rs=running_sum(F.col("v")), rm=running_max(F.col("v"), strict=True), lg=lag(F.col("s")), ld=lead(F.col("v")))
+           .add(lv=last_value(F.col("s")), lvs=last_value(F.col("s"), strict=True), nv=next_value(F.col("s")), nvs=next_value(F.col("s"), strict=True))
+           .done().toPandas().sort_values(["k", "f"]).reset_index(drop=True))
     t = t.sort_values(["k", "f"]).reset_index(drop=True)
     g = t.groupby("k")
     want = {"rs": g["v"].cumsum(), "rm": g["v"].transform(lambda s: s.cummax().shift()), "lg": g["s"].shift(), "ld": g["v"].shift(-1),
@@ -45,3 +44,13 @@ def test_percentiles_exact(spark, mode):
             assert abs(got.loc[k, n] - np.quantile(g["x"], s)) < 1e-9
     whole = exact_percentiles(df, [], "x", shares).toPandas().iloc[0]
     assert abs(whole["hi"] - np.quantile(t["x"], 0.9)) < 1e-9
+
+
+def test_building_runs_no_job(spark):
+    """Columns and percentiles are added without looking at the data."""
+    df = spark.createDataFrame(_table(), "k string, f int, v double, s double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    exact_percentiles(Ordered(df, ["k"], ["f"]).add(rs=running_sum(F.col("v"))).done(), ["k"], "rs", {"mid": 0.5})
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("", "")

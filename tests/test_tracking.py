@@ -4,7 +4,7 @@ import itertools
 import numpy as np
 import pandas as pd
 
-from matchspark.functions.tracking import BallPicker, Tracks, best_path
+from matchspark.functions.tracking import BallWatch, Tracks, best_path
 from matchspark.operators import identity as I
 from matchspark.operators.teams import kit_clusters, mean_descriptors, split_officials, team_scores_by_track
 from matchspark.operators.tracking import link_ball_path, track_detections
@@ -85,7 +85,7 @@ def test_tracker_appearance_and_retirement():
 
 
 def test_ball_picker_ignores_a_lone_still_ball():
-    p, picks = BallPicker(), []
+    p, picks = BallWatch(), []
     for f in range(120):
         xy = np.array([[20.0, 5.0], [0.2 * f, 0.0]])
         picks.append(p.pick(f, xy, np.array([.9, .3]), np.array([[0.2 * f, 1.0]]))[0])
