@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from .common import join_on
 
-TOKENIZER, END_ID, CACHE, SLICE = "byte_bpe_50k.json", 0, 400_000, 512
+TOKENIZER, END_ID, CACHE, SLICE = "byte_bpe_50k.json", 0, 200_000, 256
 SCHEMA = "doc_id bigint, n_tokens bigint, file_start bigint, ids array<int>"
 CUT = re.compile(r"(?= \S)")      # before a space that a visible character follows: byte-level pre-tokens never cross it
+ODD = re.compile(r" (?:\s|\Z)")  # a text without these is cut at every space
 
 
 class Encoder:
     """Ids of whole texts, through the tokenizers library.
 
-    Texts are cut where no pre-token can cross; a piece's ids are remembered (at most CACHE pieces a worker) and the pieces not
+    Texts are cut where no pre-token can cross; a piece's ids are remembered (two generations of about CACHE pieces) and the pieces not
     seen before are encoded in one go, their borders found from the byte lengths of the tokens.
     """
 
@@ -36,43 +37,38 @@ class Encoder:
             self.width[i] = len(piece)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces; those that start at a cut are joined, as joining at cuts changes no ids."""
-        inner = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        outer = [p for p in pieces if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
-        self.known.update(zip(outer, self.direct(outer)))
-        for a in range(0, len(inner), 4096):
-            part = inner[a:a + 4096]
-            ids = np.frombuffer(self.direct(["".join(part)])[0], np.int32)
-            ends = np.cumsum([len(p.encode()) for p in part])
-            stops = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            raw, start = ids.tobytes(), 0
-            for p, stop in zip(part, stops.tolist()):
-                self.known[p] = raw[4 * start:4 * stop]
-                start = stop
+    def learn(self, pieces: set[str]) -> None:
+        """Ids of pieces (each with a space before it) not known yet: from the older generation, or encoded in joined texts, as
+        joining at cuts changes no ids."""
+        again = pieces.intersection(self.before)
+        self.known.update((p, self.before[p]) for p in again)
+        new = list(pieces.difference(again))
+        for a in range(0, len(new), 8192):
+            part = new[a:a + 8192]
+            raw = self.direct([" " + " ".join(part)])[0]
+            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in part), np.int64, len(part)))
+            stops = (4 * (np.searchsorted(np.cumsum(self.width[np.frombuffer(raw, np.int32)]), ends) + 1)).tolist()
+            self.known.update((p, raw[a:b]) for p, a, b in zip(part, [0, *stops], stops))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out: list[bytes] = [b""] * len(texts)
-        cut = [(i, CUT.split(t)) for i, t in enumerate(texts) if t and not any(s in t for s in self.special)]
-        whole = [i for i, t in enumerate(texts) if t and any(s in t for s in self.special)]
-        for i, ids in zip(whole, self.direct([texts[i] for i in whole])):
-            out[i] = ids
-        for i, pieces in cut:
-            new = set(pieces).difference(self.known)
-            new.discard("")
-            if new:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                    new = set(pieces) - {""}
-                self.learn(list(new))
-            known = self.known
-            out[i] = b"".join([known[p] for p in pieces if p])
-        return out
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        cuts = [[t] if i in whole else [p[1:] if k else p for k, p in enumerate(CUT.split(t))] if ODD.search(t) else t.split(" ")
+                for i, t in enumerate(texts)]
+        first = self.direct([c[0] for c in cuts])
+        if len(self.known) > CACHE:                         # the older generation goes, pieces met again are kept
+            self.before, self.known = self.known, {}
+        rest = [c[1:] for c in cuts]
+        new = set().union(*rest).difference(self.known)
+        if new:
+            self.learn(new)
+        get = self.known.__getitem__
+        return [head + b"".join(map(get, tail)) for head, tail in zip(first, rest)]
 
 
 ENCODERS: dict[str, Encoder] = {}     # one a worker process and tokenizer
