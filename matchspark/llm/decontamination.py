@@ -14,35 +14,36 @@ UNITS = ("kilometers kilometres kilograms centimeters centimetres meters metres
          "litres gallons seconds minutes hours days weeks months years dollars euros cents percent degrees km kg cm mm mg ml mph kmh lb oz ft")
 CANON = (
     (MARK, " "),
-    (r"(?<=[a-z0-9,;:] )(\p{Lu}\p{Ll}+)", rf" {MARK}p$1 "),                            # a capital inside a sentence: a name
-    (r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*", rf" {MARK}n$0 "),                      # a number
+    (r"\p{Lu}(?<=[a-z0-9,;:] \p{Lu})\p{Ll}+", rf" {MARK}p$0 "),                        # a capital inside a sentence: a name
+    (r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,][0-9]+)*", rf" {MARK}n$0 "),            # a number
     (rf"({MARK}n[0-9.,]+) \s*({UNITS.replace(' ', '|')})(?![\p{{L}}\p{{N}}])", rf"$1 {MARK}u$2 "),     # a unit after a number
 )
 CLEAN = rf"[^\p{{L}}\p{{N}}.,{MARK}]+|[.,](?![0-9])"
 
 
-def tokens(text: Column) -> Column:
-    """Words of a canonical text, lower case; placeholders keep their value behind their mark."""
+def canonical(text: Column) -> Column:
+    """Words of a text, lower case and space-separated; placeholders keep their value behind their mark."""
     t = reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), CANON, F.coalesce(text.cast("string"), F.lit("")))
-    return F.split(F.trim(F.lower(F.regexp_replace(t, CLEAN, " "))), " +")
+    return F.lower(F.regexp_replace(t, CLEAN, " "))
 
 
 def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, at, h, slots: every window of WINDOW template words by its hash, with the values in its placeholders (null: none).
 
-    `rows` has the keys and a column `tokens`. Texts of fewer words have no window.
+    `rows` has the keys and a column `canon`. Texts of fewer words have no window.
     """
-    marked = F.col("tokens").isNotNull() & F.exists("tokens", lambda t: t.startswith(MARK))
-    hashed = rows.select(*keys, "tokens", F.transform("tokens", lambda t: F.xxhash64(F.when(t.startswith(MARK), F.substring(t, 1, 2)).otherwise(t))).alias("hs"),
-                         marked.alias("marked"))
+    split = rows.select(*keys, F.array_remove(F.split("canon", " "), "").alias("tokens"), F.contains("canon", F.lit(MARK)).alias("marked"))
+    typed = F.transform("tokens", lambda t: F.xxhash64(F.when(t.startswith(MARK), F.substring(t, 1, 2)).otherwise(t)))
+    hashed = split.select(*keys, "tokens", "marked", F.when(F.col("marked"), typed).otherwise(F.transform("tokens", lambda t: F.xxhash64(t))).alias("hs"))
     last = F.size("hs") - WINDOW
 
     def window(i: Column) -> Column:
         h = F.xxhash64(*[F.get("hs", i + k) for k in range(WINDOW)])
         slots = F.when(F.col("marked"), F.transform(F.slice("tokens", i + 1, F.lit(WINDOW)), lambda t: F.when(t.startswith(MARK), t)))
         return F.struct(i.alias("at"), h.alias("h"), slots.alias("slots"))
-    each = F.explode(F.transform(F.sequence(F.lit(0), last), window))
-    return hashed.where(last >= 0).select(*keys, each.alias("w")).select(*keys, "w.at", "w.h", "w.slots")
+    each = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window))
+    # outer, with the filter behind it: a filter before it would be inferred from it and compute all windows twice
+    return hashed.select(*keys, F.explode_outer(each).alias("w")).where(F.col("w").isNotNull()).select(*keys, "w.at", "w.h", "w.slots")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -54,10 +55,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     WINDOW words match nothing; repeated rows are found once per (doc_id, text); other columns are ignored.
     """
     text = F.col("text").cast("string")
-    asked = windows(benchmark.where(F.col("item_id").isNotNull()).select("item_id", tokens(text).alias("tokens")), ["item_id"])
+    asked = windows(benchmark.where(F.col("item_id").isNotNull()).select("item_id", canonical(text).alias("canon")), ["item_id"])
     item = asked.select("item_id", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots")).distinct()
     sizes = item.groupBy("item_id").agg(F.count_distinct("item_at").alias("windows"))
-    found = windows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(text).alias("tokens")), ["doc_id", "text_hash"])
+    found = windows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), canonical(text).alias("canon")), ["doc_id", "text_hash"])
     small = item.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS        # else the windows of both sides are shuffled by hash
     hits = found.join(F.broadcast(item) if small else item, "h")
     pairs = F.filter(F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("a"), F.coalesce("slots", F.array().cast("array<string>")).alias("b")),
