@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import join_on
 
-TOKENIZER, END_ID, CACHE, SLICE = "byte_bpe_50k.json", 0, 200_000, 256
+TOKENIZER, END_ID, CACHE, SLICE = "byte_bpe_50k.json", 0, 200_000, 512
 SCHEMA = "doc_id bigint, n_tokens bigint, file_start bigint, ids array<int>"
 CUT = re.compile(r"(?= \S)")      # before a space that a visible character follows: byte-level pre-tokens never cross it
 ODD = re.compile(r" (?:\s|\Z)")  # a text without these is cut at every space
@@ -45,8 +45,9 @@ class Encoder:
     def learn(self, pieces: set[str]) -> None:
         """Ids of pieces (each with a space before it) not known yet: from the older generation, or encoded in joined texts, as
         joining at cuts changes no ids."""
-        again = pieces.intersection(self.before)
-        self.known.update((p, self.before[p]) for p in again)
+        before = self.before
+        again = [p for p in pieces if p in before] if before else []
+        self.known.update((p, before[p]) for p in again)
         new = list(pieces.difference(again))
         for a in range(0, len(new), 8192):
             part = new[a:a + 8192]
