@@ -116,15 +116,15 @@ class Ordered:
         return self.df.drop("_chunk")
 
 
-def position_blocks(df: DataFrame, keys: list[str], order: list[str], halo: int, block_rows: int | None = None):
+def position_blocks(df: DataFrame, keys: list[str], order: list[str], halo: int, block_rows: int | None = None, **steps: Step):
     """(df, window keys, keep) for rolling windows of at most `halo` rows each side.
 
     Adds `_p` (0-based position) and `_n` (group size). Rows are dealt to position blocks and the `halo` rows at each block edge
-    are copied to the neighbour; `keep` marks the rows to retain afterwards.
+    are copied to the neighbour; `keep` marks the rows to retain afterwards. Further `steps` are added in the same pass.
     """
     block_rows = max(block_rows or chunk_size(df.sparkSession), 2 * halo)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out = Ordered(df, keys, order).add(_p=running_sum(F.lit(1))).done().withColumn("_p", F.col("_p") - 1).join(sizes, list(keys))
+    out = Ordered(df, keys, order).add(_p=running_sum(F.lit(1)), **steps).done().withColumn("_p", F.col("_p") - 1).join(sizes, list(keys))
     home, within = F.floor(F.col("_p") / block_rows), F.col("_p") % block_rows
     out = out.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(F.array(
         home, F.when((within < halo) & (home > 0), home - 1), F.when(within >= block_rows - halo, home + 1)))))
