@@ -114,21 +114,37 @@ def _best_pairs(edges: DataFrame) -> DataFrame:
                 if j - i == 1:
                     keep.append(i)
                     continue
-                part = df.iloc[i:j]
-                a, ai = np.unique(part["a"], return_inverse=True)
-                b, bi = np.unique(part["b"], return_inverse=True)
-                cost, where = np.full((len(a), len(b)), 1e6), np.full((len(a), len(b)), -1)
-                cost[ai, bi], where[ai, bi] = part["cost"], np.arange(i, j)
-                r, c = assign(cost)
-                keep += [k for k in where[r, c] if k >= 0]
-            yield df.iloc[keep]
+                for rows in _linked(df["a"].to_numpy()[i:j], df["b"].to_numpy()[i:j]):
+                    part = df.iloc[i + rows]
+                    a, ai = np.unique(part["a"], return_inverse=True)
+                    b, bi = np.unique(part["b"], return_inverse=True)
+                    cost, where = np.full((len(a), len(b)), 1e6), np.full((len(a), len(b)), -1)
+                    cost[ai, bi], where[ai, bi] = part["cost"], i + rows
+                    r, c = assign(cost)
+                    keep += [k for k in where[r, c] if k >= 0]
+            yield df.iloc[sorted(keep)]
     return (e.repartition("match_id", "island").sortWithinPartitions("match_id", "island", "a", "b").mapInPandas(solve, e.schema))
 
 
-def stitch_tracklets(tracklets: DataFrame, fps: float = FPS, max_passes: int = 6, **gates) -> DataFrame:
-    """Join fragments across short gaps, several passes so chains collapse; a written table per pass."""
+def _linked(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Positions of the edges of each connected component, so that only what competes is solved together."""
+    _, ai = np.unique(a, return_inverse=True)
+    _, bi = np.unique(b, return_inverse=True)
+    left, right = np.arange(ai.max() + 1), np.full(bi.max() + 1, len(a))
+    while True:
+        np.minimum.at(right, bi, left[ai])
+        before = left.copy()
+        np.minimum.at(left, ai, right[bi])
+        if (before == left).all():
+            break
+    order = np.argsort(left[ai], kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(left[ai][order])) + 1)
+
+
+def stitch_tracklets(tracklets: DataFrame, fps: float = FPS, **gates) -> DataFrame:
+    """Join fragments across short gaps until no pair is left; a written table per pass. Every pass has fewer tracklets."""
     work = cut_lineage(tracklets)
-    for _ in range(max_passes):
+    while True:
         pairs = cut_lineage(_alternate(_best_pairs(candidate_successors(work, fps, **gates))))
         if pairs.isEmpty():
             break

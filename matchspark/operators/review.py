@@ -57,7 +57,7 @@ def headline_metric():
     return F.coalesce("check_metric", by_kind, F.try_element_at(F.map_keys("aggregate"), F.lit(1)))
 
 
-def scoreboard(tasks: DataFrame, history: int = 20) -> DataFrame:
+def scoreboard(tasks: DataFrame, history: int) -> DataFrame:
     """The newest runs of each suite with one headline cell per task (a long table to pivot or print)."""
     runs = tasks.select("suite", "run_id", "finished_at").distinct()
     w = Window.partitionBy("suite").orderBy(F.desc("finished_at"), "run_id")

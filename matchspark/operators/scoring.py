@@ -256,7 +256,7 @@ def cluster_diagnosis(labels: DataFrame) -> DataFrame:
     return g.withColumn("ok", ok).withColumn("note", note)
 
 
-def cluster_sample(labels: DataFrame, per_cluster: int = 12) -> DataFrame:
+def cluster_sample(labels: DataFrame, per_cluster: int) -> DataFrame:
     """The first distinct tracks of each cluster, for a person to look at."""
     first = labels.groupBy("match_id", "cluster", "track_id").agg(F.min("frame_idx").alias("frame_idx"))
     w = Window.partitionBy("match_id", "cluster").orderBy("frame_idx", "track_id")

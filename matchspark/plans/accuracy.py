@@ -272,7 +272,7 @@ def embedding_cluster_diagnosis(spark, sf):
 @query("cluster_sample", """SELECT * FROM (SELECT match_id, cluster::INT AS cluster, track_id, frame_idx, row_number() OVER (PARTITION BY match_id, cluster ORDER BY frame_idx, track_id) AS k
  FROM (SELECT match_id, cluster, track_id, min(frame_idx) AS frame_idx FROM cluster_rows GROUP BY ALL)) WHERE k <= 12""")
 def cluster_sample(spark, sf):
-    return C.cluster_sample(cluster_rows(spark, sf))
+    return C.cluster_sample(cluster_rows(spark, sf), 12)
 
 
 # ------------------------------------------------------------------ detections

@@ -404,4 +404,4 @@ define("newest_runs", """SELECT * FROM (SELECT suite, run_id, row_number() OVER
 @query("scoreboard", """SELECT t.suite, k, t.run_id, task_id, CASE WHEN status = 'failed' THEN 'error' WHEN kind = 'gsr_pipeline' THEN 'hota_jersey_off' ELSE 'score' END AS metric,
  CASE WHEN status <> 'failed' THEN CASE WHEN kind = 'gsr_pipeline' THEN hota ELSE score END END AS value FROM run_tasks t JOIN newest_runs USING (suite, run_id)""", "value")
 def scoreboard(spark, sf):
-    return R.scoreboard(R.evaluate_check(run_tasks(spark, sf)).drop("value")).select("suite", "k", "run_id", "task_id", "metric", "value")
+    return R.scoreboard(R.evaluate_check(run_tasks(spark, sf)).drop("value"), 20).select("suite", "k", "run_id", "task_id", "metric", "value")

@@ -328,7 +328,7 @@ def assign_splits(spark, sf):
 @query("even_spread_sample")
 def even_spread_sample(spark, sf):
     c = D.frames(spark, sf).filter("ck % 3 <> 0").selectExpr("match_id", "frame_idx", "ck % 5 = 0 as rejected")
-    return L.even_spread_sample(c)
+    return L.even_spread_sample(c, 15)
 
 
 NUM = "regexp_replace(printf('%.2f', round({c}, 2)), '0$', '')"
