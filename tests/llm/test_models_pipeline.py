@@ -138,7 +138,7 @@ def test_frequencies_cover_all_documents(spark, sf001):
 
 
 def test_pipeline_stages_hold_what_they_promise(spark, sf001):
-    from test_texts import slow_groups, slow_leaks, slow_print
+    from .test_texts import slow_groups, slow_leaks, slow_print
     sf = sf001.replace("0.001", "0.01")
     docs = table(spark, sf, "documents")
     bench = table(spark, sf, "benchmark").toPandas()
