@@ -97,12 +97,10 @@ def test_results_do_not_depend_on_group_size(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    spark.conf.set("spark.matchspark.maxGroupRows", "20")
     spark.conf.set("spark.matchspark.chunkRows", "200")
     try:
         got = entry.queries()[name](spark, SF).toPandas()
     finally:
-        spark.conf.unset("spark.matchspark.maxGroupRows")
         spark.conf.unset("spark.matchspark.chunkRows")
     assert compare(got, con.execute(entry.oracle_sql()[name]).df()) == "ok"
 
