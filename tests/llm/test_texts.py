@@ -228,6 +228,20 @@ def test_reparameterised_questions(spark, sf001, odd_docs, no_docs):
     assert decontamination.leaks(no_docs, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_copies_whatever_stands_around_their_capitals(spark, sf001):
+    short, item = "What is the capital of France?", "Tell me how Anna and Bert in Paris met Carl from Rome and then left Dora in Oslo with Emil"
+    copies = [f"Question: {short} Answer: Paris.", f"1, {short}", short.upper(), f"so {short.lower()}", short.replace(" of ", " of\n"), short]
+    longer = [item.lower(), item.replace(" in ", " in\n"), item.replace(" ", "  "), item.upper(), item.title(), f"Task: {item}"]
+    docs = spark.createDataFrame(list(enumerate(copies + longer)) + [(99, "What is the colour of France? Tell me how")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, short), (2, item)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, 1.0).collect()}
+    assert got == {(i, 1) for i in range(len(copies))} | {(i + len(copies), 2) for i in range(len(longer))}
+    assert [r.doc_id for r in decontamination.clean(docs, bench).collect()] == [99]
+    near = spark.createDataFrame([(1, "Question: Compute 5 times 7 plus 9"), (2, "Yes. Compute 5 times 7 plus 9")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "Compute 3 times 4 plus 8")], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in decontamination.leaks(near, asked).collect()) == [1, 2]
+
+
 def test_big_benchmark_is_shuffled_not_broadcast(spark, sf001, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf001}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, decontamination.leaks(docs, bench).collect()))
