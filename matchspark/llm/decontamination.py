@@ -16,7 +16,7 @@ SPACE = rf"[\s\p{{Z}}{MARK}]"
 CANON = (
     (rf"[\s\p{{Z}}{MARK}&&[^ ]]{SPACE}*| {SPACE}+", " "),                               # white space that is not one blank: lines may be wrapped anywhere
     (r"\p{Lu}(?<=[a-z0-9,;:] \p{Lu})\p{Ll}+", rf" {MARK}p$0"),                         # a capital inside a sentence: a name, as long as its word
-    (r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,][0-9]+)*", rf" {MARK}n$0 "),            # a number
+    (r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,][0-9]+)*+", rf" {MARK}n$0 "),           # a number; possessive, or Java recurses once a part
     (rf"({MARK}n[0-9.,]+) \s*({UNITS.replace(' ', '|')})(?![\p{{L}}\p{{N}}])", rf"$1 {MARK}u$2 "),     # a unit after a number
 )
 TITLE = r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}"

@@ -242,6 +242,13 @@ def test_copies_whatever_stands_around_their_capitals(spark, sf001):
     assert sorted(r.doc_id for r in decontamination.leaks(near, asked).collect()) == [1, 2]
 
 
+def test_long_rows_of_numbers(spark, sf001):
+    item = "Add the numbers 4 and 5 to what is left of them"
+    rows = [(1, "1" + ",2" * 50_000 + " end. " + item), (2, "7" + ".25" * 50_000), (3, "1" + ", 2" * 50_000)]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()] == [(1, 1)]
+
+
 def test_big_benchmark_is_shuffled_not_broadcast(spark, sf001, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf001}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, decontamination.leaks(docs, bench).collect()))
