@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +129,9 @@ def first_of_id(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def shard_batches(batches: Iterator[pa.RecordBatch], codes: Codes, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, is_query, id, vector) sorted so that a shard's rows come first and its queries follow."""
+    """Rows (shard, is_query, id, vector) sorted so that a shard's rows come first and its queries, one row an id, follow.
+
+    Held at once: the rows of a shard and one block of queries."""
     def blocks():
         for b in batches:
             shard, ask, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -140,22 +142,18 @@ def shard_batches(batches: Iterator[pa.RecordBatch], codes: Codes, k: int) -> It
                 if e > s:
                     yield shard[s], bool(ask[s]), ids[s:e], x[s:e]
 
-    def solve(rows, asks):
+    for _, group in groupby(blocks(), key=lambda b: b[0]):
+        rows, first = [], []
+        for _, ask, ids, x in group:
+            if ask:
+                first = [(ids, x)]
+                break
+            rows.append((ids, x))
         ids, x = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros((0, 1)))
-        asks = [tuple(np.concatenate(c) for c in zip(*asks))] if asks else []
-        asks = [first_of_id(*a) for a in asks]
-        for qid, vid, score in search_shard(*first_of_id(ids, x), codes, iter(asks), k):
+        asks = chain(first, ((i, q) for _, _, i, q in group))                # one arriving block of queries at a time
+        for qid, vid, score in search_shard(*first_of_id(ids, x), codes, asks, k):
             yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(vid, pa.int64()), pa.array(score, pa.float64())],
                                              ["query_id", "vec_id", "score"])
-    now, rows, asks, held = None, [], [], 0
-    for shard, ask, ids, x in blocks():
-        if now is not None and shard != now:
-            yield from solve(rows, asks)
-            rows, asks, held = [], [], 0
-        now = shard
-        (asks if ask else rows).append((ids, x))
-    if now is not None:
-        yield from solve(rows, asks)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -178,6 +176,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     shards = -(-common.c // SHARD_ROWS)
     own = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("ask"), "id", "x")
     asks = usable(queries, vec, common.n).where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("x"))
+    asks = asks.groupBy("id").agg(F.min("x").alias("x"))                     # of repeated ids the smallest vector, before the copy
     asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"), "id", "x")
     dealt = own.unionByName(asks).repartition(int(shards), "shard").sortWithinPartitions("shard", "ask")
     found = dealt.mapInArrow(lambda b: shard_batches(b, codes, k), schema)

@@ -110,3 +110,27 @@ def test_shard_batches_split_anywhere():
         parts = [batch.slice(i, n) for i in range(0, 300, n)]
         return sorted(t for b in hashing_search.shard_batches(iter(parts), codes, 5) for t in zip(*(c.to_pylist() for c in b.columns)))
     assert rows(300) == rows(7) == rows(1)
+
+
+def test_queries_stream_through_a_shard():
+    rng = np.random.default_rng(4)
+    x, read = rng.normal(size=(300, 6)), []
+    codes = hashing_search.Codes(x, float(np.linalg.norm(x, axis=1).max()), 5)
+    shard, ask = np.zeros(300, np.int32), np.arange(300) >= 100
+    batch = pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ask), pa.array(np.arange(300)), pa.array(x.tolist(), pa.list_(pa.float64()))], ["a", "b", "c", "d"])
+
+    def parts():
+        for i in range(0, 300, 20):
+            read.append(i)
+            yield batch.slice(i, 20)
+    out = hashing_search.shard_batches(parts(), codes, 5)
+    first = next(out)
+    assert len(read) <= 7 and set(first.column(0).to_pylist()) == set(range(100, 120))
+    assert sum(b.num_rows for b in out) == 180 * 5
+
+
+def test_repeated_query_ids_count_once(spark, sf001):
+    rows = spark.createDataFrame([(i, [1.0 + i, 1.0]) for i in range(1, 8)], "vec_id bigint, embedding array<double>")
+    asks = spark.createDataFrame([(100, [1.0, float(i % 3)]) for i in range(50)], rows.schema)
+    got = hashing_search.nearest(rows, asks, 3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(7, 8.0), (6, 7.0), (5, 6.0)]
