@@ -311,11 +311,14 @@ class Scorer:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[DataFrame, DataFrame]:
-    """A bounded sample of labelled texts outside the held-out fold, `rows` a class (smallest hashes), and the class counts."""
+    """A bounded sample of labelled texts outside the held-out fold, `rows` a class (smallest hashes), and the class counts.
+
+    Of the rows that share an id one text stays, that of the smallest hash."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     picks = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     pick = picks[0].unionByName(picks[1])
     texts = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")      # at most 2 x rows small rows
+    texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return texts, known.groupBy("y").count()
 
 

@@ -174,3 +174,11 @@ def test_pipeline_of_odd_and_empty_rows(spark, sf001, odd_docs, no_docs):
             assert at.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, at, sf001).count() == at.count()
     assert simhash.RADIUS == 4
+
+
+def test_labelled_rows_are_one_text_an_id(spark, sf001):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(i, f"copy {j}") for i in (1, 2, 3, 4, 6, 7) for j in range(50)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    rows = [tuple(r) for r in toxicity.labelled(docs, labels, "toxic", 20)[0].select("doc_id", "y", "text").collect()]
+    assert len(rows) == len({r[0] for r in rows}) and {1, 2, 3, 4, 6, 7} & {r[0] for r in rows}
+    assert sorted(rows) == sorted(tuple(r) for r in toxicity.labelled(docs.repartition(7), labels, "toxic", 20)[0].select("doc_id", "y", "text").collect())
