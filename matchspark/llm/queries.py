@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, hashing_search, mixing, orc_tokens, quality, secret_scan, sharding, simhash, toxicity
+from . import chat, decontamination, hard_negatives, hashing_search, language_id, mixing, orc_tokens, quality, secret_scan, sharding, simhash, spelling, toxicity
 from .common import crc32_of, held_out, shared_dir, table
 from .oracles import SQL as ORACLES  # noqa: F401
 
@@ -77,6 +77,23 @@ def op10_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), NEIGHBOURS)
 
 
+def op11_pivotal_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), min_chars=6, min_count=5, slip_every=199)
+    return spelling.variants(words, ratio=5)
+
+
+def op12_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("id") % 100 == 0, scale=256, positives=5, negatives=5, share=(80, 100))
+
+
+def op13_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), language_id.kept_from_training(F.col("doc_id"))
+    return language_id.predicted(docs, language_id.fit(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_jump_sharding, op2_flow_mixing, op3_trigram_secrets, op4_bigru_toxicity, op5_orc_tokens, op6_event_chat,
-    op7_bktree_simhash, op8_template_decontamination, op9_neighbour_quality, op10_multi_index_search)}
+    op7_bktree_simhash, op8_template_decontamination, op9_neighbour_quality, op10_multi_index_search,
+    op11_pivotal_spelling, op12_residue_negatives, op13_bayes_language)}
