@@ -7,6 +7,7 @@ Nothing runs while the columns are added, and no key gathers in one task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -81,51 +82,61 @@ def lead(expr: Column) -> Step:
 
 
 class Ordered:
-    """A DataFrame with keys and an order; methods return a new one with columns added."""
+    """A DataFrame with keys and an order; methods return a new one with columns added.
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], chunk_rows: int | None = None, _cut: bool = False):
+    Steps are noted, not nested: the rows are always the input, joined with one table of a row per chunk that holds what every step
+    carries in, and all columns are computed on one exchange and one sort. Each further `add` reads the input once more, for its summaries.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], chunk_rows: int | None = None):
         self.keys, self.order, self.chunk_rows = list(keys), list(order), chunk_rows or chunk_size(df.sparkSession)
-        self.df = df if _cut else df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(self.chunk_rows)).cast("long"))
+        self._base = df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(self.chunk_rows)).cast("long"))
+        self._noted: tuple = ()
+        self._chunks: DataFrame | None = None
+
+    def _with(self, noted, chunks: DataFrame | None = None) -> "Ordered":
+        out = copy(self)
+        out._noted, out._chunks = (*self._noted, noted), chunks if chunks is not None else self._chunks
+        return out
 
-    def _with(self, df: DataFrame) -> "Ordered":
-        return Ordered(df, self.keys, self.order, self.chunk_rows, _cut=True)
+    def _carried(self) -> list[str]:
+        return [c for c in self._chunks.columns if c not in self.keys and c != "_chunk"] if self._chunks is not None else []
+
+    def _rows(self) -> DataFrame:
+        """The input with all noted columns, and what the chunk carries in."""
+        part = [*self.keys, "_chunk"]
+        inside = Window.partitionBy(*part).orderBy(*self.order)
+        df = self._base if self._chunks is None else self._base.join(self._chunks, part, "left")
+        for level, noted in enumerate(self._noted):
+            if callable(noted):
+                df = noted(df)
+                continue
+            df = df.select("*", *[step.here(inside).alias(f"_h_{name}") for name, step in noted.items()])
+            new = {name: step.both(F.col(f"_h_{name}"), F.col(f"_c{level}_{name}")) for name, step in noted.items()}
+            kept = [c for c in df.columns if c not in new and not (c.startswith("_h_") and c[3:] in new)]
+            df = df.select(*kept, *[c.alias(name) for name, c in new.items()])
+        return df
 
     def add(self, **steps: Step) -> "Ordered":
         """Columns that need each other's inputs only, in one pass."""
         part, by = [*self.keys, "_chunk"], F.struct(*self.order)
-        inside = Window.partitionBy(*part).orderBy(*self.order)
+        level, known = len(self._noted), self._carried()
+        sums = self._rows().groupBy(*part).agg(*[F.first(c).alias(c) for c in known], *[s.summary(by).alias(f"_s_{n}") for n, s in steps.items()])
         across = Window.partitionBy(*self.keys).orderBy("_chunk")
-        sums = self.df.groupBy(*part).agg(*[s.summary(by).alias(f"_s_{n}") for n, s in steps.items()])
-        carried = sums.select(*part, *[s.carry(F.col(f"_s_{n}"), across).alias(f"_c_{n}") for n, s in steps.items()])
-        rows = self.df.select("*", *[s.here(inside).alias(f"_h_{n}") for n, s in steps.items()])
-        joined = rows.join(carried, part, "left")
-        new = {n: s.both(F.col(f"_h_{n}"), F.col(f"_c_{n}")) for n, s in steps.items()}
-        kept = [c for c in self.df.columns if c not in new]
-        return self._with(joined.select(*kept, *[c.alias(n) for n, c in new.items()]))
+        return self._with(steps, sums.select(*part, *known, *[s.carry(F.col(f"_s_{n}"), across).alias(f"_c{level}_{n}") for n, s in steps.items()]))
 
     def col(self, name: str, expr: Column) -> "Ordered":
-        return self._with(self.df.withColumn(name, expr))
+        return self._with(lambda df: df.withColumn(name, expr))
 
     def filter(self, cond: Column) -> "Ordered":
-        return self._with(self.df.filter(cond))
+        return self._with(lambda df: df.filter(cond))
 
     def drop(self, *names: str) -> "Ordered":
-        return self._with(self.df.drop(*names))
+        return self._with(lambda df: df.drop(*names))
+
+    @property
+    def df(self) -> DataFrame:
+        return self._rows().drop(*self._carried())
 
     def done(self) -> DataFrame:
         return self.df.drop("_chunk")
-
-
-def position_blocks(df: DataFrame, keys: list[str], order: list[str], halo: int, block_rows: int | None = None, **steps: Step):
-    """(df, window keys, keep) for rolling windows of at most `halo` rows each side.
-
-    Adds `_p` (0-based position) and `_n` (group size). Rows are dealt to position blocks and the `halo` rows at each block edge
-    are copied to the neighbour; `keep` marks the rows to retain afterwards. Further `steps` are added in the same pass.
-    """
-    block_rows = max(block_rows or chunk_size(df.sparkSession), 2 * halo)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out = Ordered(df, keys, order).add(_p=running_sum(F.lit(1)), **steps).done().withColumn("_p", F.col("_p") - 1).join(sizes, list(keys))
-    home, within = F.floor(F.col("_p") / block_rows), F.col("_p") % block_rows
-    out = out.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(F.array(
-        home, F.when((within < halo) & (home > 0), home - 1), F.when(within >= block_rows - halo, home + 1)))))
-    return out, [*keys, "_block"], F.col("_block") == F.col("_home")

@@ -23,6 +23,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_base(spark)}/files-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet in the shared folder and read again: for an input that several branches of a plan read."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; for loops only, whose plans would grow without end."""
     sc = df.sparkSession.sparkContext
