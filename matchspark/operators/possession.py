@@ -6,8 +6,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import Ordered, lag, running_sum
+from ..functions.ordered import Ordered, lag, lead, running_sum
 from ..schema import AWAY, FPS, HOME, PITCH_LENGTH, PITCH_WIDTH, TEAMS, ball, is_playing
+from ..sources.scratch import written
 from .shape import with_ball
 
 
@@ -41,14 +42,16 @@ def possession_from_control(control: DataFrame, min_hold_s: float = 0.5, max_gap
                             fps: float = FPS, by_period: bool = False) -> DataFrame:
     hold_n, max_gap_n = max(1, math.ceil(min_hold_s * fps)), int(max_gap_s * fps)
     keys = ["match_id"] + (["period"] if by_period else [])
-    o = Ordered(control, keys, ["frame_idx"]).add(_pos=running_sum(F.lit(1)), _was=lag(F.col("control")))
+    control = written(control)                  # one narrow row a frame, read by every step below
+    o = Ordered(control, keys, ["frame_idx"]).add(_pos=running_sum(F.lit(1)), _was=lag(F.col("control")), _then=lead(F.col("control")))
     frames = o.done()
-    # From here on one row per run of equal control; the windows below hold a match's runs, not its frames.
-    starts = frames.filter(F.col("_was").isNull() | (F.col("_was") != F.col("control")))
-    size = frames.groupBy(*keys).agg(F.max("_pos").alias("_size"))
+    # From here on the first rows of the runs of equal control, and a match's last row; the windows below hold these, not the frames.
+    start, end = F.col("_was").isNull() | (F.col("_was") != F.col("control")), F.col("_then").isNull()
+    edges = frames.filter(start | end).select(*keys, "_pos", "control", start.alias("_start"))
     w = Window.partitionBy(*keys).orderBy("_pos")
     upto, before = (w.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
-    runs = starts.select(*keys, "_pos", "control").join(size, keys)
+    size = F.max("_pos").over(Window.partitionBy(*keys))
+    runs = edges.withColumn("_size", size).filter("_start")
     runs = runs.withColumn("_len", F.coalesce(F.lead("_pos").over(w), F.col("_size") + 1) - F.col("_pos"))
     marker = (F.when(F.col("control").isin("HOME", "AWAY", "BALLOUT"), F.col("control"))
               .when((F.col("control") == "NONE") & (F.col("_len") > max_gap_n), "UNKNOWN"))
@@ -82,7 +85,7 @@ def transitions(tracks: DataFrame, possession: DataFrame, min_hold_s: float = 1.
                 window_s: float = 5.0, fps: float = FPS, by_period: bool = False) -> DataFrame:
     """Turnovers with where the ball was won and how far it went in the next seconds."""
     keys = ["match_id"] + (["period"] if by_period else [])
-    runs = possession_runs(possession, fps, by_period).filter(F.col("len_s") >= min_hold_s)
+    runs = written(possession_runs(possession, fps, by_period).filter(F.col("len_s") >= min_hold_s))
     o = Ordered(runs, keys, ["start"]).add(_prev=lag(F.col("team")))
     won = o.done().filter(F.col("_prev") != F.col("team"))
     # The look-ahead is a bounded number of frames, so the range becomes an equi-join.

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import Ordered, lag, running_sum
 from ..schema import AWAY, FPS, HOME, PITCH_LENGTH, PITCH_WIDTH, TEAMS, attacking_sign, players
-from .shape import one_status_per_frame, press_distance, sample_every, team_block
+from ..sources.scratch import written
+from .shape import goalkeepers, one_status_per_frame, press_distance, sample_every, team_block
 
 SEQUENCE_COLUMNS = ("match_id", "label", "team", "period", "start_s", "end_s", "start_frame", "end_frame",
                     "duration_s", "def_line_x", "compactness_m", "n_within_10m", "flank",
@@ -48,10 +49,12 @@ def frame_lookups(tracks: DataFrame, possession: DataFrame, every: int = 5,
                   flank_y: float | None = None, length: float = PITCH_LENGTH,
                   width: float = PITCH_WIDTH) -> DataFrame:
     """Block rows with status, press count, ball and flank evidence; missing counts are 0."""
-    live = live_only(tracks)
-    block = team_block(live, every=every)
-    frame = ["match_id", "frame_idx"]
-    per_frame = sample_every(live, every).groupBy(*frame).agg(
+    live, frame = live_only(tracks), ["match_id", "frame_idx"]
+    keepers = goalkeepers(live)
+    # The sampled rows, written once for the four branches below.
+    live = written(sample_every(live, every).select(*frame, "period", "timestamp", "track_id", "role", "team", "x", "y", "shot"))
+    block = team_block(live, every=every, keepers=keepers)
+    per_frame = live.groupBy(*frame).agg(
         F.min_by("shot", "track_id").alias("shot"),
         F.min(F.when(F.col("role") == "ball", F.struct("track_id", "x"))).alias("_b"))
     status = one_status_per_frame(sample_every(possession, every))
@@ -75,7 +78,7 @@ def sequence_runs(hits: DataFrame, every: int, fps: float = FPS, min_s: dict[str
     """Consecutive hits of one label, team, period and flank; one missing sample is tolerated and a
     new shot always starts a new run. `min_s` drops runs shorter than the label's minimum."""
     keys = ["match_id", "label", "team", "period", "run_flank"]
-    o = Ordered(hits, keys, ["frame_idx"])
+    o = Ordered(written(hits), keys, ["frame_idx"])            # far fewer rows than what they are derived from
     o = o.add(_pf=lag(F.col("frame_idx")), _ps=lag(F.col("shot")))
     new = (F.col("_pf").isNull() | (F.col("frame_idx") - F.col("_pf") > 2 * every)
            | (F.col("shot") != F.col("_ps")))

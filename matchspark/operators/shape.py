@@ -74,20 +74,19 @@ def goalkeepers(tracks: DataFrame) -> DataFrame:
         F.max_by("track_id", F.when(regular, F.struct(F.abs("mx"), -F.col("track_id"))))).alias("keeper_id"))
 
 
-def _outfield_flag(tracks: DataFrame, exclude_gk: bool) -> DataFrame:
+def _outfield_flag(tracks: DataFrame, exclude_gk: bool, keepers: DataFrame | None = None) -> DataFrame:
     p = players(tracks).filter(F.col("team").isin(*TEAMS))
     if not exclude_gk:
         return p.withColumn("_out", F.lit(True))
-    p = p.join(goalkeepers(tracks), ["match_id", "team"], "left")
+    p = p.join(goalkeepers(tracks) if keepers is None else keepers, ["match_id", "team"], "left")
     return p.withColumn("_out", F.col("keeper_id").isNull() | (F.col("track_id") != F.col("keeper_id")))
 
 
-def team_block(tracks: DataFrame, exclude_gk: bool = True, every: int = 25) -> DataFrame:
-    """Per sampled frame and team with at least six outfielders: lines, depth, width, compactness."""
+def block_of(outfield: DataFrame, *keys) -> DataFrame:
+    """Shape of each group of rows flagged `_out` for outfielders; `keys` name a team's frame. Also over a stream."""
     sign = attacking_sign()
-    p = sample_every(_outfield_flag(tracks, exclude_gk), every)
     mine = F.col("_out")
-    b = p.groupBy("match_id", "frame_idx", "period", "team").agg(
+    b = outfield.groupBy(*keys).agg(
         F.min("timestamp").alias("timestamp"),
         F.count(F.when(mine, 1)).alias("n_outfield"),
         F.sort_array(F.collect_list(F.when(mine, F.col("x") * sign))).alias("_xs"),
@@ -109,6 +108,14 @@ def team_block(tracks: DataFrame, exclude_gk: bool = True, every: int = 25) -> D
         (spread / F.col("n_outfield")).alias("compactness_m"), sign.alias("attacking_sign"))
 
 
+def team_block(tracks: DataFrame, exclude_gk: bool = True, every: int = 25, keepers: DataFrame | None = None) -> DataFrame:
+    """Per sampled frame and team with at least six outfielders: lines, depth, width, compactness.
+
+    `keepers` (match, team, keeper_id) are those of the tracks unless given."""
+    p = sample_every(_outfield_flag(tracks, exclude_gk, keepers), every)
+    return block_of(p, "match_id", "frame_idx", "period", "team")
+
+
 def formation_over_time(tracks: DataFrame, window_s: float = 300.0, every: int = 25) -> DataFrame:
     """Nearest formation per (period, team) window, from regulars' mean depth."""
     p = sample_every(_outfield_flag(tracks, True), every).filter("_out")

@@ -1,10 +1,14 @@
 """Replays, live wide play and shot ids from per-frame image signals."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import Ordered, lag, running_sum
+from ..functions.batches import whole_groups
+from ..functions.intervals import at_least, closed, joined, minus, union, within
+from ..functions.ordered import Ordered, lag, lead
 from ..functions.vectors import l1
 from ..schema import FPS
 
@@ -26,19 +30,17 @@ def _frames(seconds: float, fps: float) -> int:
 def run_table(frames: DataFrame, flags: list[str], marks: Column | None = None) -> DataFrame:
     """match_id, s, e, the flags, and how many `marks` lie from s to one past e: the runs of frames whose flags are all equal.
 
-    Expects one row per consecutive frame. Only run starts and marked frames leave the frame table.
+    Expects one row per consecutive frame. Only run starts, marked frames and a match's last frame leave the frame table.
     """
     mark = marks if marks is not None else F.lit(False)
-    o = Ordered(frames, ["match_id"], ["frame_idx"]).add(_was=lag(F.struct(*flags)))
+    o = Ordered(frames, ["match_id"], ["frame_idx"]).add(_was=lag(F.struct(*flags)), _then=lead(F.lit(True)))
     starts = F.col("_was").isNull() | ~F.col("_was").eqNullSafe(F.struct(*flags))
-    ends = frames.groupBy("match_id").agg(F.max("frame_idx").alias("_end"))
-    events = o.done().select("match_id", F.col("frame_idx").alias("s"), starts.alias("_start"), mark.alias("_mark"), *flags)
-    events = events.filter(F.col("_start") | F.col("_mark"))
-    seen = F.sum(F.col("_mark").cast("int")).over(_by_start())
-    runs = events.withColumn("_seen", seen).filter("_start").join(ends, "match_id")
+    events = o.done().select("match_id", F.col("frame_idx").alias("s"), starts.alias("_start"), F.col("_then").isNull().alias("_last"), mark.alias("_mark"), *flags)
+    events = events.filter(F.col("_start") | F.col("_mark") | F.col("_last"))
+    seen, whole = F.sum(F.col("_mark").cast("int")).over(_by_start()), Window.partitionBy("match_id")
+    runs = events.select("*", seen.alias("_seen"), F.max("s").over(whole).alias("_end"), F.sum(F.col("_mark").cast("int")).over(whole).alias("_total")).filter("_start")
     before = F.col("_seen") - F.col("_mark").cast("int")
-    total = F.max("_seen").over(Window.partitionBy("match_id"))
-    runs = runs.withColumn("_total", total).withColumn("marks", F.coalesce(F.lead("_seen").over(_by_start()), F.col("_total")) - before)
+    runs = runs.withColumn("marks", F.coalesce(F.lead("_seen").over(_by_start()), F.col("_total")) - before)
     return runs.select("match_id", "s", F.coalesce(F.lead("s").over(_by_start()) - 1, F.col("_end")).alias("e"), *flags, "marks")
 
 
@@ -59,55 +61,92 @@ def fill_gaps(runs: DataFrame, flag: str, max_gap: int) -> DataFrame:
     return found.withColumn("_filled", F.col(flag) | ok).select(*[F.col("_filled" if c == flag else c).alias(c) for c in runs.columns])
 
 
-def stinger_spans(signals: DataFrame, fps: float = FPS) -> tuple[DataFrame, DataFrame]:
-    """(stingers, replays) as match_id, s, e. A replay spans two stingers at most 45 s apart, both included."""
-    runs = fill_gaps(run_table(signals, ["stinger"]), "stinger", _frames(STINGER_GAP_S, fps))
-    stingers = joined_runs(runs, "stinger").filter("stinger").select("match_id", F.col("from").alias("s"), F.col("to").alias("e")).distinct()
-    stingers = stingers.filter(F.col("e") - F.col("s") + 1 >= _frames(STINGER_MIN_S, fps))
-    # Chains of stingers close enough to pair; odd members open a replay, even ones close it.
-    gap = F.col("s") - F.lag("e").over(_by_start())
-    chain = stingers.withColumn("_far", F.coalesce(gap > REPLAY_MAX_S * fps, F.lit(True)))
-    chain = chain.withColumn("_chain", F.sum(F.col("_far").cast("int")).over(_by_start()))
-    own = Window.partitionBy("match_id", "_chain").orderBy("s")
-    pairs = chain.withColumn("_k", F.row_number().over(own)).withColumn("_until", F.lead("e").over(own))
-    return stingers, pairs.filter((F.col("_k") % 2 == 1) & F.col("_until").isNotNull()).select("match_id", "s", F.col("_until").alias("e"))
-
-
-def stinger_and_replay(signals: DataFrame, fps: float = FPS) -> DataFrame:
-    """Adds is_stinger and replay."""
-    stingers, replays = stinger_spans(signals, fps)
-    spans = stingers.withColumn("_kind", F.lit(0)).unionByName(replays.withColumn("_kind", F.lit(1)))
-    hit = spans.select("match_id", "_kind", F.explode(F.sequence("s", "e")).alias("frame_idx")).groupBy("match_id", "frame_idx").agg(
-        F.max(F.col("_kind") == 0).alias("is_stinger"), F.max(F.col("_kind") == 1).alias("replay"))
-    out = signals.join(hit, ["match_id", "frame_idx"], "left")
-    return out.select(*signals.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_stinger", "replay")])
-
+# ------------------------------------------------------------------ one run table, one pass over it, one way back
 
 def is_wide() -> Column:
+    """Wide play by the picture alone."""
     return ((F.col("grass") >= GRASS_MIN) & (F.col("blob") <= BLOB_MAX) & ~F.col("stinger")
             & ~F.coalesce(F.col("person_h") > PERSON_H_MAX, F.lit(False)))
 
 
+def signal_runs(signals: DataFrame, cuts: bool = True) -> DataFrame:
+    """match_id, s, stinger, wide, cut, last: the frames where stinger or wide changes or the colour histogram jumps, and each match's last frame.
+
+    Expects one row per consecutive frame. One step in order; all that follows works on these rows, far fewer than the frames.
+    """
+    state = F.struct(F.coalesce("stinger", F.lit(False)).alias("stinger"), F.coalesce(is_wide(), F.lit(False)).alias("wide")) if cuts else F.struct(
+        F.coalesce("stinger", F.lit(False)).alias("stinger"), F.lit(False).alias("wide"))
+    hist = [F.col("hist")] if cuts else []
+    o = Ordered(signals.select("match_id", "frame_idx", state.alias("now"), *hist), ["match_id"], ["frame_idx"]).add(
+        _was=lag(F.struct("now", *hist)), _then=lead(F.lit(True)))
+    cut = F.coalesce(0.5 * l1(F.col("hist"), F.col("_was.hist")) > CUT, F.lit(False)) if cuts else F.lit(False)
+    rows = o.done().select("match_id", F.col("frame_idx").alias("s"), "now.stinger", "now.wide", cut.alias("cut"), F.col("_then").isNull().alias("last"),
+                           (F.col("_was").isNull() | (F.col("_was.now") != F.col("now"))).alias("_new"))
+    return rows.filter(F.col("_new") | F.col("cut") | F.col("last")).drop("_new")
+
+
+def replay_spans(stingers: np.ndarray, reach: float) -> np.ndarray:
+    """From each stinger to the next one if that starts at most `reach` later; a stinger closes one replay at most."""
+    out, i = [], 0
+    while i < len(stingers) - 1:
+        if stingers[i + 1, 0] - stingers[i, 1] <= reach:
+            out.append((stingers[i, 0], stingers[i + 1, 1]))
+            i += 1
+        i += 1
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def match_spans(s: np.ndarray, stinger: np.ndarray, wide: np.ndarray, cut: np.ndarray, fps: float, min_s: float) -> dict[str, np.ndarray]:
+    """A match's stretches of equal stinger, replay, live and shot, from its changes (the last row is its last frame)."""
+    end = np.append(s[1:] - 1, s[-1])
+
+    def spans(flag):
+        return joined(s[flag], end[flag])
+    stingers = at_least(joined(s[stinger], end[stinger], _frames(STINGER_GAP_S, fps)), _frames(STINGER_MIN_S, fps))
+    replays, cuts = replay_spans(stingers, REPLAY_MAX_S * fps), s[cut]
+    blocked = union(stingers, replays)
+    bridged = minus(closed(minus(spans(wide), blocked), _frames(BRIDGE_S, fps), cuts), blocked)
+    live = at_least(bridged, min_s * fps)
+    bounds = [x for span in (stingers, replays, live) for x in (span[:, 0], span[:, 1] + 1)]
+    first = np.unique(np.concatenate([s[:1], cuts, *bounds]))
+    first = first[first <= s[-1]]
+    on, is_cut = within(live, first), np.isin(first, cuts)
+    shot = np.cumsum(is_cut | np.append(False, on[1:] != on[:-1]))
+    return {"s": first, "e": np.append(first[1:] - 1, s[-1]), "is_stinger": within(stingers, first), "replay": within(replays, first), "cut": is_cut,
+            "live": on, "shot": shot}
+
+
+def spans_per_match(signals: DataFrame, fps: float = FPS, min_s: float = MIN_WIDE_S, cuts: bool = True) -> DataFrame:
+    """match_id, s, e, is_stinger, replay, cut (of the first frame), live, shot: the stretches of every match. A match's changes, not
+    its frames, are held together."""
+    def run(batches):
+        for df, at in whole_groups(batches, ["match_id"]):
+            for a, b in zip(at[:-1], at[1:]):
+                g = df.iloc[a:b]
+                out = match_spans(*(g[c].to_numpy() for c in ("s", "stinger", "wide", "cut")), fps, min_s)
+                yield pd.DataFrame({"match_id": [g["match_id"].iloc[0]] * len(out["s"]), **out})
+    schema = "match_id string, s int, e int, is_stinger boolean, replay boolean, cut boolean, live boolean, shot int"
+    return signal_runs(signals, cuts).repartition("match_id").sortWithinPartitions("match_id", "s").mapInPandas(run, schema)
+
+
+def _onto_frames(signals: DataFrame, spans: DataFrame, *names: str) -> DataFrame:
+    values = [(F.col("cut") & (F.col("frame_idx") == F.col("s"))).alias("cut") if n == "cut" else F.col(n) for n in names]
+    each = spans.select("match_id", *dict.fromkeys(["s", *names]), F.explode(F.sequence("s", "e")).alias("frame_idx")).select("match_id", "frame_idx", *values)
+    return signals.join(each, ["match_id", "frame_idx"]).select(*signals.columns, *names)
+
+
+def stinger_and_replay(signals: DataFrame, fps: float = FPS) -> DataFrame:
+    """Adds is_stinger and replay. A replay spans two stingers at most 45 s apart, both included."""
+    return _onto_frames(signals, spans_per_match(signals, fps, cuts=False), "is_stinger", "replay")
+
+
 def with_cuts(signals: DataFrame) -> DataFrame:
     """Adds cut: the colour histogram jumps from the frame before."""
     o = Ordered(signals, ["match_id"], ["frame_idx"]).add(_ph=lag(F.col("hist")))
     return o.done().select(*signals.columns, F.coalesce(0.5 * l1(F.col("hist"), F.col("_ph")) > CUT, F.lit(False)).alias("cut"))
 
 
-def live_spans(frames: DataFrame, fps: float = FPS, min_s: float = MIN_WIDE_S) -> DataFrame:
-    """match_id, s, e, live of wide play outside stingers and replays, bridged over short gaps without a cut."""
-    flagged = frames.withColumn("blocked", F.col("is_stinger") | F.col("replay")).withColumn("live", is_wide() & ~F.col("blocked"))
-    runs = fill_gaps(run_table(flagged, ["live", "blocked"], F.col("cut")), "live", _frames(BRIDGE_S, fps))
-    runs = joined_runs(runs.withColumn("live", F.col("live") & ~F.col("blocked")), "live")
-    return runs.select("match_id", "s", "e", (F.col("live") & (F.col("to") - F.col("from") + 1 >= min_s * fps)).alias("live"))
-
-
 def live_wide_segments(signals: DataFrame, fps: float = FPS) -> DataFrame:
-    """Adds is_stinger, replay, cut, live and shot per frame."""
-    frames = with_cuts(stinger_and_replay(signals, fps))
-    spans = live_spans(frames, fps).withColumn("_new", F.coalesce(F.lag("live").over(_by_start()) != F.col("live"), F.lit(False)))
-    each = spans.select("match_id", "live", "_new", F.col("s"), F.explode(F.sequence("s", "e")).alias("frame_idx"))
-    rows = frames.join(each, ["match_id", "frame_idx"])
-    new = F.col("cut") | (F.col("_new") & (F.col("frame_idx") == F.col("s")))
-    o = Ordered(rows, ["match_id"], ["frame_idx"]).add(shot=running_sum(new.cast("int")))
-    return o.done().select(*signals.columns, "is_stinger", "replay", "cut", "live", F.col("shot").cast("int").alias("shot"))
+    """Adds is_stinger, replay, cut, live and shot per frame. live: wide play outside stingers and replays, bridged over short gaps
+    without a cut, of two seconds or more; a shot ends at every cut and where live changes."""
+    return _onto_frames(signals, spans_per_match(signals, fps), "is_stinger", "replay", "cut", "live", "shot")
