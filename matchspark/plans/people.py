@@ -11,11 +11,11 @@ from ..operators import shape as H
 from ..operators import teams as M
 from ..operators import tracking as T
 from ..schema import players
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, written
 from ..streaming import live as L
 from . import derive as D
 from .registry import define, query
-from .tactics import norm
+from .tactics import BLOCK, BLOCK_DOUBLES, SEQ_DOUBLES, norm
 
 # ------------------------------------------------------------------ tracklets
 
@@ -229,66 +229,84 @@ def link_ball_path(spark, sf):
 
 
 # ------------------------------------------------------------------ streaming
-# Each query streams a written table through the operator to the end and returns what was emitted.
+# Each query streams a whole table, slice of time by slice, through the operator to the end and returns what was given out. Matches kick
+# off 127 seconds apart, so they overlap; a closing row follows the last slice.
+
+SLICES, SLICE_FILES = 6, 4
+
+
+def _kicked_off(df):
+    return df.withColumn("kickoff", F.timestamp_seconds(F.lit(946_684_800) + F.col("match_id").cast("long") * 127))
+
 
 def _streamed(spark, source, build):
-    path, out, mark = scratch_dir(spark), scratch_dir(spark), scratch_dir(spark)
-    source.write.parquet(path)
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    q = build(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
+    """What `build` gives for the source, fed as SLICES stretches of event time, each one trigger, and the closing row."""
+    table, path, out, mark = (scratch_dir(spark) for _ in range(4))
+    timed = L.event_time(_kicked_off(source))
+    ends = timed.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
+    if ends.a is None:
+        return spark.createDataFrame([], build(source).schema)
+    at = F.least(F.floor((F.col("ts").cast("double") - ends.a) / (ends.b - ends.a + 1e-6) * SLICES), F.lit(SLICES - 1)).cast("int")
+    timed.withColumn("slice", at).drop("ts").write.partitionBy("slice").parquet(table)
+    fed = spark.read.parquet(table)
+    plain = _kicked_off(source).columns
+    for i in range(SLICES):
+        fed.filter(F.col("slice") == i).select(plain).repartition(SLICE_FILES).write.mode("append").parquet(path)
+    L.closing_row(fed.select(plain)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(fed.select(plain).schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(path)
+    made = build(stream)
+    q = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(build(stream).schema).parquet(out)
+    return spark.read.schema(made.schema).parquet(out)
 
 
-def _in_time_order(df, n=4):
-    """Files hold consecutive frame ranges, so a trigger's rows are a stretch of time."""
-    return df.repartitionByRange(n, "frame_idx").sortWithinPartitions("frame_idx")
+define("block1", BLOCK.format(src="norm", every=1))
 
 
-@query("stream_team_block", """SELECT match_id, frame_idx, team, count(*) AS n_outfield, list_aggregate(list_sort(list(x*s))[1:4], 'avg') AS def_line_x, max(x*s) - min(x*s) AS depth_m, max(y) - min(y) AS width_m
- FROM (SELECT *, CASE WHEN team = 'home' THEN 1 ELSE -1 END AS s FROM tracks WHERE role = 'player' AND frame_idx % 25 = 0) GROUP BY match_id, frame_idx, team
- HAVING count(*) >= 6 AND frame_idx < (SELECT max(frame_idx) - 50 FROM frames WHERE frame_idx % 25 = 0)""", "def_line_x depth_m width_m")
+@query("stream_team_block", "SELECT * FROM block1", BLOCK_DOUBLES)
 def stream_team_block(spark, sf):
-    """Frames the watermark has passed are final; the oracle leaves out the last two seconds alike."""
-    src = _in_time_order(D.tracks(spark, sf).filter("frame_idx % 25 = 0"))
-    return _streamed(spark, src, L.frame_blocks).join(
-        src.agg((F.max("frame_idx") - 50).alias("_m")), F.col("frame_idx") < F.col("_m")).drop("_m")
+    t = norm(spark, sf)
+    keepers = written(H.goalkeepers(t))
+    return _streamed(spark, t.select("match_id", "frame_idx", "period", "timestamp", "track_id", "role", "team", "x", "y"), lambda s: L.frame_blocks(s, keepers))
+
+
+def _window_number():
+    """Windows of ten seconds counted from the match's kick-off."""
+    return ((F.unix_micros("window_start") / 1_000_000 - 946_684_800 - F.col("match_id").cast("long") * 127) / 10).cast("long").alias("w")
 
 
-@query("stream_coverage", """SELECT match_id, frame_idx // 250 AS w, count(*) AS rows, count(*) FILTER (role = 'ball') AS ball_frames, avg(abs(y)) FILTER (role <> 'ball') AS mean_width FROM tracks
- WHERE frame_idx // 250 < 28 GROUP BY match_id, frame_idx // 250""", "mean_width")
+@query("stream_coverage", """SELECT match_id, frame_idx // 250 AS w, count(*) AS rows, count(*) FILTER (role = 'ball') AS ball_frames, avg(abs(y)) FILTER (role <> 'ball') AS mean_abs_y FROM tracks
+ GROUP BY match_id, frame_idx // 250""", "mean_abs_y")
 def stream_coverage(spark, sf):
-    out = _streamed(spark, _in_time_order(D.tracks(spark, sf)), L.window_coverage)
-    w = ((F.unix_micros("window_start") - F.unix_micros(F.to_timestamp(F.lit("2000-01-01 00:00:00")))) / 10_000_000).cast("long")
-    return out.select("match_id", w.alias("w"), "rows", "ball_frames", "mean_width").filter("w < 28")
+    out = _streamed(spark, D.tracks(spark, sf).select("match_id", "frame_idx", "role", "y"), L.window_coverage)
+    return out.select("match_id", _window_number(), "rows", "ball_frames", "mean_abs_y")
 
 
-@query("stream_press", """SELECT n.match_id, n.frame_idx // 250 AS w, team, min(ball_dist) AS closest_m, count(*) FILTER (ball_dist <= 10) AS within_10m FROM player_ball n JOIN possession_gt p USING (match_id, frame_idx)
- WHERE team = CASE p.ball_status WHEN 'HOME' THEN 'away' WHEN 'AWAY' THEN 'home' END AND frame_idx % 5 = 0 AND frame_idx // 250 < 28 GROUP BY n.match_id, n.frame_idx // 250, team""", "closest_m")
+@query("stream_press", """SELECT n.match_id, n.frame_idx // 250 AS w, team, min(ball_dist) AS closest_m, count(*) FILTER (ball_dist <= 5) AS within_5m, count(*) FILTER (ball_dist <= 10) AS within_10m
+ FROM player_ball n JOIN possession_gt p USING (match_id, frame_idx)
+ WHERE team = CASE p.ball_status WHEN 'HOME' THEN 'away' WHEN 'AWAY' THEN 'home' END GROUP BY n.match_id, n.frame_idx // 250, team""", "closest_m")
 def stream_press(spark, sf):
-    pairs = H.players_with_ball(norm(spark, sf).filter("frame_idx % 5 = 0")).join(
-        D.possession_gt(spark, sf).select("match_id", "frame_idx", "ball_status"), ["match_id", "frame_idx"])
-    out = _streamed(spark, _in_time_order(pairs.select("match_id", "frame_idx", "team", "ball_dist", "ball_status")), L.window_press)
-    w = ((F.unix_micros("window_start") - F.unix_micros(F.to_timestamp(F.lit("2000-01-01 00:00:00")))) / 10_000_000).cast("long")
-    return out.select("match_id", w.alias("w"), "team", "closest_m", "within_10m").filter("w < 28")
+    pairs = H.players_with_ball(norm(spark, sf)).join(D.possession_gt(spark, sf).select("match_id", "frame_idx", "ball_status"), ["match_id", "frame_idx"])
+    out = _streamed(spark, pairs.select("match_id", "frame_idx", "team", "ball_dist", "ball_status"), L.window_press)
+    return out.select("match_id", _window_number(), "team", "closest_m", "within_5m", "within_10m")
 
 
-@query("stream_sequences")
+@query("stream_sequences", "SELECT * FROM detect_sequences", SEQ_DOUBLES)
 def stream_sequences(spark, sf):
     hits = Q.sequence_hits(Q.frame_lookups(norm(spark, sf), D.possession_gt(spark, sf))).select(
-        "match_id", "label", "team", "period", "run_flank", "shot", "frame_idx", "def_line_x")
-    return _streamed(spark, _in_time_order(hits), L.session_sequences)
+        "match_id", "label", "team", "period", "run_flank", "shot", "frame_idx", "timestamp", "def_line_x", "compactness_m", "n_within_10m",
+        "n_attackers", "n_defenders", "in_possession")
+    return _streamed(spark, hits, lambda s: L.session_sequences(s, min_s={"low_block": 8.0, "high_press": 3.0, "flank_overload": 3.0}))
 
 
-@query("stream_possession")
+@query("stream_possession", "SELECT match_id, frame_idx, ball_status FROM infer_possession")
 def stream_possession(spark, sf):
-    c = P.control_frames(norm(spark, sf)).select("match_id", "frame_idx", "control")
-    return _streamed(spark, _in_time_order(c), L.stream_possession)
+    return _streamed(spark, P.control_frames(norm(spark, sf)).select("match_id", "frame_idx", "control"), L.stream_possession)
 
 
 @query("stream_tracks")
 def stream_tracks(spark, sf):
-    out = _streamed(spark, _in_time_order(detections(spark, sf)), L.stream_tracks)
+    out = _streamed(spark, detections(spark, sf), L.stream_tracks)
     return out.groupBy("match_id", "track_id").agg(F.count(F.lit(1)).alias("n"), F.min("frame_idx").alias("first_frame"))
 
 
@@ -296,7 +314,7 @@ def stream_tracks(spark, sf):
 def stream_ball(spark, sf):
     c = D.ball_candidates(spark, sf).select("match_id", "frame_idx", "cand", "x", "y", "conf")
     p = _people(spark, sf).select("match_id", "frame_idx", F.lit(-1).alias("cand"), "x", "y", F.lit(0.0).alias("conf"))
-    return _streamed(spark, _in_time_order(c.unionByName(p)), L.stream_ball)
+    return _streamed(spark, c.unionByName(p), L.stream_ball)
 
 
 @query("user_frame_mapper", """SELECT match_id, frame_idx, track_id, bbox_x*0.1 AS x, bbox_y*0.1 AS y FROM tracks WHERE role <> 'ball'""", "x y")
