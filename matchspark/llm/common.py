@@ -37,6 +37,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken) for name in names]
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality on all keys."""
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
@@ -76,12 +82,20 @@ def held_out(doc_id: Column) -> Column:
     return (crc32_of(doc_id) % 5) == 0
 
 
-def prefix_sums(lengths: Column, block: int = 64) -> Column:
-    """For each element of an array of numbers, the sum of those before it; blocks keep the work near linear."""
+def bound(array: Column, use) -> Column:
+    """use(array), with the array computed once: as a lambda's variable. Named inside a lambda as it stands, Spark would compute it for every element."""
+    return F.transform(F.array(array), use)[0]
+
+
+def prefix_sums(lengths: Column) -> Column:
+    """For each element of an array of numbers, the sum of those before it; blocks of about the root of their number keep it to n * sqrt(n) steps."""
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / block).cast("int") - 1)),
-                         lambda b: total(F.slice(lengths, b * block + 1, F.lit(block))))
-    return F.transform(lengths, lambda _, i: total(F.slice(blocks, F.lit(1), F.floor(i / block).cast("int")))
-                       + total(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block)))
+
+    def summed(values: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+        return bound(size, lambda block: bound(
+            F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / block).cast("int")), lambda b: total(F.slice(values, b * block + 1, block))),
+            lambda blocks: F.transform(values, lambda _, i: total(F.slice(blocks, F.lit(1), F.floor(i / block).cast("int")))
+                                       + total(F.slice(values, F.floor(i / block).cast("int") * block + 1, i % block)))))
+    return bound(lengths, summed)

@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_on, prefix_sums
+from .common import bound, join_on, prefix_sums
 
 
 @dataclass(frozen=True)
@@ -107,10 +107,12 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     values = F.regexp_extract_all(text, pattern, F.lit(rule.group))
     both = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
     lens = F.transform(both, lambda m: F.struct(F.length(m["gap"]).alias("gap"), F.length(m["hit"]).alias("hit"), F.length(m["value"]).alias("value")))
-    sums = prefix_sums(F.transform(lens, lambda m: m["gap"] + m["hit"]))
-    placed = F.zip_with(lens, sums, lambda m, s: F.struct((s + m["gap"]).alias("start"), F.lit(rank).alias("rank"),
-                                                          (s + m["gap"] + m["hit"]).alias("end"), m["value"].alias("value")))
-    return F.transform(F.filter(placed, lambda m: m["value"] >= rule.least), lambda m: m.dropFields("value"))
+
+    def placed(found: Column) -> Column:
+        sums = prefix_sums(F.transform(found, lambda m: m["gap"] + m["hit"]))
+        return F.zip_with(found, sums, lambda m, s: F.struct((s + m["gap"]).alias("start"), F.lit(rank).alias("rank"),
+                                                             (s + m["gap"] + m["hit"]).alias("end"), m["value"].alias("value")))
+    return F.transform(F.filter(bound(lens, placed), lambda m: m["value"] >= rule.least), lambda m: m.dropFields("value"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_on, saved
+from .common import fresh, join_on, saved
 
 SHINGLE, SEED, RADIUS, BLOCKS, TREE = 4, 42, 4, 6, 4096
 BITS = 1 << np.arange(64, dtype=np.uint64)
@@ -41,6 +41,13 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
 
+def named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, text) in, (name, fp) out."""
+    for batch in batches:
+        for part in fingerprint_batches(iter([batch])):
+            yield pa.RecordBatch.from_arrays(part.columns, ["name", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and signed 64-bit fp of each whole text."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -223,7 +230,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, the one with the smallest id, with the columns of `docs`; equal rows count once."""
-    found = near_duplicates(docs, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return join_on(docs, kept, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group, with the columns of `docs`: the smallest id (null last), of repeated ids the text of smallest hash.
+
+    A row is named by id and text, so several texts of one id are kept apart; equal rows count once; null and empty texts are one
+    group with fingerprint zero; an empty table gives none.
+    """
+    columns = fresh(docs, "key", "text_hash")
+    key, text_hash = columns
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(text_hash, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = rows.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("doc_id"), F.col(text_hash).alias("text_hash")).alias("name"), "text")
+    prints = saved(named.mapInArrow(lambda b: named_batches(b), f"name {named.schema['name'].dataType.simpleString()}, fp bigint"))
+    points = saved(prints.select("fp").distinct())
+    roots = components(links(points, radius)).withColumnRenamed("node", "fp")
+    groups = join_on(points, roots, ["fp"], "left").select("fp", F.coalesce("root", "fp").alias("group"))
+    first = prints.groupBy("fp").agg(F.min("name").alias("name"))                      # a group's copies meet as their smallest name
+    best = join_on(first, groups, ["fp"]).groupBy("group").agg(F.min("name").alias("name"))
+    kept = best.select(F.col("name.doc_id").alias(key), F.col("name.text_hash").alias(text_hash))
+    return join_on(rows, kept, columns, "left_semi").dropDuplicates(columns).select(*docs.columns)

@@ -88,7 +88,7 @@ def test_near_duplicates_of_odd_rows(spark, sf001, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.deduplicated(no_docs).count() == 0
 
 
-SLOW = (("assign", re.compile(BASE[0].pattern.replace("(?i:", "(?i:"), re.ASCII), 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+SLOW = (("assign", re.compile(BASE[0].pattern, re.ASCII), 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
         ("hex", re.compile(r"[0-9a-f]+"), 0, 24))
 
 
@@ -100,7 +100,7 @@ def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("AKIA[A-Z0-9]{16,}") == [frozenset({"aki", "kia"})]
     assert q("[0-9a-f]{24,}") is None and q("ab[cd]") == [frozenset({"abc"}), frozenset({"abd"})]
-    assert q("(abc|x)") is None and q("a.bcd?e") == [frozenset({"bcd", "cde"}), frozenset({"bce"})] or True
+    assert q("(abc|x)") is None
     assert frozenset({"api", "pik", "ike", "key"}) in q(RULES[0].pattern) and frozenset({"api", "pi_", "i_k", "_ke", "key"}) in q(RULES[0].pattern)
 
 
@@ -260,4 +260,22 @@ def test_main_paths_are_native(spark, sf001):
     for name in ("op3_trigram_secrets", "op6_event_chat", "op8_template_decontamination"):
         plan = queries.QUERIES[name](spark, sf001)._jdf.queryExecution().toString()
         assert not re.search("Python|Arrow|Pandas|MapIn", plan)
-    assert F.lit is not None
+
+
+def test_near_duplicates_under_one_id_or_none(spark):
+    """Rows are named by id and text: near copies under one id, or without an id, go too."""
+    text = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, text), (None, text + " more"), (5, text + " a"), (5, text + " b"), (5, text + " c"), (5, "quite another text that stays as it is"), (5, "quite another text that stays as it is")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS KEY", "1 AS text_hash")
+    got = simhash.deduplicated(df)
+    assert sorted((r.doc_id, r.text[:5]) for r in got.collect()) == [(1, "word0"), (5, "quite")] and got.columns == df.columns
+
+
+def test_a_text_of_a_hundred_thousand_secrets(spark):
+    import time
+    n = 100_000
+    df = spark.createDataFrame([(1, "token=abcdef " * n)], "doc_id long, text string")
+    t0 = time.time()
+    spans = secret_scan.scan(df).first().spans
+    assert [(s.start, s.end) for s in spans[:3]] == [(0, 12), (13, 25), (26, 38)] and len(spans) == n and spans[-1].end == 13 * n - 1
+    assert time.time() - t0 < 60
