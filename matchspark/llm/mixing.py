@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections import deque
 from itertools import cycle
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,13 +162,13 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The documents of the mix themselves, each row as often as it is taken, with the columns of `docs`."""
-    from pyspark.sql import Window
-    cols = docs.columns
-    takes = mix(docs, seed).groupBy("doc_id", "u").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    takes = takes.where("__copies > 0").withColumnRenamed("u", "__u")
-    keyed = docs.withColumn("__u", F.xxhash64(F.lit(seed), "doc_id", "text", "source"))
-    rows = join_on(keyed, takes, ["doc_id", "__u"])
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__u").orderBy("__u"))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    return rows.withColumn("__each", share).where("__each > 0").withColumn("__each", F.explode(F.expr("sequence(1, __each)"))).select(*cols)
+    """The documents of the mix themselves, each row as often as it is taken, with the columns of `docs`, whatever their names.
+
+    Null texts are never taken; the copies of repeated rows are dealt evenly among them; an empty table gives none."""
+    takes = mix(docs, seed).groupBy("doc_id", "u").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    # The document travels as one struct, so its own column names cannot clash with these.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("u"))
+    rows = join_on(keyed, takes, ["doc_id", "u"])
+    nth = F.row_number().over(Window.partitionBy("doc_id", "u").orderBy("u"))
+    share = F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    return rows.withColumn("each", share).where("each > 0").withColumn("each", F.explode(F.expr("sequence(1, each)"))).select("row.*")

@@ -93,3 +93,9 @@ def test_mix_of_odd_rows(spark, sf001, odd_docs, no_docs):
         taken[r.source] += 1
     assert sum(taken.values()) == rows.copies.sum()
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", 1, 2, 3, 4) for i in range(8)], "doc_id long, text string, source string, __copies int, row int, u int, copies int")
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and got.count() == 12 and got.where("__copies = 1 AND row = 2 AND u = 3 AND copies = 4").count() == 12
