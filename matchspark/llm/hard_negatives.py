@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 EXACT = 1 << 24                                  # whole numbers up to here are exact in float32
 ANCHOR_BLOCK, ROWS, ANCHORS = 65_536, 2048, 512  # anchors a task holds; rows and anchors of one product
 LEAST, MOST = -(1 << 62), 1 << 62
@@ -172,7 +174,7 @@ def mine(vectors: DataFrame, is_anchor, scale: int = 256, positives: int = 5, ne
     score, (num, den) = F.col("score"), share
     low = F.expr(f"CASE WHEN score >= 0 THEN (score * {num} + {den - 1}) div {den} ELSE (score * {num}) div {den} END")
     # Null-free windows: an ask that an anchor has no positive for is an empty one.
-    asks = best.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("vec_id").alias("positive_id"), score, low.alias("low")))).alias("p"))
+    asks = saved(best.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("vec_id").alias("positive_id"), score, low.alias("low")))).alias("p")))      # read twice below
 
     def padded(name: str, other: int):
         return F.transform(F.sequence(F.lit(0), F.lit(positives - 1)), lambda i: F.coalesce(F.get("p", i)[name], F.lit(other)))
