@@ -1,18 +1,19 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy."""
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
 
-WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BINS, VOCAB = 64, 48, 12, 12, 8, 1 << 14, 8192
-TRAIN_DOCS, TRAIN_WINDOWS, ROUNDS, STEPS, BATCH, RATE = 1500, 10, 5, 80, 128, 0.004     # bounds of the labelled sample: rows a class, windows a row
+WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BINS, VOCAB = 64, 32, 12, 12, 8, 1 << 14, 8192      # a passage of 32 words is whole in a window
+TRAIN_DOCS, TRAIN_BYTES, ROUNDS, STEPS, BATCH, RATE = 1500, 3 << 20, 5, 80, 128, 0.004     # bounds of the labelled sample: rows and bytes a class
 EDGE = ".,;:!?*%&$#|\"'()[]{}<>-"
 KNOWN_WORDS = 300_000
 
@@ -158,26 +159,27 @@ def windows(n: int) -> list[int]:
     return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
-def laid_out(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of documents given as word positions: (index, mask, owner)."""
-    rows, owner, short = [], [], []
-    for d, words in enumerate(docs):
-        a = np.asarray(words, np.int64)
-        if len(a) >= WINDOW:
-            s = np.array(windows(len(a)))
-            rows.append(a[s[:, None] + np.arange(WINDOW)])
-            short += [WINDOW] * len(s)
-        else:
-            rows.append(np.pad(a, (0, WINDOW - len(a)))[None])
-            short.append(len(a))
-        owner += [d] * len(rows[-1])
-    index = np.concatenate(rows)
-    return index, np.arange(WINDOW) < np.array(short)[:, None], np.array(owner)
+class Windows:
+    """All windows of texts given as word numbers, laid end to end once; the rows of a step are cut from there when they are needed."""
 
+    def __init__(self, docs: list[list[int]]):
+        size = np.array([len(d) for d in docs], np.int64)
+        self.flat = np.concatenate([*(np.asarray(d, np.int32) for d in docs), np.zeros(WINDOW, np.int32)])
+        starts = [np.array(windows(n), np.int64) for n in size.tolist()]
+        self.owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in starts])
+        self.start = np.concatenate(starts) + np.repeat(np.cumsum(size) - size, [len(x) for x in starts])
+        self.length = np.minimum(size, WINDOW).astype(np.int32)[self.owner]
 
-def distinct(texts: list[list[str]]) -> tuple[list[str], list[list[int]]]:
-    seen: dict[str, int] = {}
-    return (at := [[seen.setdefault(w, len(seen)) for w in words] for words in texts]) and list(seen), at
+    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, mask) of some windows."""
+        mask = np.arange(WINDOW) < self.length[which, None]
+        return np.where(mask, self.flat[self.start[which, None] + np.arange(WINDOW)], 0), mask
+
+
+def numbered(texts: list[list[str]]) -> tuple[list[str], list[list[int]]]:
+    """The distinct words, and the texts as their numbers."""
+    place = Places()
+    return place.words, [[place[w] for w in words] for words in texts]
 
 
 def train(texts: list[str], labels: np.ndarray, shares: tuple[float, float], seed: int = 3) -> Net:
@@ -191,33 +193,40 @@ def train(texts: list[str], labels: np.ndarray, shares: tuple[float, float], see
     tune = rng.random(len(texts)) < 0.2
     count = Counter(w for s, t in zip(split, tune) if not t for w in {w.strip(EDGE) for w in s})
     net = Net([w for w, c in sorted(count.items(), key=lambda x: (-x[1], x[0])) if c >= 3 and w][:VOCAB])
-    words, at = distinct(split)
+    words, at = numbered(split)
+    del split
     if not words or len(set(labels.tolist())) < 2:
         net.scale = (0.0, 0.0, float(np.log((shares[1] + 1e-6) / (shares[0] + 1e-6))))
         return net
-    index, mask, owner = laid_out(at)
-    order = rng.permutation(len(owner))
-    seen = Counter()
-    chosen = np.array(sorted(i for i in order if not tune[owner[i]] and (seen.update([owner[i]]) or seen[owner[i]] <= TRAIN_WINDOWS)))
+    all_windows = Windows(at)
+    owner = all_windows.owner
+    chosen = np.flatnonzero(~tune[owner])
     label = labels[owner].astype(np.float32)
     weight = np.where(label > 0, 0.5, 1.0).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
 
+    def step_inputs(rows: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words that some windows hold, the windows as their places among these, and the mask."""
+        index, mask = all_windows.rows(rows)
+        used, again = np.unique(index, return_inverse=True)
+        return [words[i] for i in used.tolist()], again.reshape(index.shape), mask
+
     def scored(rows: np.ndarray) -> np.ndarray:
-        used, again = np.unique(index[rows], return_inverse=True)
-        x, _ = net.inputs([words[i] for i in used])
-        again = again.reshape(len(rows), WINDOW)
-        return np.concatenate([net.logits(x, again[a:a + 2048], mask[rows[a:a + 2048]]) for a in range(0, len(rows), 2048)])
+        out = []
+        for a in range(0, len(rows), 2048):
+            held, place, mask = step_inputs(rows[a:a + 2048])
+            out.append(net.logits(net.inputs(held)[0], place, mask))
+        return np.concatenate(out)
     for turn in range(ROUNDS):
         live = chosen[weight[chosen] > 0]
         again = max(1, -(-STEPS * BATCH // max(1, len(live))))
         mixed = np.concatenate([rng.permutation(live) for _ in range(again)])
         for a in range(0, len(mixed), BATCH):
             rows = mixed[a:a + BATCH]
-            used, place = np.unique(index[rows], return_inverse=True)
-            g = net.gradients([words[i] for i in used], place.reshape(len(rows), WINDOW), mask[rows], label[rows], weight[rows])
+            held, place, mask = step_inputs(rows)
+            g = net.gradients(held, place, mask, label[rows], weight[rows])
             step += 1
             for k, v in g.items():
                 v = np.clip(v, -1, 1)
@@ -297,13 +306,14 @@ class Scorer:
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of label 1 for each text; a text without words gets the same score whatever it holds."""
         split = [t.lower().split() or [""] for t in texts]
-        index, mask, owner = laid_out(self.positions(split))
-        full = mask.all(1)
+        every = Windows(self.positions(split))
+        owner, full = every.owner, every.length == WINDOW
         z = np.empty(len(owner), np.float32)
         for rows, masked in ((np.flatnonzero(full), False), (np.flatnonzero(~full), True)):
             for a in range(0, len(rows), 2048):
                 part = rows[a:a + 2048]
-                z[part] = self.windowed(index[part], mask[part] if masked else None)
+                index, mask = every.rows(part)
+                z[part] = self.windowed(index, mask if masked else None)
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, owner, z)
         a, b, c = self.net.scale
@@ -322,13 +332,25 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple
     return texts, known.groupBy("y").count()
 
 
+def bounded(sample: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, y, text) of each class, in hash order, as long as their texts add up to `size` bytes; a text longer than a twentieth of
+    that takes no part, none is cut."""
+    bytes_ = F.octet_length(F.coalesce("text", F.lit("")))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return sample.where(bytes_ <= size // 20).withColumn("total", F.sum(bytes_).over(order)).where(F.col("total") <= size).drop("total")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Net:
-    """Train on a bounded sample of the labelled rows outside the held-out fold."""
+    """Train on a bounded sample of the labelled rows outside the held-out fold: at most TRAIN_DOCS rows and TRAIN_BYTES of text a class,
+    which is what reaches the driver. All windows of a sampled text are learned from."""
     sample, counts = labelled(docs, labels, "toxic", TRAIN_DOCS)
-    rows = sorted((r.doc_id, r.text or "", r.y) for r in sample.collect())
+    rows = sorted((r.doc_id, r.text or "", r.y) for r in bounded(sample, TRAIN_BYTES).collect())
     n = {r.y: r["count"] for r in counts.collect()}
     total = max(1, sum(n.values()))
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], float), (n.get(0, 0) / total, n.get(1, 0) / total))
+    net = train([r[1] for r in rows], np.array([r[2] for r in rows], float), (n.get(0, 0) / total, n.get(1, 0) / total))
+    del rows
+    gc.collect()
+    return net
 
 
 def scores_of(batches: Iterator[pa.RecordBatch], net: Net, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -361,5 +383,7 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def kept(docs: DataFrame, net: Net, most: float = 0.5) -> DataFrame:
-    """The documents that score below `most`, with the columns of `docs`; rows stay where they are, nothing is shuffled."""
+    """The documents that score below `most`, with the columns of `docs`; rows stay where they are, nothing is shuffled.
+
+    Null and empty texts score as no words do, repeated rows alike, so they stay or go together; an empty table stays empty."""
     return docs.mapInArrow(lambda b: keep_batches(b, net, most), docs.schema)

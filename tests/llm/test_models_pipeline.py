@@ -103,6 +103,28 @@ def test_held_out_accuracy(spark, sf001):
     q = queries.op9_neighbour_quality(spark, sf).toPandas().merge(labels, on="doc_id")
     q = q[q.held_out]
     assert auc(q.quality.to_numpy(), q.score.to_numpy()) > 0.9 and (q.predicted == q.quality).mean() > 0.9
+    t = queries.op4_bigru_toxicity(spark, sf).toPandas().merge(labels, on="doc_id")
+    t = t[t.held_out]
+    assert len(t) and auc(t.toxic.to_numpy(), t.score.to_numpy()) > 0.9 and (t.predicted == t.toxic).mean() > 0.9
+
+
+def test_windows_are_cut_when_needed():
+    docs = [list(range(200)), [5], list(range(64)), list(range(100, 165))]
+    w = toxicity.Windows(docs)
+    index, mask = w.rows(np.arange(len(w.owner)))
+    for i, d in enumerate(docs):
+        own = np.flatnonzero(w.owner == i)
+        assert [index[k][mask[k]].tolist() for k in own] == [d[a:a + 64] for a in toxicity.windows(len(d))]
+        assert set(range(len(d))) == {a + j for a in toxicity.windows(len(d)) for j in range(min(64, len(d)))}
+    starts = toxicity.windows(5000)
+    assert all(any(a <= p and p + 32 <= a + 64 for a in starts) for p in range(5000 - 32 + 1))     # a passage of 32 words is whole in a window
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = [(i, i % 2, "x" * (1 + 40 * (i % 5))) for i in range(400)] + [(1000, 0, "y" * 5000)]
+    got = toxicity.bounded(spark.createDataFrame(rows, "doc_id long, y int, text string"), 4000).toPandas()
+    size = got.groupby("y").text.apply(lambda t: t.str.len().sum())
+    assert (size <= 4000).all() and (size > 3500).all() and 1000 not in set(got.doc_id)
 
 
 def test_counts_are_byte_grams():
