@@ -2,28 +2,48 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import join_on
 
-TOKENIZER, END_ID, CACHE, SLICE = "byte_bpe_50k.json", 0, 200_000, 512
-SCHEMA = "doc_id bigint, n_tokens bigint, file_start bigint, ids array<int>"
-CUT = re.compile(r"(?= \S)")      # before a space that a visible character follows: byte-level pre-tokens never cross it
-ODD = re.compile(r" (?:\s|\Z)")  # a text without these is cut at every space
+TOKENIZER, END_ID, KNOWN, SLICE = "byte_bpe_50k.json", 0, 400_000, 4 << 20      # pieces remembered; bytes of text encoded together
+SCHEMA = "doc_id bigint, n_tokens bigint, part int, part_start bigint, ids array<int>"
+
+
+MARKS = ",.;:!?"                      # one token each, and pre-tokens of their own between a letter and a blank
+
+
+class Pool:
+    """Token ids of pieces, end to end in one array that grows by doubling."""
+
+    def __init__(self):
+        self.ids, self.used = np.zeros(1 << 20, np.int32), 0
+
+    def add(self, raw: np.ndarray) -> int:
+        """Where the ids begin."""
+        while self.used + len(raw) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.used:self.used + len(raw)] = raw
+        self.used += len(raw)
+        return self.used - len(raw)
 
 
 class Encoder:
     """Ids of whole texts, through the tokenizers library.
 
-    Texts are cut where no pre-token can cross; a piece's ids are remembered (two generations of about CACHE pieces) and the pieces not
-    seen before are encoded in one go, their borders found from the byte lengths of the tokens.
+    Special tokens hold no blank. Texts are cut at blanks and line breaks, each piece keeping the one before it: byte-level pre-tokens never cross
+    one that stands between visible characters. A slice's pieces are numbered by Arrow, only distinct ones are looked at in Python, and those not met before are encoded
+    in joined texts, their borders found from the byte lengths of the tokens. Texts with a special token, or a blank before white
+    space or the end, are encoded whole.
     """
 
     def __init__(self, name: str):
@@ -35,61 +55,115 @@ class Encoder:
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():
             self.width[i] = len(piece)
+        self.marks = {m: int(self.direct([m])[0][0]) for m in MARKS}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of pieces (each with a space before it) not known yet: from the older generation, or encoded in joined texts, as
-        joining at cuts changes no ids."""
-        before = self.before
-        again = [p for p in pieces if p in before] if before else []
-        self.known.update((p, before[p]) for p in again)
-        new = list(pieces.difference(again))
-        for a in range(0, len(new), 8192):
-            part = new[a:a + 8192]
-            raw = self.direct([" " + " ".join(part)])[0]
-            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in part), np.int64, len(part)))
-            stops = (4 * (np.searchsorted(np.cumsum(self.width[np.frombuffer(raw, np.int32)]), ends) + 1)).tolist()
-            self.known.update((p, raw[a:b]) for p, a, b in zip(part, [0, *stops], stops))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        cuts = [[t] if i in whole else [p[1:] if k else p for k, p in enumerate(CUT.split(t))] if ODD.search(t) else t.split(" ")
-                for i, t in enumerate(texts)]
-        first = self.direct([c[0] for c in cuts])
-        if len(self.known) > CACHE:                         # the older generation goes, pieces met again are kept
-            self.before, self.known = self.known, {}
-        rest = [c[1:] for c in cuts]
-        new = set().union(*rest).difference(self.known)
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        return [head + b"".join(map(get, tail)) for head, tail in zip(first, rest)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.pool, self.entry = Pool(), {}
+        self.start, self.size = np.zeros(KNOWN, np.int64), np.zeros(KNOWN, np.int64)      # of each entry; size -1: cannot stand alone
+
+    def direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def note(self, pieces: list[str], starts: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.entry)
+        while n + len(pieces) > len(self.start):
+            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+        self.start[n:n + len(pieces)], self.size[n:n + len(pieces)] = starts, sizes
+        self.entry.update(zip(pieces, range(n, n + len(pieces))))
+
+    def learn(self, pieces: list[str]) -> None:
+        """Note the ids of pieces, each with the line break it begins with or a blank before it; of an empty one, or one that goes on with
+        white space, only that it is odd. A mark behind a letter is a pre-token of its own, so a piece that ends with one is put together."""
+        odd, good, ended = [], [], []
+        for p in pieces:
+            if not p or p.isspace() or p[p[0] == "\n"].isspace():
+                odd.append(p)
+            elif p[-1] in MARKS and len(p) > 1 and p[-2].isalpha():
+                ended.append(p)
+            else:
+                good.append(p)
+        self.note(odd, np.zeros(len(odd), np.int64), np.full(len(odd), -1))
+        good += {p[:-1] for p in ended}.difference(self.entry).difference(good)
+        for a in range(0, len(good), 8192):
+            part = [p if p[0] == "\n" else " " + p for p in good[a:a + 8192]]
+            raw = self.direct(["".join(part)])[0]
+            ends = np.cumsum(pc.binary_length(pa.array(part)).to_numpy().astype(np.int64))
+            stops = np.searchsorted(np.cumsum(self.width[raw]), ends) + 1
+            starts = np.append(0, stops[:-1])
+            self.note(good[a:a + 8192], self.pool.add(raw) + starts, stops - starts)
+        if ended:
+            core = np.array([self.entry[p[:-1]] for p in ended])
+            mark = np.array([self.marks[p[-1]] for p in ended], np.int32)
+            size = self.size[core] + 1
+            first = np.cumsum(size) - size
+            ids = np.empty(int(size.sum()), np.int32)
+            at = np.arange(len(ids)) - np.repeat(first, size)
+            last = at == np.repeat(size - 1, size)
+            ids[last] = mark
+            ids[~last] = self.pool.ids[(np.repeat(self.start[core], size) + at)[~last]]
+            self.note(ended, self.pool.add(ids) + first, size)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has); `end` is put behind each text."""
+        if len(self.entry) > KNOWN:
+            self.forget()
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        offsets -= offsets[0]
+        head = np.zeros(len(index), bool)
+        head[offsets[:-1]] = True
+        special = np.zeros(len(pieces), bool)
+        for token in self.special:
+            special |= pc.match_substring(coded.dictionary, token).to_numpy(zero_copy_only=False)
+        inner = np.zeros(len(pieces), bool)
+        inner[index[~head]] = True
+        known = np.fromiter(map(self.entry.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero((known < 0) & inner & ~special)
+        fresh = [pieces[i] for i in new.tolist()]
+        self.learn(fresh)
+        known[new] = [self.entry[p] for p in fresh]
+        size = np.where(special | (known < 0), -1, self.size[known])
+        whole = np.add.reduceat(np.where(head, special[index], size[index] < 0), offsets[:-1]) > 0
+        # What begins a text, or is one: encoded for this slice only, behind the known ids.
+        first, cut = index[offsets[:-1]], self.pool.used
+        starts, sizes = self.start[known][index], size[index]
+        begun = self.direct([texts[i].as_py() if w else pieces[f] for i, (w, f) in enumerate(zip(whole.tolist(), first.tolist()))])
+        n = np.fromiter(map(len, begun), np.int64, len(begun))
+        starts[offsets[:-1]] = self.pool.add(np.concatenate(begun)) + np.append(0, np.cumsum(n)[:-1])
+        sizes[offsets[:-1]] = n
+        sizes[~head & np.repeat(whole, np.diff(offsets))] = 0
+        if end is not None:
+            at = self.pool.add(np.array([end], np.int32))
+            starts, sizes = np.insert(starts, offsets[1:], at), np.insert(sizes, offsets[1:], 1)
+            offsets = offsets + np.arange(len(offsets))
+        before = np.cumsum(sizes) - sizes
+        ids = self.pool.ids[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+        self.pool.used = cut
+        return ids, np.add.reduceat(sizes, offsets[:-1])
 
 
 ENCODERS: dict[str, Encoder] = {}     # one a worker process and tokenizer
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) in, one row of ids a document out, each ended by END_ID; counts on through the partition."""
-    enc = ENCODERS.setdefault(name, None) or ENCODERS.update({name: Encoder(name)}) or ENCODERS[name]
-    end, start = np.int32(END_ID).tobytes(), 0
+    """(doc_id, text) in, one row of ids a document out, each ended by END_ID, with its place in the partition."""
+    enc, part, start = ENCODERS.setdefault(name, None) or ENCODERS.update({name: Encoder(name)}) or ENCODERS[name], TaskContext.get().partitionId(), 0
     for batch in batches:
-        for a in range(0, batch.num_rows, SLICE):
-            part = batch.slice(a, SLICE)
-            ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+        texts = pc.fill_null(batch.column(1), "")
+        filled = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(filled, filled[a] + SLICE, side="right")) - 1)
+            ids, n = enc.encode(texts.slice(a, b - a), END_ID)
             stops = np.cumsum(n)
-            values = pa.Array.from_buffers(pa.int32(), int(stops[-1]), [None, pa.py_buffer(b"".join(ids))])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(start + stops - n), lists],
-                                             ["doc_id", "n_tokens", "file_start", "ids"])
-            start += int(stops[-1])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(np.full(b - a, part), pa.int32()),
+                                              pa.array(start + stops - n, pa.int64()), lists], ["doc_id", "n_tokens", "part", "part_start", "ids"])
+            start, a = start + int(stops[-1]), b
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, partitions: int | None = None) -> None:
@@ -119,26 +193,27 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: rows, tokens, smallest and largest id, and the tokens of all files before it."""
-    files = read_tokens(spark, path).groupBy("file").agg(
+    """Per part (what one task wrote, in one file or several): rows, tokens, smallest and largest id, and the tokens of all parts before it."""
+    parts = read_tokens(spark, path).groupBy("part").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)     # one small row a file
-    return files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)     # one small row a part
+    return parts.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
 def checksum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(3)
-        offsets, raw = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        ids = batch.column(4)
+        offsets, raw = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False))
         crc = [zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64()), batch.column(4)],
-                                         ["doc_id", "n_tokens", "file_start", "ids_crc32", "file"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "part", "part_start", "ids_crc32"])
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """What the files hold, per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    rows = read_tokens(spark, path).mapInArrow(
-        checksum_batches, "doc_id bigint, n_tokens bigint, file_start bigint, ids_crc32 bigint, file string")
-    starts = manifest(spark, path).select("file", "start")
-    return join_on(rows, starts, ["file"]).select(
-        "doc_id", (F.col("file_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    """What the files hold, per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Null ids and repeated rows are listed as they were written; a folder of an empty table gives no rows."""
+    rows = read_tokens(spark, path).select("doc_id", "n_tokens", "part", "part_start", "ids").mapInArrow(
+        checksum_batches, "doc_id bigint, n_tokens bigint, part int, part_start bigint, ids_crc32 bigint")
+    starts = manifest(spark, path).select("part", "start")
+    return join_on(rows, starts, ["part"]).select(
+        "doc_id", (F.col("part_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

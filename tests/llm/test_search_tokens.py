@@ -21,8 +21,27 @@ def test_cut_texts_encode_like_whole_ones():
     bits = [" ", "  ", "\n", "\t", " \n ", "a", "word", "Élan", "don't", "12", "...", "'s", " ", " ", "\x1c", "\x85", "東京", "\U0001f600", "<|endoftext|>", "!?", "\r\n"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["", " ", "\n", "<|endoftext|>"]
     enc = orc_tokens.Encoder(orc_tokens.TOKENIZER)
-    got = [np.frombuffer(x, np.int32).tolist() for x in enc.encode(texts)]
-    assert got == plain_ids(texts)
+    want = plain_ids(texts)
+    for again in range(2):                      # the second time from memory
+        ids, n = enc.encode(pa.array(texts), 7)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x, 7] for x in want]
+    orc_tokens_known, orc_tokens.KNOWN = orc_tokens.KNOWN, 5
+    ids, n = enc.encode(pa.array(texts[:50]).slice(10))
+    orc_tokens.KNOWN = orc_tokens_known
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want[10:50]
+
+
+def test_starts_hold_when_a_part_becomes_many_files(spark, sf001):
+    path = shared_dir(spark)
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        orc_tokens.write_tokens(docs, path, partitions=4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert orc_tokens.read_tokens(spark, path).select("file").distinct().count() > 60
+    index = orc_tokens.token_index(spark, path).toPandas().sort_values("doc_id")
+    assert index.start.tolist() == np.append(0, np.cumsum(index.n_tokens)[:-1]).tolist()
 
 
 def test_query_five(spark, sf001):
