@@ -18,16 +18,19 @@ def group_cuts(df: pd.DataFrame, keys: list[str]) -> np.ndarray:
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """(rows, cuts) holding only complete groups; the open last group waits for the next batch."""
-    held = None
+    """(rows, cuts) holding only complete groups; the open last group waits, batch by batch, for its end."""
+    held: list[pd.DataFrame] = []
     for df in batches:
-        if held is not None:
-            df = pd.concat([held, df], ignore_index=True)
         if not len(df):
             continue
+        if held and len(group_cuts(df, keys)) == 2 and len(group_cuts(pd.concat([held[-1].iloc[-1:], df.iloc[:1]]), keys)) == 2:
+            held.append(df)
+            continue
+        df = pd.concat([*held, df], ignore_index=True) if held else df
         cuts = group_cuts(df, keys)
-        held = df.iloc[cuts[-2]:].reset_index(drop=True)
+        held = [df.iloc[cuts[-2]:].reset_index(drop=True)]
         if len(cuts) > 2:
             yield df.iloc[:cuts[-2]], cuts[:-1]
-    if held is not None and len(held):
-        yield held, group_cuts(held, keys)
+    if held:
+        df = pd.concat(held, ignore_index=True)
+        yield df, group_cuts(df, keys)

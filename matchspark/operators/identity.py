@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.assignment import assign
+from ..functions.assignment import assign_edges
 from ..functions.batches import whole_groups
-from ..functions.ordered import Ordered, running_max, running_sum
+from ..functions.components import components
+from ..functions.ordered import Ordered, running_sum
 from ..sources.scratch import cut_lineage
 from ..functions.vectors import cosine_distance
 from ..schema import (AWAY, BALL, FPS, GOALKEEPER, HOME, OTHER, PITCH_LENGTH, PITCH_WIDTH, REFEREE, UNKNOWN)
@@ -101,74 +102,40 @@ def candidate_successors(tracklets: DataFrame, fps: float = FPS, max_gap_s: floa
 
 
 def _best_pairs(edges: DataFrame) -> DataFrame:
-    """Optimal one-to-one successors. Edges whose gaps never overlap in time cannot compete, so
-    each stretch of overlapping gaps is solved on its own."""
-    o = Ordered(edges, ["match_id"], ["a_end", "b_start", "a", "b"]).add(_reach=running_max(F.col("b_start"), strict=True))
-    o = o.add(island=running_sum(F.coalesce(F.col("a_end") > F.col("_reach"), F.lit(True)).cast("int")))
-    e = o.done().select("match_id", "island", "a", "b", "a_start", "cost")
+    """Optimal one-to-one successors: most pairs, then least cost. Edges compete only inside a connected component of
+    the graph of ends and starts; components are found on Spark and dealt over tasks, each solved on its edge list."""
+    ends = components(edges.select("match_id", (2 * F.col("a")).alias("a"), (2 * F.col("b") + 1).alias("b")), ["match_id"])
+    e = (edges.withColumn("node", 2 * F.col("a")).join(ends, ["match_id", "node"])
+         .select("match_id", "component", "a", "b", "a_start", "a_end", "cost"))
 
     def solve(batches):
-        for df, cuts in whole_groups(batches, ["match_id", "island"]):
-            keep = []
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if j - i == 1:
-                    keep.append(i)
-                    continue
-                for rows in _linked(df["a"].to_numpy()[i:j], df["b"].to_numpy()[i:j]):
-                    part = df.iloc[i + rows]
-                    a, ai = np.unique(part["a"], return_inverse=True)
-                    b, bi = np.unique(part["b"], return_inverse=True)
-                    cost, where = np.full((len(a), len(b)), 1e6), np.full((len(a), len(b)), -1)
-                    cost[ai, bi], where[ai, bi] = part["cost"], i + rows
-                    r, c = assign(cost)
-                    keep += [k for k in where[r, c] if k >= 0]
-            yield df.iloc[sorted(keep)]
-    return (e.repartition("match_id", "island").sortWithinPartitions("match_id", "island", "a", "b").mapInPandas(solve, e.schema))
-
-
-def _linked(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-    """Positions of the edges of each connected component, so that only what competes is solved together."""
-    _, ai = np.unique(a, return_inverse=True)
-    _, bi = np.unique(b, return_inverse=True)
-    left, right = np.arange(ai.max() + 1), np.full(bi.max() + 1, len(a))
-    while True:
-        np.minimum.at(right, bi, left[ai])
-        before = left.copy()
-        np.minimum.at(left, ai, right[bi])
-        if (before == left).all():
-            break
-    order = np.argsort(left[ai], kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(left[ai][order])) + 1)
+        for df, cuts in whole_groups(batches, ["match_id", "component"]):
+            a, b, cost = (df[c].to_numpy() for c in ("a", "b", "cost"))
+            keep = [i + assign_edges(a[i:j], b[i:j], cost[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+            yield df.iloc[np.concatenate(keep)]
+    return (e.repartition("match_id", "component").sortWithinPartitions("match_id", "component", "a_end", "a", "b")
+            .mapInPandas(solve, e.schema))
 
 
 def stitch_tracklets(tracklets: DataFrame, fps: float = FPS, **gates) -> DataFrame:
     """Join fragments across short gaps until no pair is left; a written table per pass. Every pass has fewer tracklets."""
     work = cut_lineage(tracklets)
     while True:
-        pairs = cut_lineage(_alternate(_best_pairs(candidate_successors(work, fps, **gates))))
-        if pairs.isEmpty():
+        edges = cut_lineage(candidate_successors(work, fps, **gates))
+        if edges.isEmpty():
             break
+        pairs = cut_lineage(_alternate(cut_lineage(_best_pairs(edges))))
         work = cut_lineage(_merge_pairs(work, pairs))
     return work
 
 
 def _alternate(pairs: DataFrame) -> DataFrame:
-    """Along a chain of successors, in time order, a pair is kept unless its first tracklet was just
-    joined to its own predecessor. Streams a match's few pairs in order; state is one set of ids."""
-    def run(batches):
-        match, taken = None, set()
-        for df in batches:
-            flags = []
-            for m, a, b in zip(df["match_id"], df["a"], df["b"]):
-                if m != match:
-                    match, taken = m, set()
-                ok = a not in taken and b not in taken
-                if ok:
-                    taken.add(b)
-                flags.append(ok)
-            yield df[np.array(flags, bool)]
-    return (pairs.repartition("match_id").sortWithinPartitions("match_id", "a_start", "a")
-            .mapInPandas(run, pairs.schema))
+    """Every other pair along a chain of successors, from its start: a pair whose first tracklet was just joined to
+    its own predecessor waits for the next pass."""
+    chain = components(pairs, ["match_id"]).withColumnRenamed("node", "a").withColumnRenamed("component", "_chain")
+    p = pairs.join(chain, ["match_id", "a"])
+    o = Ordered(p, ["match_id", "_chain"], ["a_start", "a"]).add(_i=running_sum(F.lit(1))).done()
+    return o.filter(F.col("_i") % 2 == 1).select(*pairs.columns)
 
 
 def _merge_pairs(t: DataFrame, pairs: DataFrame) -> DataFrame:
