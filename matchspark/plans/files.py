@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as LM
+from ..operators import calibration as C
 from ..operators import quality as V
 from ..operators import review as R
 from ..operators import sequences as Q
@@ -11,7 +13,7 @@ from ..sources import documents as X
 from ..sources import feeds as S
 from ..sources import game_state as G
 from ..sources import match_state as M
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, written
 from . import derive as D
 from . import pitch as P
 from .registry import define, query
@@ -235,6 +237,32 @@ def read_calibration(spark, sf):
         F.count(F.lit(1)).alias("n_points"), F.avg(F.col("p")[0]).alias("mean_u"))
 
 
+@query("calibration_refit", """SELECT c.match_id, c.frame_idx AS doc, count(*) AS n, avg(960 + 8*lx + 0.5) AS u, avg(540 + 6*ly + 0.25) AS v, CASE WHEN c.ck % 2 = 0 THEN 0.0::DOUBLE END AS worst
+ FROM cams c JOIN (SELECT DISTINCT match_id, frame_idx FROM labels_a) USING (match_id, frame_idx), pitch_points WHERE p IS NOT NULL AND (c.ck + k) % 3 = 0 GROUP BY ALL""", "u v worst")
+def calibration_refit(spark, sf):
+    """Calibration documents read back with their splines refitted: points between the control points go to the pitch and
+    back to their pixels; the control points of a spline go to the truth."""
+    by = ["match_id", "notes"]
+    lab = P.labels_a(spark, sf).groupBy("match_id", "frame_idx").agg(F.map_from_entries(F.collect_list(
+        F.struct("landmark", F.array("u", "v")))).alias("named_points"))
+    c = P.cams(spark, sf).filter("h is not null").join(lab, ["match_id", "frame_idx"])
+    c = c.select("match_id", "h", F.array(F.lit(1920), F.lit(1080)).alias("image_size"), "named_points", (F.col("ck") % 2 == 0).alias("use_tps"),
+                 F.col("frame_idx").cast("string").alias("notes"))
+    path = scratch_dir(spark)
+    X.write_calibration(c, path)
+    pitch = spark.createDataFrame([(n, x, y) for _, n, x, y in P._POINTS], "landmark string, lx double, ly double")
+    back = written(C.with_splines(X.read_calibration(spark, path, suffix=PART, lines=True), pitch, by))
+    free = D.frames(spark, sf).select("match_id", F.col("frame_idx").cast("string").alias("notes"), "ck", F.posexplode(
+        LM.landmark_array(F.lit(105.0), F.lit(68.0))).alias("k", "p")).filter("(ck + k) % 3 = 0")
+    free = free.selectExpr("match_id", "notes", "960 + 8 * p.lx + 0.5 as u", "540 + 6 * p.ly + 0.25 as v")
+    there = C.pitch_to_image(C.image_to_pitch(free, back, by).drop("u", "v"), back, by)
+    own = back.filter("src is not null").select(*by, F.explode("named_points").alias("landmark", "p"))
+    own = C.image_to_pitch(own.select(*by, "landmark", F.col("p")[0].alias("u"), F.col("p")[1].alias("v")), back, by).join(pitch, "landmark")
+    worst = own.groupBy(*by).agg(F.max(F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly"))).alias("worst"))
+    g = there.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("u").alias("u"), F.avg("v").alias("v")).join(worst, by, "left")
+    return g.select("match_id", F.col("notes").cast("int").alias("doc"), "n", "u", "v", "worst")
+
+
 def _label_docs(spark, sf):
     """Manifest and label documents per match; a few landmarks, frames and points are bad on purpose."""
     lab = P.labels_a(spark, sf)

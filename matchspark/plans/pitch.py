@@ -129,6 +129,25 @@ def apply_tps(spark, sf):
         F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly"))), 3).alias("worst"))
 
 
+KNOTS = [(-30.0, -20.0), (30.0, -20.0), (-30.0, 20.0), (30.0, 20.0)]
+_R2 = [f"(power(px - ({x}), 2) + power(py - ({y}), 2))" for x, y in KNOTS]
+_BEND = lambda a, m: " + ".join(f"((ck + {a * k}) % {m} - {m // 2})*1e-5*{r}*ln({r})" for k, r in enumerate(_R2))
+define("spline_points", f"""SELECT match_id, frame_idx, track_id, u, v, 0.5 + 1.01*px + {_BEND(1, 5)} AS x, -0.25 + 0.99*py + {_BEND(2, 7)} AS y FROM (
+ SELECT *, (a*u + b)/(1 + p*v) AS px, (c*v + d)/(1 + p*v) AS py FROM (SELECT match_id, frame_idx, track_id, 960 + 8*x AS u, 540 + 6*y AS v FROM tracks) JOIN cams USING (match_id, frame_idx) WHERE p IS NOT NULL)""")
+
+
+@query("pitch_to_image", "SELECT * FROM spline_points", "u v x y")
+def pitch_to_image(spark, sf):
+    """Pixels through a known map and spline to the pitch, and from there back to the pixels, off the control points."""
+    pt = lambda x, y: F.struct(F.expr(f"cast({x} as double)").alias("x"), F.expr(f"cast({y} as double)").alias("y"))
+    bend = [pt(f"((ck + {k}) % 5 - 2) * 1e-5D", f"((ck + {2 * k}) % 7 - 3) * 1e-5D") for k in range(4)]
+    c = cams(spark, sf).filter("h is not null").select("match_id", "frame_idx", "h", F.array(*[pt(x, y) for x, y in KNOTS]).alias("src"), F.array(
+        *bend, pt(0.5, -0.25), pt(1.01, 0), pt(0, 0.99)).alias("coef"))
+    t = D.tracks(spark, sf).select("match_id", "frame_idx", "track_id", (960 + 8 * F.col("x")).alias("u"), (540 + 6 * F.col("y")).alias("v"))
+    there = C.image_to_pitch(t, c, ["match_id", "frame_idx"]).drop("u", "v")
+    return C.pitch_to_image(there, c, ["match_id", "frame_idx"]).select("match_id", "frame_idx", "track_id", "u", "v", "x", "y")
+
+
 @query("fit_homographies", """SELECT match_id, frame_idx, count(*)::INT AS n_points, 0.125::DOUBLE AS h0, -120.0::DOUBLE AS h2, 1.0::DOUBLE/6 AS h4, -90.0::DOUBLE AS h5
  FROM labels_a GROUP BY match_id, frame_idx""", "h0 h2 h4 h5")
 def fit_homographies(spark, sf):

@@ -31,9 +31,6 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; for loops only, whose plans would grow without end."""
-    sc = df.sparkSession.sparkContext
-    base = shared_base(df.sparkSession)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return df.checkpoint()
+    """The rows written to the shared folder and read again, for loops, whose plans would grow without end. Unlike a
+    checkpoint, which runs the plan a second time to save it, this runs it once."""
+    return written(df)
