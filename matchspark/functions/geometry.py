@@ -70,3 +70,17 @@ def mirror_line(col: str = "line") -> Column:
     swap = lambda w: (F.when(w == "left", "right").when(w == "right", "left")
                       .when(w == "top", "bottom").when(w == "bottom", "top").otherwise(w))
     return F.array_join(F.transform(F.split(F.col(col), " "), swap), " ")
+
+
+# The 32 vertices of the keypoint model, in its order, in metres from a corner of its 120 x 70 pitch.
+MODEL_LENGTH, MODEL_WIDTH = 120.0, 70.0
+MODEL_VERTICES = [
+    (0, 0), (0, 14.5), (0, 25.84), (0, 44.16), (0, 55.5), (0, 70), (5.5, 25.84), (5.5, 44.16), (11, 35),
+    (20.15, 14.5), (20.15, 25.84), (20.15, 44.16), (20.15, 55.5), (60, 0), (60, 25.85), (60, 44.15), (60, 70),
+    (99.85, 14.5), (99.85, 25.84), (99.85, 44.16), (99.85, 55.5), (109, 35), (114.5, 25.84), (114.5, 44.16),
+    (120, 0), (120, 14.5), (120, 25.84), (120, 44.16), (120, 55.5), (120, 70), (50.85, 35), (69.15, 35)]
+
+
+def model_vertices(length: float = 105.0, width: float = 68.0) -> list[tuple[float, float]]:
+    """The vertices on a pitch of the given size, in metres from its centre."""
+    return [(x * length / MODEL_LENGTH - length / 2, y * width / MODEL_WIDTH - width / 2) for x, y in MODEL_VERTICES]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as LM
 from ..operators import calibration as C
 from ..operators import quality as V
+from ..operators import report as MR
 from ..operators import review as R
 from ..operators import sequences as Q
 from ..operators import shape as H
@@ -367,6 +368,23 @@ def write_report_tables(spark, sf):
     return total(p, "ppda", "opp_passes").unionByName(total(q, "possession", "frame_idx"))
 
 
+@query("match_report", """SELECT 'block' AS name, count(*) AS n, sum(frame_idx)::BIGINT AS total FROM block25 UNION ALL SELECT 'formation', count(*), sum(n_players)::BIGINT FROM formation_over_time
+ UNION ALL SELECT 'ppda', count(*), sum(opp_passes)::BIGINT FROM ppda UNION ALL SELECT 'press_distance', count(*), sum(frame_idx)::BIGINT FROM press25
+ UNION ALL SELECT 'transitions', count(*), sum(frame_idx)::BIGINT FROM transitions UNION ALL SELECT 'physical', count(*), sum(track_id)::BIGINT FROM (SELECT DISTINCT match_id, track_id FROM tracks WHERE role IN ('player', 'goalkeeper'))
+ UNION ALL SELECT 'events', count(*), sum(frame_idx)::BIGINT FROM action_events UNION ALL SELECT 'possession', count(*), sum(frame_idx)::BIGINT FROM possession_gt
+ UNION ALL SELECT 'sequences', count(*), sum(start_frame)::BIGINT FROM detect_sequences""")
+def match_report(spark, sf):
+    """All report tables of the full-match path, written as CSV and Parquet; both are read back and must hold the same."""
+    path, key = scratch_dir(spark), {"formation": "n_players", "ppda": "opp_passes", "physical": "track_id", "sequences": "start_frame"}
+    X.write_report_tables(MR.match_report(D.tracks(spark, sf), D.action_events(spark, sf), D.team_sheet(spark, sf), D.possession_gt(spark, sf), formation_window_s=30.0), path)
+    total = lambda df, n: df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(F.col(key.get(n, "frame_idx")).cast("long")).alias("total"))
+    out = None
+    for n in MR.TABLES:
+        both = total(spark.read.parquet(f"{path}/{n}.parquet"), n).unionByName(total(spark.read.option("header", True).csv(f"{path}/{n}.csv"), n)).distinct()
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 @query("write_quality", "SELECT match_id, 1 + 1 + 13 AS lines, frames, mean_players_per_frame FROM compute_quality", "mean_players_per_frame")
 def write_quality(spark, sf):
     path = scratch_dir(spark)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import identity as I
 from ..operators import kinematics as K
 from ..operators import possession as P
+from ..operators import scoring as SC
 from ..operators import sequences as Q
 from ..operators import shape as H
 from ..operators import teams as M
@@ -152,6 +153,33 @@ def kit_clusters(spark, sf):
     return M.kit_clusters(kit_rows(spark, sf)).select("match_id", "balance", F.get("c0", F.lit(0)).alias("c00"), F.get("c1", F.lit(0)).alias("c10"))
 
 
+define("kit_swaps", """SELECT match_id, track_id, (CASE WHEN e < 11 THEN 0 ELSE 1 END + CASE WHEN (ck + e) % 7 = 0 THEN 1 ELSE 0 END) % 2 AS cluster, (ck*(e+1)) % 10 AS wob FROM gt""")
+
+
+def kit_swaps(spark, sf):
+    """Two kits; one row in seven of a track wears the other one, one in ten is blank."""
+    p = D.as_tracks(D.people(spark, sf)).selectExpr("match_id", "track_id", "frame_idx", "(if(e < 11, 0, 1) + if((ck + e) % 7 = 0, 1, 0)) % 2 as kit", "(ck * (e + 1)) % 10 as w")
+    return p.selectExpr("match_id", "track_id", "frame_idx", "transform(sequence(0, 5), k -> if(w = 9, 0D, if(k = kit * 2, 1D, 0D) + if(k = w % 6, 0.1D, 0D))) as descriptor")
+
+
+@query("pooled_kits", """SELECT count(*)::DOUBLE AS n, """ + ", ".join(
+    f"avg(CASE WHEN kit*2 = {k} THEN 1 ELSE 0 END + CASE WHEN wob % 6 = {k} THEN 0.1::DOUBLE ELSE 0 END) AS d{k}" for k in range(6)) + " FROM kit_rows WHERE wob <> 9 GROUP BY kit",
+       " ".join(f"d{k}" for k in range(6)))
+def pooled_kits(spark, sf):
+    """Three kits of all matches in one pool: the centres are the kits' means."""
+    return spark.createDataFrame([(float(m), *map(float, c)) for c, m in M.pooled_kits(kit_rows(spark, sf), 3)],
+                                 "n double, " + ", ".join(f"d{k} double" for k in range(6)))
+
+
+@query("kit_diagnosis", """SELECT *, consistency >= 0.85 AND balance >= 0.7 AS ok, CASE WHEN balance < 0.7 THEN 'lopsided' WHEN consistency >= 0.85 THEN 'sound' ELSE 'tracks flip' END AS note FROM (
+ SELECT match_id, coalesce(avg(CASE WHEN n >= 3 THEN greatest(c0, n - c0)/n END), 0) AS consistency, 1 - abs(sum(c0)/sum(n) - 0.5)*2 AS balance FROM (
+ SELECT match_id, track_id, count(*) FILTER (cluster = 0) AS c0, count(*) AS n FROM kit_swaps WHERE wob <> 9 GROUP BY ALL) GROUP BY match_id)""", "consistency balance")
+def kit_diagnosis(spark, sf):
+    """Descriptors, pooled clusters, a label per row, and whether the split can be trusted."""
+    rows = kit_swaps(spark, sf)
+    return SC.cluster_diagnosis(M.predict_kits(rows, M.pooled_kit_clusters(rows)))
+
+
 def kit_labels(spark, sf):
     """Labels as a clustering would give them: the kit (keepers' called 0), sure to a varying degree."""
     return kit_rows(spark, sf).selectExpr("match_id", "track_id", "frame_idx", "role", "kit % 2 as cluster", "((track_id * 7 + frame_idx) % 10 + 1) / 10D as gap")

@@ -164,6 +164,19 @@ def fit_keypoint_homographies(spark, sf):
     return C.fit_keypoint_homographies(k).select("match_id", "frame_idx", "n_points", "err")
 
 
+@query("fit_vertex_homographies", """SELECT match_id, frame_idx, (CASE WHEN ck % 6 > 0 THEN 32 ELSE ck % 4 END)::INT AS n_points, CASE WHEN ck % 6 > 0 THEN 0.125::DOUBLE END AS h0,
+ CASE WHEN ck % 6 > 0 THEN -120.0::DOUBLE END AS h2, CASE WHEN ck % 6 > 0 THEN 1.0::DOUBLE/6 END AS h4, CASE WHEN ck % 6 > 0 THEN -90.0::DOUBLE END AS h5, CASE WHEN ck % 6 > 0 THEN 0.0::DOUBLE END AS err
+ FROM frames""", "h0 h2 h4 h5 err")
+def fit_vertex_homographies(spark, sf):
+    """Model output with one vertex far off, or with too few sure ones: the map is found, or the frame keeps a row of nulls."""
+    at = G.model_vertices()
+    u = F.array(*[F.lit(960 + 8 * x) + F.when(F.col("ck") % 32 == k, 300.0).otherwise(0.0) for k, (x, _) in enumerate(at)])
+    conf = F.array(*[F.when((F.col("ck") % 6 > 0) | (F.col("ck") % 4 > k), 0.9).otherwise(0.1) for k in range(len(at))])
+    f = D.frames(spark, sf).select("match_id", "frame_idx", u.alias("u"), F.array(*[F.lit(540 + 6 * y) for _, y in at]).alias("v"), conf.alias("conf"))
+    h = C.fit_vertex_homographies(f)
+    return h.select("match_id", "frame_idx", "n_points", *[F.get("h", F.lit(i)).alias(f"h{i}") for i in (0, 2, 4, 5)], "err")
+
+
 # ------------------------------------------------------------------ errors
 
 define("label_errs", """SELECT l.match_id, l.frame_idx, l.landmark, sqrt(power((a*u + b)/(1 + p*v) - lx, 2) + power((c*v + d)/(1 + p*v) - ly, 2)) AS err_m

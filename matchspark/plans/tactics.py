@@ -1,6 +1,8 @@
 """Shape, pressing, possession and sequence queries."""
 from __future__ import annotations
 
+import re
+
 from functools import wraps
 
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from ..operators import possession as P
 from ..operators import sequences as Q
 from ..operators import shape as H
 from . import derive as D
-from .registry import define, query
+from .registry import CTE, define, query
 
 
 def norm(spark, sf):
@@ -421,3 +423,23 @@ def sequence_union(spark, sf):
     """The labels' sequences in one table, ordered by start and label, summarised per label."""
     s = Q.detect_sequences(norm(spark, sf), D.possession_gt(spark, sf))
     return s.groupBy("match_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("start_s").alias("first_start"))
+
+
+# ------------------------------------------------------------------ from inferred possession
+
+for _name in ("press5", "lookups", "hits", "runs_of_possession", "turnovers"):
+    _text = re.sub(r"\b(press5|lookups|hits|runs_of_possession|turnovers)\b", r"inferred_\1", CTE[_name])
+    define(f"inferred_{_name}", re.sub(r"\bpossession_gt\b", "infer_possession", _text))
+
+
+@query("inferred_sequences", f"""SELECT * FROM ({SEQ.replace("FROM hits", "FROM inferred_hits")}) WHERE duration_s >= CASE WHEN label = 'low_block' THEN 8 ELSE 3 END""", SEQ_DOUBLES)
+def inferred_sequences(spark, sf):
+    """Sequences from positions alone: possession is inferred, not given."""
+    n = norm(spark, sf)
+    return Q.detect_sequences(n, P.infer_possession(n))
+
+
+@query("inferred_transitions", "SELECT match_id, team, f0 AS frame_idx, len_s AS hold_s FROM inferred_turnovers t SEMI JOIN norm_ball b ON b.match_id = t.match_id AND b.frame_idx = f0", "hold_s")
+def inferred_transitions(spark, sf):
+    n = norm(spark, sf)
+    return P.transitions(n, P.infer_possession(n)).select("match_id", F.upper("won_by").alias("team"), "frame_idx", "hold_s")

@@ -146,16 +146,13 @@ def write_report_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def append_results(rows: DataFrame, path: str) -> DataFrame:
-    """Append run rows whose run_id is new; returns the rows written. Safe to repeat."""
-    spark = rows.sparkSession
-    once = rows.dropDuplicates(["run_id"])
-    try:
-        known = spark.read.schema("run_id string").json(path)
-        once = once.join(known, "run_id", "left_anti").select(*rows.columns)
-    except Exception as e:  # noqa: BLE001 - the first append finds no folder
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    once.write.mode("append").json(path)
+    """Append run rows, a folder per run_id; returns the rows written.
+
+    A run appended again replaces its own folder and touches no other, so repeats and retries leave one copy and the
+    history is never read. Of rows that share a run_id within one append, one stays; rows without a run_id fail the job."""
+    key = F.when(F.col("run_id").isNull(), F.raise_error(F.lit("run without run_id"))).otherwise(F.col("run_id"))
+    once = rows.withColumn("run_id", key).dropDuplicates(["run_id"])
+    once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
     return once
 
 
