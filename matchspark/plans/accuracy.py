@@ -8,6 +8,7 @@ from ..operators import detections as T
 from ..operators import matching as M
 from ..operators import possession as P
 from ..operators import scoring as C
+from ..operators import shape as H
 from . import derive as D
 from .registry import define, query
 
@@ -80,18 +81,22 @@ def id_switches(spark, sf):
 
 # ------------------------------------------------------------------ accuracy
 
-define("first_half", "SELECT * FROM pred WHERE period = 1 AND role IN ('player','goalkeeper')")
+TURNED = "SELECT p.* REPLACE (x * coalesce(sgn, -1) AS x, y * coalesce(sgn, -1) AS y) FROM {src} p LEFT JOIN period_sign USING (match_id, period)"
+define("pred_turned", TURNED.format(src="pred"))
+define("pred_playing", "SELECT * FROM pred_turned WHERE role IN ('player','goalkeeper')")
+define("gt_turned", TURNED.format(src="gt"))
 define("gt_sides", """SELECT match_id, team, CASE WHEN (px <= other) THEN 'left' ELSE 'right' END AS side FROM (SELECT match_id, team, px,
  CASE WHEN team = 'home' THEN max(px) FILTER (team = 'away') OVER (PARTITION BY match_id) ELSE max(px) FILTER (team = 'home') OVER (PARTITION BY match_id) - 1e-12 END AS other
- FROM (SELECT match_id, team, coalesce(avg(x) FILTER (role = 'goalkeeper'), avg(x)) AS px FROM first_half GROUP BY match_id, team))""")
+ FROM (SELECT match_id, team, coalesce(avg(x) FILTER (role = 'goalkeeper'), avg(x)) AS px FROM pred_playing GROUP BY match_id, team))""")
 
 
-def half(df):
-    return df.filter(F.col("period") == 1)
+def turned(df):
+    """Both halves as one: each turned so that home attacks +x, and so defends the left goal."""
+    return H.normalise_direction(df)
 
 
 def sides(spark, sf):
-    return C.team_sides(half(pred(spark, sf)))
+    return C.team_sides(turned(pred(spark, sf)))
 
 
 @query("team_sides", "SELECT * FROM gt_sides")
@@ -175,8 +180,8 @@ def ball_loss_summary(spark, sf):
 SHAPE = """SELECT match_id, frame_idx, side, count(*) AS n, avg(x) AS cx, avg(y) AS cy, max(y) - min(y) AS w, max(x) - min(x) AS d,
  avg(sqrt(power(x - mx, 2) + power(y - my, 2))) AS c FROM (SELECT *, avg(x) OVER k AS mx, avg(y) OVER k AS my FROM ({src})
  WINDOW k AS (PARTITION BY match_id, frame_idx, side)) GROUP BY match_id, frame_idx, side"""
-define("gt_sided", "SELECT *, CASE WHEN team = 'home' THEN 'left' ELSE 'right' END AS side FROM gt WHERE period = 1")
-define("pred_sided", "SELECT p.*, s.side FROM first_half p JOIN gt_sides s USING (match_id, team)")
+define("gt_sided", "SELECT *, CASE WHEN team = 'home' THEN 'left' ELSE 'right' END AS side FROM gt_turned")
+define("pred_sided", "SELECT p.*, s.side FROM pred_playing p JOIN gt_sides s USING (match_id, team)")
 define("shape_gt", SHAPE.format(src="SELECT * FROM gt_sided"))
 define("shape_pred", SHAPE.format(src="SELECT * FROM pred_sided"))
 
@@ -186,24 +191,24 @@ define("shape_pred", SHAPE.format(src="SELECT * FROM pred_sided"))
  round(avg(abs(g.d - p.d)), 3) AS depth_err, round(avg(abs(g.c - p.c)), 3) AS compactness_err FROM shape_gt g JOIN shape_pred p USING (match_id, frame_idx, side)
  WHERE g.n >= 6 AND p.n >= 6 GROUP BY match_id)""", "centroid_x_err centroid_y_err width_err depth_err compactness_err shape_error_m")
 def shape_error(spark, sf):
-    return C.shape_error(half(gt(spark, sf)), half(pred(spark, sf)), sides(spark, sf))
+    return C.shape_error(turned(gt(spark, sf)), turned(pred(spark, sf)), sides(spark, sf))
 
 
 define("side_counts", """SELECT f.match_id, f.frame_idx, s.side, coalesce(g.n, 0) AS gt_n, coalesce(p.n, 0) AS pred_n FROM frames f CROSS JOIN (VALUES ('left'),('right')) s(side)
  LEFT JOIN shape_gt g ON g.match_id = f.match_id AND g.frame_idx = f.frame_idx AND g.side = s.side
- LEFT JOIN shape_pred p ON p.match_id = f.match_id AND p.frame_idx = f.frame_idx AND p.side = s.side WHERE f.period = 1""")
+ LEFT JOIN shape_pred p ON p.match_id = f.match_id AND p.frame_idx = f.frame_idx AND p.side = s.side""")
 
 
 @query("side_counts_outer", "SELECT * FROM side_counts")
 def side_counts_outer(spark, sf):
-    return C.side_counts_outer(half(gt(spark, sf)), half(pred(spark, sf)), sides(spark, sf))
+    return C.side_counts_outer(turned(gt(spark, sf)), turned(pred(spark, sf)), sides(spark, sf))
 
 
 @query("team_counts", """SELECT match_id, round(sum(e)/(2*count(*)), 3) AS team_count_err, round(avg((m > 11)::INT), 4) AS quota_breach_share FROM (
  SELECT match_id, frame_idx, sum(abs(pred_n - gt_n)) AS e, max(pred_n) AS m FROM side_counts GROUP BY match_id, frame_idx) GROUP BY match_id""",
        "team_count_err quota_breach_share")
 def team_counts(spark, sf):
-    return C.team_counts(half(gt(spark, sf)), half(pred(spark, sf)), sides(spark, sf))
+    return C.team_counts(turned(gt(spark, sf)), turned(pred(spark, sf)), sides(spark, sf))
 
 
 # A tracklet id that welds two players now and then: fragments of 300 frames, every tenth shared.

@@ -199,8 +199,7 @@ def read_game_state_lines(spark, sf):
 
 
 define("game_predictions", """SELECT p.match_id, row_number() OVER (PARTITION BY p.match_id ORDER BY frame_idx, track_id) - 1 AS id, frame_idx, track_id, p.role, s.side, x, det_conf,
- CASE WHEN p.role = 'player' THEN CAST(jersey::INT AS VARCHAR) END AS jersey FROM first_half_all p LEFT JOIN gt_sides s USING (match_id, team)""")
-define("first_half_all", "SELECT * FROM pred WHERE period = 1")
+ CASE WHEN p.role = 'player' THEN CAST(jersey::INT AS VARCHAR) END AS jersey FROM pred_turned p LEFT JOIN gt_sides s USING (match_id, team)""")
 
 
 @query("write_predictions", """SELECT match_id, id::VARCHAR AS id, '2' || lpad(match_id, 3, '0') || lpad((frame_idx + 1)::VARCHAR, 6, '0') AS image_id, track_id,
@@ -208,7 +207,7 @@ define("first_half_all", "SELECT * FROM pred WHERE period = 1")
  CASE WHEN role IN ('player','goalkeeper') THEN side END AS side, jersey FROM game_predictions""", "confidence x_bottom_left")
 def write_predictions(spark, sf):
     path = scratch_dir(spark)
-    G.write_predictions(D.pred(spark, sf).filter("period = 1"), path, "valid", use_jersey=True)
+    G.write_predictions(H.normalise_direction(D.pred(spark, sf)), path, "valid", use_jersey=True)
     back = spark.read.schema("id string, image_id string, track_id int, category_id int, confidence double, bbox_pitch struct<x_bottom_left:double>, "
                              "attributes struct<role:string,team:string,jersey:string>, match_id string").json(path)
     return back.select("match_id", "id", "image_id", "track_id", "category_id", "confidence", "bbox_pitch.x_bottom_left",

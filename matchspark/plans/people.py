@@ -15,7 +15,7 @@ from ..schema import players
 from ..sources.scratch import scratch_dir, written
 from ..streaming import live as L
 from . import derive as D
-from .registry import define, query
+from .registry import CTE, define, query
 from .tactics import BLOCK, BLOCK_DOUBLES, SEQ_DOUBLES, norm
 
 # ------------------------------------------------------------------ tracklets
@@ -108,31 +108,19 @@ def goalkeeper_tracklets(spark, sf):
     return I.goalkeeper_tracklets(t, I.build_tracklets(t))
 
 
-@query("goalkeeper_teams", """SELECT k.match_id, k.tracklet_id, CASE WHEN (end_ < 0) = (h < a) THEN 'home' ELSE 'away' END AS keeper_team FROM keepers_sql k JOIN (
- SELECT match_id, avg(x) FILTER (team = 'home') AS h, avg(x) FILTER (team = 'away') AS a FROM tracks_frag t WHERE frame_idx < 3750
- AND NOT EXISTS (SELECT 1 FROM keepers_sql k WHERE k.match_id = t.match_id AND k.tracklet_id = t.track_id) GROUP BY match_id) USING (match_id)""")
-def goalkeeper_teams(spark, sf):
-    t = D.tracks_frag(spark, sf)
-    tl = I.build_tracklets(t).withColumn("team", F.when(F.col("tracklet_id") < 12000, "home").otherwise("away"))
-    keepers = I.goalkeeper_tracklets(t, tl)
-    return I.goalkeeper_teams(t.filter("frame_idx < 3750"), tl, keepers)
-
+define("frag_turned", "SELECT p.* REPLACE (x * coalesce(sgn, -1) AS x, y * coalesce(sgn, -1) AS y) FROM tracks_frag p LEFT JOIN period_sign USING (match_id, period)")
+define("turned_extremes", CTE["extremes"].replace("tracks_frag", "frag_turned"))
+define("turned_keepers", CTE["keepers_sql"].replace("extremes", "turned_extremes"))
 
-@query("apply_identity", """SELECT match_id, frame_idx, CASE WHEN role = 'ball' OR e % 3 = 2 THEN track_id ELSE e - e % 3 + 500 END AS track_id, CASE WHEN role = 'ball' OR e % 3 = 2 THEN team ELSE 'away' END AS team,
- CASE WHEN role = 'ball' OR e % 3 = 2 THEN role ELSE 'referee' END AS role, CASE WHEN role = 'ball' OR e % 3 = 2 OR e % 2 = 0 THEN jersey ELSE 77 END AS jersey FROM
- (SELECT *, CASE WHEN role = 'ball' THEN NULL ELSE e - e % 3 END AS base FROM tracks)""".replace("OR e % 2 = 0 THEN jersey", "OR (e - e % 3) % 2 = 0 THEN jersey"), "jersey")
-def apply_identity(spark, sf):
-    m = D.matches(spark, sf).select("match_id", F.explode(F.sequence(F.lit(0), F.lit(21), F.lit(3))).alias("b"))
-    tl = m.select("match_id", (F.col("b") + 500).cast("int").alias("tracklet_id"), F.array((F.col("b") + 1), (F.col("b") + 2)).alias("track_ids"),
-                  F.lit("away").alias("team"), F.lit("referee").alias("role"), F.when(F.col("b") % 2 == 1, 77).alias("jersey"))
-    return I.apply_identity(D.tracks(spark, sf), tl).select("match_id", "frame_idx", "track_id", "team", "role", "jersey")
 
-
-@query("people_minus_officials", """SELECT match_id, count(*) AS n FROM tracks_frag t WHERE NOT EXISTS (SELECT 1 FROM keepers_sql k WHERE k.match_id = t.match_id AND k.tracklet_id = t.track_id) GROUP BY match_id""")
-def people_minus_officials(spark, sf):
-    t = D.tracks_frag(spark, sf)
-    out = I.goalkeeper_tracklets(t, I.build_tracklets(t)).select("match_id", F.col("tracklet_id").alias("track_id"))
-    return t.join(out, ["match_id", "track_id"], "left_anti").groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
+@query("goalkeeper_teams", """SELECT k.match_id, k.tracklet_id, CASE WHEN (end_ < 0) = (h < a) THEN 'home' ELSE 'away' END AS keeper_team FROM turned_keepers k JOIN (
+ SELECT match_id, avg(x) FILTER (team = 'home') AS h, avg(x) FILTER (team = 'away') AS a FROM frag_turned t
+ WHERE NOT EXISTS (SELECT 1 FROM turned_keepers k WHERE k.match_id = t.match_id AND k.tracklet_id = t.track_id) GROUP BY match_id) USING (match_id)""")
+def goalkeeper_teams(spark, sf):
+    """Over both halves, turned so that each team keeps its end."""
+    t = H.normalise_direction(D.tracks_frag(spark, sf))
+    tl = I.build_tracklets(t).withColumn("team", F.when(F.col("tracklet_id") < 12000, "home").otherwise("away"))
+    return I.goalkeeper_teams(t, tl, I.goalkeeper_tracklets(t, tl))
 
 
 # ------------------------------------------------------------------ kits
