@@ -260,3 +260,9 @@ def track_span(tracks: DataFrame) -> DataFrame:
     """Frame count and duration of each match."""
     return tracks.groupBy("match_id").agg((F.max("frame_idx") + 1).alias("n_frames"),
                                           F.max("timestamp").alias("duration_s"))
+
+
+def distinct_frames(tracks: DataFrame) -> DataFrame:
+    """(match_id, frame_idx, period, timestamp), one row per frame: those of its smallest track_id."""
+    return tracks.groupBy("match_id", "frame_idx").agg(F.min_by("period", "track_id").alias("period"),
+                                                       F.min_by("timestamp", "track_id").alias("timestamp"))

@@ -38,6 +38,52 @@ def tracking_score(spark, sf):
     return C.tracking_score(gt(spark, sf), pred(spark, sf))
 
 
+# Predictions whose best pairing is known: a whole cast moved alike pairs with itself, and so does a part of it moved by less than
+# half the least distance between two people (3.3 m here). Ids, teams and roles differ, so nothing but the place can pair them.
+define("pred_moved", """SELECT * REPLACE (23 - track_id + CASE WHEN (frame_idx // 50) % 5 = 0 THEN 100 ELSE 0 END AS track_id,
+ CASE WHEN (ck + e) % 31 = 0 THEN CASE WHEN team = 'home' THEN 'away' ELSE 'home' END ELSE team END AS team,
+ CASE WHEN (ck + e) % 13 = 0 THEN CASE WHEN role = 'player' THEN 'goalkeeper' ELSE 'player' END ELSE role END AS role,
+ x + CASE ck % 4 WHEN 0 THEN 0.3::DOUBLE WHEN 1 THEN 0.05::DOUBLE WHEN 2 THEN 3.0::DOUBLE ELSE 300.0::DOUBLE END AS x,
+ y + CASE ck % 4 WHEN 0 THEN 0.4::DOUBLE WHEN 1 THEN 0.02::DOUBLE WHEN 2 THEN 0.07::DOUBLE ELSE 0.0::DOUBLE END AS y)
+ FROM gt WHERE ck % 4 > 1 OR (ck + e) % 9 <> 0""")
+define("moved_pairs", """SELECT g.match_id, g.frame_idx, g.track_id AS gt_track, p.track_id AS pred_track, g.role AS gt_role, p.role AS pred_role, g.team AS gt_team, p.team AS pred_team,
+ sqrt(power(g.x - p.x, 2) + power(g.y - p.y, 2)) AS dist FROM gt g JOIN pred_moved p ON g.match_id = p.match_id AND g.frame_idx = p.frame_idx AND g.e = p.e""")
+define("moved2", "SELECT * FROM moved_pairs WHERE dist <= 2")
+define("moved5", "SELECT * FROM moved_pairs WHERE dist <= 5")
+
+
+def moved(spark, sf):
+    at = lambda a: F.expr(f"array({', '.join(f'{v}D' for v in a)})[cast(ck % 4 as int)]")
+    key = F.col("ck") + F.col("e")
+    return (gt(spark, sf).filter((F.col("ck") % 4 > 1) | (key % 9 != 0))
+            .withColumn("track_id", F.expr("cast(23 - track_id + if((frame_idx div 50) % 5 = 0, 100, 0) as int)"))
+            .withColumn("team", F.expr("if((ck + e) % 31 = 0, if(team = 'home', 'away', 'home'), team)"))
+            .withColumn("role", F.expr("if((ck + e) % 13 = 0, if(role = 'player', 'goalkeeper', 'player'), role)"))
+            .withColumn("x", F.col("x") + at((0.3, 0.05, 3.0, 300.0))).withColumn("y", F.col("y") + at((0.4, 0.02, 0.07, 0.0))))
+
+
+@query("match_people_moved", "SELECT * FROM moved2", "dist")
+def match_people_moved(spark, sf):
+    return M.match_people(gt(spark, sf), moved(spark, sf))
+
+
+@query("match_people_gated_moved", "SELECT * FROM moved5", "dist")
+def match_people_gated_moved(spark, sf):
+    return M.match_people_gated(gt(spark, sf), moved(spark, sf))
+
+
+@query("tracking_score_moved", """SELECT *, CASE WHEN err_median_m < 0.5 THEN 'fine' WHEN err_median_m < 1.5 THEN 'formation' WHEN err_median_m < 3 THEN 'coarse' ELSE 'unusable' END AS band
+ FROM (SELECT match_id, count(*) AS frames_scored, avg(coalesce(h, 0)/g) AS recall, avg(coalesce(h, 0)/p) AS "precision" FROM (SELECT match_id, frame_idx, count(*) AS g FROM gt GROUP BY ALL)
+  JOIN (SELECT match_id, frame_idx, count(*) AS p FROM pred_moved GROUP BY ALL) USING (match_id, frame_idx)
+  LEFT JOIN (SELECT match_id, frame_idx, count(*) AS h FROM moved5 GROUP BY ALL) USING (match_id, frame_idx) GROUP BY match_id)
+ JOIN (SELECT match_id, count(*) AS matched, avg(dist) AS err_mean_m, median(dist) AS err_median_m, quantile_cont(dist, 0.9) AS err_p90_m, quantile_cont(dist, 0.99) AS err_p99_m FROM moved5 GROUP BY match_id) USING (match_id)
+ JOIN (SELECT match_id, count(*) FILTER (before <> pred_track) AS id_switches, count(DISTINCT gt_track) AS gt_players_seen FROM (
+  SELECT *, lag(pred_track) OVER (PARTITION BY match_id, gt_track ORDER BY frame_idx) AS before FROM moved5) GROUP BY match_id) USING (match_id)""",
+       'recall "precision" err_mean_m err_median_m err_p90_m err_p99_m')
+def tracking_score_moved(spark, sf):
+    return C.tracking_score(gt(spark, sf), moved(spark, sf))
+
+
 define("frame_times", "SELECT match_id, frame_idx, frame_idx/25.0::DOUBLE AS t FROM frames")
 define("near_readings", """SELECT f.match_id, f.frame_idx, f.t, r.ts, r.tag_id, r.x_pitch, r.y_pitch, round(abs(r.ts - f.t), 9) AS dt FROM frame_times f
  JOIN sensor_readings r ON f.match_id = r.match_id AND r.ts BETWEEN f.t - 0.0501 AND f.t + 0.0501 WHERE round(abs(r.ts - f.t), 9) <= 0.05""")
@@ -131,6 +177,28 @@ def role_summary(spark, sf):
     return C.role_summary(C.role_counts(D.pairs(spark, sf, 2.0)))
 
 
+# The same metrics from pairs that the matching itself finds.
+define("moved_hits", """SELECT p.match_id, p.gt_role, (CASE WHEN gt_team = 'home' THEN 'left' ELSE 'right' END) = s.side AS ok FROM moved2 p
+ JOIN gt_sides s ON p.match_id = s.match_id AND p.pred_team = s.team""")
+
+
+@query("matched_side_accuracy", """SELECT match_id, count(*) FILTER (ok) AS ok, count(*) AS n, count(*) FILTER (ok AND gt_role = 'goalkeeper') AS keeper_ok,
+ count(*) FILTER (gt_role = 'goalkeeper') AS keeper_n FROM moved_hits GROUP BY match_id""")
+def matched_side_accuracy(spark, sf):
+    return C.side_accuracy(match_people_moved(spark, sf), sides(spark, sf))
+
+
+@query("matched_role_counts", "SELECT match_id, gt_role, pred_role, count(*) AS n FROM moved2 GROUP BY ALL")
+def matched_role_counts(spark, sf):
+    return C.role_counts(match_people_moved(spark, sf))
+
+
+@query("matched_role_summary", """SELECT match_id, round(count(*) FILTER (gt_role = 'goalkeeper' AND pred_role = 'goalkeeper')/nullif(count(*) FILTER (gt_role = 'goalkeeper'), 0), 4) AS keeper_recall,
+ NULL::DOUBLE AS referee_recall, NULL::DOUBLE AS referee_precision FROM moved2 GROUP BY match_id""", "keeper_recall")
+def matched_role_summary(spark, sf):
+    return C.role_summary(matched_role_counts(spark, sf))
+
+
 POSITION = """SELECT {k} round(median(dist), 3) AS pos_err_median_m, round(quantile_cont(dist, 0.9), 3) AS pos_err_p90_m,
  round(count(*) FILTER (dist <= 2)/any_value(n), 4) AS recall_2m, any_value(n) AS gt_people FROM pairs5 {j}"""
 
@@ -141,6 +209,12 @@ def position_metrics(spark, sf):
     return C.position_summary(D.pairs(spark, sf, 5.0), gt(spark, sf))
 
 
+@query("matched_position_metrics", POSITION.replace("pairs5", "moved5").format(k="match_id,", j="JOIN (SELECT match_id, count(*) AS n FROM gt GROUP BY match_id) USING (match_id) GROUP BY match_id"),
+       "pos_err_median_m pos_err_p90_m recall_2m")
+def matched_position_metrics(spark, sf):
+    return C.position_summary(match_people_gated_moved(spark, sf), gt(spark, sf))
+
+
 @query("position_summary_pooled", POSITION.format(k="", j=", (SELECT count(*) AS n FROM gt)"), "pos_err_median_m pos_err_p90_m recall_2m")
 def position_summary_pooled(spark, sf):
     return C.position_summary(D.pairs(spark, sf, 5.0), gt(spark, sf), by=())

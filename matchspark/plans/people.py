@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calibration as CAL
 from ..operators import identity as I
 from ..operators import kinematics as K
 from ..operators import possession as P
@@ -198,11 +199,67 @@ def team_scores_by_track(spark, sf):
     return M.team_scores_by_track(M.mean_descriptors(kit_rows(spark, sf)))
 
 
-@query("split_officials")
+define("kit_centres", "SELECT match_id, kit, count(*) AS n, count(DISTINCT track_id) AS ids, " + ", ".join(
+    f"avg(CASE WHEN kit*2 = {k} THEN 1 ELSE 0 END + CASE WHEN wob % 6 = {k} THEN 0.1::DOUBLE ELSE 0 END) AS c{k}" for k in range(6)) + " FROM kit_rows WHERE wob <> 9 GROUP BY match_id, kit")
+KIT_GAP = "sqrt(" + " + ".join(f"power({{a}}.c{k} - {{b}}.c{k}, 2)" for k in range(6)) + ")"
+
+
+@query("split_officials", f"""SELECT match_id, CASE WHEN id_share > 0.25 THEN 'too many tracks' WHEN obs_share > 0.2 THEN 'too many observations' WHEN separation < 0.6 THEN 'not separate'
+ ELSE 'split' END AS reason, id_share, obs_share, separation FROM (SELECT match_id, s.ids/(s.ids + t.ids + u.ids) AS id_share, s.n/(s.n + t.n + u.n) AS obs_share,
+ least({KIT_GAP.format(a='s', b='t')}, {KIT_GAP.format(a='s', b='u')})/{KIT_GAP.format(a='t', b='u')} AS separation
+ FROM kit_centres s JOIN kit_centres t USING (match_id) JOIN kit_centres u USING (match_id) WHERE s.kit = 2 AND t.kit = 0 AND u.kit = 1)""", "id_share obs_share separation")
 def split_officials(spark, sf):
     return M.split_officials(M.mean_descriptors(kit_rows(spark, sf)), report=True)
 
 
+def _wobbled(p, dims: int):
+    """Descriptors of a kit each: one in ten is blank, the others carry a little noise."""
+    return p.selectExpr("match_id", "track_id", "frame_idx", f"transform(sequence(0, {dims - 1}), k -> if(w = 9, 0D, if(k = kit * 2, 1D, 0D) + if(k = w % {dims}, 0.1D, 0D))) as descriptor")
+
+
+# Four kits of 9, 8, 3 and 1 tracks; the person e = 3 is never seen well enough to have a descriptor.
+define("kits4", """SELECT match_id, track_id, frame_idx, CASE WHEN e IN (0, 12, 13) THEN 2 WHEN e = 11 THEN 3 WHEN e < 11 THEN 0 ELSE 1 END AS kit, CASE WHEN e = 3 THEN 9 ELSE (ck*(e+1)) % 10 END AS wob FROM gt""")
+FOUR = {k: f"avg(CASE WHEN kit*2 = {k} THEN 1 ELSE 0 END + CASE WHEN wob % 8 = {k} THEN 0.1::DOUBLE ELSE 0 END)" for k in range(8)}
+define("kit4_centres", "SELECT match_id, kit, " + ", ".join(f"{v} AS c{k}" for k, v in FOUR.items()) + " FROM kits4 WHERE wob <> 9 GROUP BY match_id, kit")
+define("kit4_means", "SELECT match_id, track_id, " + ", ".join(f"{v} AS c{k}" for k, v in FOUR.items()) + " FROM kits4 WHERE wob <> 9 GROUP BY match_id, track_id")
+GAP4 = "sqrt(" + " + ".join(f"power(t.c{k} - {{b}}.c{k}, 2)" for k in range(8)) + ")"
+
+
+def kits4(spark, sf):
+    return _wobbled(D.as_tracks(D.people(spark, sf)).selectExpr(
+        "match_id", "track_id", "frame_idx", "case when e in (0, 12, 13) then 2 when e = 11 then 3 when e < 11 then 0 else 1 end as kit", "if(e = 3, 9, (ck * (e + 1)) % 10) as w"), 8)
+
+
+@query("team_scores_four_kits", f"""SELECT match_id, track_id, coalesce((a - b)/(a + b), 0) AS score FROM (SELECT DISTINCT match_id, track_id FROM kits4) LEFT JOIN (
+ SELECT match_id, t.track_id, {GAP4.format(b='h')} AS a, {GAP4.format(b='w')} AS b
+ FROM kit4_means t JOIN kit4_centres h USING (match_id) JOIN kit4_centres w USING (match_id) WHERE h.kit = 0 AND w.kit = 1) USING (match_id, track_id)""", "score")
+def team_scores_four_kits(spark, sf):
+    """Clusters that are the kits' means: every track's score is known, and a track that was never seen well has 0."""
+    rows = kits4(spark, sf)
+    return M.team_scores_by_track(M.mean_descriptors(rows), tracks=rows)
+
+
+@query("kit_clusters_two", """SELECT match_id, 1 - abs(sum(n) FILTER (NOT away)/sum(n) - 0.5)*2 AS balance, max(d0) AS high0, min(d0) AS low0 FROM (
+ SELECT match_id, e >= 11 AS away, count(*) AS n, avg(CASE WHEN cluster = 0 THEN 1 ELSE 0 END + CASE WHEN wob % 6 = 0 THEN 0.1::DOUBLE ELSE 0 END) AS d0
+ FROM kit_swaps JOIN (SELECT DISTINCT match_id, track_id, e FROM gt) USING (match_id, track_id) WHERE wob <> 9 GROUP BY ALL) GROUP BY match_id""", "balance high0 low0")
+def kit_clusters_two(spark, sf):
+    """Two kits a match, one row in seven in the other one: the centroids are the teams' means."""
+    a, b = F.get("c0", F.lit(0)), F.get("c1", F.lit(0))
+    return M.kit_clusters(kit_swaps(spark, sf)).select("match_id", "balance", F.greatest(a, b).alias("high0"), F.least(a, b).alias("low0"))
+
+
+@query("assign_seen_tracks", """SELECT match_id, track_id, CASE WHEN w0 + w1 IS NULL OR n < 5 THEN 'unknown' WHEN w0 >= w1 THEN 'home' ELSE 'away' END AS team,
+ CASE WHEN w0 + w1 IS NULL OR n < 5 THEN 0 ELSE greatest(w0, w1)/(w0 + w1) END AS confidence FROM (
+ SELECT match_id, track_id, count(*) FILTER (wob <> 9) AS n,
+ CASE WHEN count(*) FILTER (wob <> 9) > 0 THEN count(*) FILTER (wob <> 9 AND kit IN (0, 2))/2 END AS w0, CASE WHEN count(*) FILTER (wob <> 9) > 0 THEN count(*) FILTER (wob <> 9 AND kit IN (1, 3))/2 END AS w1
+ FROM kits4 GROUP BY match_id, track_id)""", "confidence")
+def assign_seen_tracks(spark, sf):
+    """Every track gets a team or `unknown`; kits 2 and 3 count as the team of their remainder."""
+    rows = kits4(spark, sf)
+    labels = rows.filter(M.usable()).selectExpr("match_id", "track_id", "frame_idx", "cast(if(array_position(descriptor, array_max(descriptor)) in (3, 7), 1, 0) as int) as cluster", "0.5D as gap")
+    return M.assign_tracks(labels, balanced=False, tracks=rows)
+
+
 @query("resolve_identity")
 def resolve_identity(spark, sf):
     t = D.tracks_frag(spark, sf).select(*D.TRACK_COLUMNS).unionByName(D.as_tracks(D.ball(spark, sf)).select(*D.TRACK_COLUMNS))
@@ -337,7 +394,7 @@ def stream_ball(spark, sf):
 def user_frame_mapper(spark, sf):
     """A user's own detections -> pitch function, plugged in with DataFrame.transform."""
     mapper = lambda df: df.withColumn("x", F.col("bbox_x") * 0.1).withColumn("y", F.col("bbox_y") * 0.1)
-    return players(D.tracks(spark, sf)).transform(mapper).select("match_id", "frame_idx", "track_id", "x", "y")
+    return CAL.map_feet(players(D.tracks(spark, sf)), mapper).select("match_id", "frame_idx", "track_id", "x", "y")
 
 
 @query("club_thresholds", """SELECT match_id, team, count(*) AS n FROM block5 WHERE def_line_x <= CASE WHEN team = 'home' THEN -30 ELSE -25 END GROUP BY match_id, team""")

@@ -365,8 +365,7 @@ def swap_team_labels(spark, sf):
 
 @query("distinct_frames", """SELECT match_id, frame_idx, period, "timestamp" FROM frames""", "timestamp")
 def distinct_frames(spark, sf):
-    return D.tracks(spark, sf).groupBy("match_id", "frame_idx").agg(
-        F.min_by("period", "track_id").alias("period"), F.min_by("timestamp", "track_id").alias("timestamp"))
+    return H.distinct_frames(D.tracks(spark, sf))
 
 
 # ------------------------------------------------------------------ sequences

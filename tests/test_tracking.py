@@ -6,7 +6,7 @@ import pandas as pd
 
 from matchspark.functions.tracking import BallWatch, Tracks, best_path
 from matchspark.operators import identity as I
-from matchspark.operators.teams import kit_clusters, mean_descriptors, split_officials, team_scores_by_track
+from matchspark.operators.teams import assign_tracks, kit_clusters, mean_descriptors, split_officials, team_scores_by_track, track_scores
 from matchspark.operators.tracking import link_ball_path, track_detections
 
 
@@ -144,3 +144,16 @@ def test_kit_splits(spark):
     assert len({np.sign(s[t]) for t in range(0, 22, 2)}) == 1 and np.sign(s[0]) != np.sign(s[1])
     assert sorted(r.track_id for r in split_officials(m).collect()) == [22, 23]
     assert kit_clusters(d).first().balance > 0.8
+
+
+def test_tracks_without_a_kit_keep_a_row(spark):
+    d = spark.createDataFrame([("m", t, f, [float(t % 2), float(t % 2 == 0)] if t < 4 else [0.0, 0.0]) for t in range(6) for f in range(6)],
+                              "match_id string, track_id int, frame_idx int, descriptor array<double>")
+    s = {r.track_id: r.score for r in team_scores_by_track(mean_descriptors(d), k=2, tracks=d).collect()}
+    assert set(s) == set(range(6)) and s[4] == s[5] == 0.0 and s[0] == s[2] == -s[1] == -s[3] != 0
+    labels = d.filter("track_id < 4").selectExpr("match_id", "track_id", "frame_idx", "track_id % 2 as cluster", "0.5D as gap")
+    for balanced in (False, True):
+        a = {r.track_id: (r.team, r.confidence) for r in assign_tracks(labels, balanced=balanced, tracks=d).collect()}
+        assert set(a) == set(range(6)) and a[4] == a[5] == ("unknown", 0.0) and {a[t][0] for t in (0, 2)} == {"home"} and {a[t][0] for t in (1, 3)} == {"away"}
+    assert {r.track_id: r.score for r in track_scores(labels, d).collect()} == {0: -1.0, 1: 1.0, 2: -1.0, 3: 1.0, 4: 0.0, 5: 0.0}
+    assert track_scores(labels).count() == 4
