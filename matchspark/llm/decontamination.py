@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import join_on
 
-WINDOW, SHARE, BROADCAST_ROWS = 5, 0.8, 1_000_000
+WINDOW, SHARE, BROADCAST_BYTES = 5, 0.8, 64 << 20
 MARK = "\u0001"                  # starts a placeholder token: MARK, its type (n, p or u), its value
 UNITS = ("kilometers kilometres kilograms centimeters centimetres meters metres miles inches feet yards grams pounds ounces tons liters "
          "litres gallons seconds minutes hours days weeks months years dollars euros cents percent degrees km kg cm mm mg ml mph kmh lb oz ft")
@@ -81,7 +81,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     item = asked.select("item_id", F.col("at").alias("item_at"), "h", F.col("kind").alias("item_kind"), F.col("slots").alias("item_slots")).distinct()
     sizes = item.groupBy("item_id").agg(F.count_distinct("item_at").alias("windows"))
     found = windows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *worded(text)), ["doc_id", "text_hash"])
-    small = item.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS        # else the windows of both sides are shuffled by hash
+    held = F.lit(64 + 32 * WINDOW) + F.coalesce(F.octet_length(F.array_join("item_slots", "", "")), F.lit(0))
+    small = (item.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES      # else the windows of both sides are shuffled by hash
     hits = found.join(F.broadcast(item) if small else item, "h")
     none = F.array().cast("array<string>")
     theirs = F.when(F.col("item_kind") == 1, F.col("item_slots")).otherwise(F.col("slots"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, join_on, saved
 
-SHINGLE, SEED, RADIUS, BLOCKS, TREE = 4, 42, 4, 6, 4096
+SHINGLE, SEED, RADIUS, BLOCKS, TREE, HOLD = 4, 42, 4, 6, 4096, 65_536
 BITS = 1 << np.arange(64, dtype=np.uint64)
 
 
@@ -97,73 +97,96 @@ class BKTree:
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def spanning(trees: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever near pairs of (query, tree point) connect, fewer than all pairs: one from each tree point to
-    the smallest point it reaches inside the tree, and one from each query to each tree cluster it touches."""
-    tree = BKTree(trees)
-    low = np.arange(len(trees))
-    step = max(1, 2_000_000 // max(1, len(trees)))
-    for at in range(0, len(trees), step):
-        a, b = tree.near(trees[at:at + step], radius)
-        a, b = low[a + at], low[b]
-        while (a != b).any():                               # hook the larger root below the smaller, then shorten
-            np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
-            while (low[low] != low).any():
-                low = low[low]
-            a, b = low[a], low[b]
-    left, right = [trees], [trees[low]]
-    other = queries[~np.isin(queries, trees)]
-    for at in range(0, len(other), step):
-        q, p = tree.near(other[at:at + step], radius)
-        pair = np.unique(np.stack([q, low[p]]), axis=1)
-        left.append(other[at:at + step][pair[0]])
-        right.append(trees[pair[1]])
+class Forest:
+    """The own points of a shard's piece as a BK-tree, with the smallest point each reaches inside it.
+
+    Its links connect whatever near pairs of (row, tree point) connect, and are fewer than all pairs: one from each tree point
+    to its smallest, and one from each other row to each tree cluster it touches."""
+
+    def __init__(self, points: np.ndarray, radius: int):
+        self.points, self.radius, self.tree = points, radius, BKTree(points) if len(points) else None
+        self.step = max(1, 2_000_000 // max(1, len(points)))
+        self.low = low = np.arange(len(points))
+        for at in range(0, len(points), self.step):
+            a, b = self.tree.near(points[at:at + self.step], radius)
+            a, b = low[a + at], low[b]
+            while (a != b).any():                           # hook the larger root below the smaller, then shorten
+                np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+                while (low[low] != low).any():
+                    low = low[low]
+                a, b = low[a], low[b]
+        self.low = low
+
+    def inside(self) -> tuple[np.ndarray, np.ndarray]:
+        far = self.low != np.arange(len(self.low))
+        return self.points[far], self.points[self.low[far]]
+
+    def touched(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of rows that are not in the tree."""
+        left, right = [rows[:0]], [rows[:0]]
+        for at in range(0, len(rows) if self.tree is not None else 0, self.step):
+            q, p = self.tree.near(rows[at:at + self.step], self.radius)
+            pair = np.unique(np.stack([q, self.low[p]]), axis=1)
+            left.append(rows[at:at + self.step][pair[0]])
+            right.append(self.points[pair[1]])
+        return np.concatenate(left), np.concatenate(right)
+
+
+def _ordered(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     x, y = np.concatenate(left), np.concatenate(right)
-    return x[x != y], y[x != y]
-
-
-def link_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, piece, own, fp) sorted by shard and piece: build the tree of each piece's own points, search all its rows."""
+    pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64))], ["a", "b"])
+
+
+def _closed(part: tuple[np.ndarray, ...], radius: int) -> pa.RecordBatch:
+    """Links of whole pieces."""
+    shard, piece, own, fp = part
+    cut = np.flatnonzero((shard[1:] != shard[:-1]) | (piece[1:] != piece[:-1])) + 1
+    a, b = np.append(0, cut), np.append(cut, len(fp))
+    two = (b - a) == 2                                      # most shards: a pair needs no tree
+    i = a[two]
+    hit = (np.bitwise_count(fp[i] ^ fp[i + 1]) <= radius) & (own[i] | own[i + 1])
+    left, right = [fp[i[hit]]], [fp[i[hit] + 1]]
+    for s, e in zip(a[(b - a) > 2].tolist(), b[(b - a) > 2].tolist()):
+        forest = Forest(fp[s:e][own[s:e]], radius)
+        for x, y in (forest.inside(), forest.touched(fp[s:e][~own[s:e]])):
+            left.append(x)
+            right.append(y)
+    return _ordered(left, right)
+
+
+def link_batches(batches: Iterator[pa.RecordBatch], radius: int, hold: int = HOLD) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, piece, own, fp) sorted by shard and piece, own rows first: build the tree of each piece's own points, search
+    all its rows. Of a piece of more than `hold` rows the tree stays and the other rows pass by, a batch at a time."""
     held: list[tuple[np.ndarray, ...]] = []
-
-    def solve(part: tuple[np.ndarray, ...]) -> pa.RecordBatch | None:
-        shard, piece, own, fp = part
-        cut = np.flatnonzero((shard[1:] != shard[:-1]) | (piece[1:] != piece[:-1])) + 1
-        a, b = np.append(0, cut), np.append(cut, len(fp))
-        left, right = [], []
-        two = (b - a) == 2                                  # most shards: a pair needs no tree
-        i = a[two]
-        hit = (np.bitwise_count(fp[i] ^ fp[i + 1]) <= radius) & (own[i] | own[i + 1])
-        left.append(fp[i[hit]])
-        right.append(fp[i[hit] + 1])
-        for s, e in zip(a[(b - a) > 2].tolist(), b[(b - a) > 2].tolist()):
-            if own[s:e].any():
-                x, y = spanning(fp[s:e][own[s:e]], fp[s:e], radius)
-                left.append(x)
-                right.append(y)
-        x, y = np.concatenate(left), np.concatenate(right)
-        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64))], ["a", "b"])
+    key, forest = None, None                                # the piece whose rows pass by
     for batch in batches:
-        part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False),
-                batch.column(3).to_numpy().view(np.uint64)]
+        part = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False),
+                batch.column(3).to_numpy().view(np.uint64))
+        if forest is not None:
+            end = int(np.argmin(np.append((part[0] == key[0]) & (part[1] == key[1]), False)))
+            if end:
+                x, y = forest.touched(part[3][:end])
+                yield _ordered([x], [y])
+            if end == len(part[0]):
+                continue
+            part, forest = tuple(c[end:] for c in part), None
         if not len(part[0]):
             continue
-        last = (part[0][-1], part[1][-1])
-        open_ = len(part[0]) - int(np.argmax(((part[0] != last[0]) | (part[1] != last[1]))[::-1])) \
-            if ((part[0] != last[0]) | (part[1] != last[1])).any() else 0
-        if open_:
-            done = [p[:open_] for p in part]
-            held.append(tuple(done))
-            yield solve(tuple(np.concatenate(c) for c in zip(*held)))
-            held = [tuple(p[open_:] for p in part)]
-        else:
-            if held and (held[-1][0][-1], held[-1][1][-1]) != last:
-                yield solve(tuple(np.concatenate(c) for c in zip(*held)))
-                held = []
-            held.append(tuple(part))
+        held.append(part)
+        key = part[0][-1], part[1][-1]
+        rows = tuple(np.concatenate(c) for c in zip(*held)) if len(held) > 1 else part
+        done = len(rows[0]) - int(np.argmin(np.append(((rows[0] == key[0]) & (rows[1] == key[1]))[::-1], False)))
+        if done:
+            yield _closed(tuple(c[:done] for c in rows), radius)
+        rest = tuple(c[done:] for c in rows)
+        held = [rest]
+        if len(rest[0]) > hold and not rest[2][-1]:
+            forest, held = Forest(rest[3][rest[2]], radius), []
+            (a, b), (x, y) = forest.inside(), forest.touched(rest[3][~rest[2]])
+            yield _ordered([a, x], [b, y])
     if held:
-        yield solve(tuple(np.concatenate(c) for c in zip(*held)))
+        yield _closed(held[0], radius)
 
 
 def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
@@ -186,7 +209,7 @@ def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: i
     rows = rows.withColumn("home", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("pieces")).cast("int"))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     rows = rows.select("shard", "piece", (F.col("home") == F.col("piece")).alias("own"), "fp")
-    return rows.repartition("shard", "piece").sortWithinPartitions("shard", "piece").mapInArrow(
+    return rows.repartition("shard", "piece").sortWithinPartitions("shard", "piece", F.desc("own")).mapInArrow(
         lambda b: link_batches(b, radius), "a bigint, b bigint").distinct()
 
 

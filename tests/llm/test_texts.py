@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -252,7 +253,7 @@ def test_long_rows_of_numbers(spark, sf001):
 def test_big_benchmark_is_shuffled_not_broadcast(spark, sf001, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf001}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, decontamination.leaks(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, decontamination.leaks(docs, bench).collect())) == want
 
 
@@ -279,3 +280,43 @@ def test_a_text_of_a_hundred_thousand_secrets(spark):
     spans = secret_scan.scan(df).first().spans
     assert [(s.start, s.end) for s in spans[:3]] == [(0, 12), (13, 25), (26, 38)] and len(spans) == n and spans[-1].end == 13 * n - 1
     assert time.time() - t0 < 60
+
+
+def test_pieces_pass_by_in_batches():
+    """Small batches and a small hold give links that connect the same rows as a piece held whole, and as plain search does."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 2, False)) for _ in range(900)], np.uint64)
+    fp = np.unique(centres[rng.integers(0, 40, 900)] ^ flips)
+    piece = np.repeat(np.arange(3), len(fp))
+    own = np.tile(rng.integers(0, 2, len(fp)), 3) == piece                  # piece 2 has no tree at all
+    order = np.lexsort((~own, piece))
+    rows = [pa.array(np.full(len(order), 9)), pa.array(piece[order]), pa.array(own[order]), pa.array(np.tile(fp, 3)[order].view(np.int64))]
+    whole = pa.RecordBatch.from_arrays(rows, ["shard", "piece", "own", "fp"])
+    alone = pa.RecordBatch.from_arrays([pa.array([10, 10]), pa.array([0, 0]), pa.array([True, True]), pa.array(fp[:2].view(np.int64))], ["shard", "piece", "own", "fp"])
+
+    def groups(pairs):
+        root = {int(v): int(v) for v in fp}
+
+        def top(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+        for a, b in pairs:
+            root[top(a)] = top(b)
+        out = {}
+        for v in root:
+            out.setdefault(top(v), set()).add(v)
+        return {frozenset(g) for g in out.values()}
+
+    def linked(batches, hold):
+        return [(a & (1 << 64) - 1, b & (1 << 64) - 1) for r in simhash.link_batches(iter(batches), 4, hold)
+                for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist())]
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4
+    plain = groups([(int(fp[i]), int(fp[j])) for i, j in zip(*np.nonzero(near))])
+    assert len(plain) < len(fp)
+    cut = [whole.slice(at, 37) for at in range(0, len(order), 37)]
+    for batches, hold in (([whole], 1 << 20), ([whole], 5), (cut, 1 << 20), (cut, 50), ([*cut, alone.slice(0, 0), alone], 50)):
+        got = linked(batches, hold)
+        assert groups(got) == plain
+        assert all(bin(a ^ b).count("1") <= 4 or {a, b} <= next(g for g in plain if a in g) for a, b in got)
