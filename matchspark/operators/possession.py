@@ -6,6 +6,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_exchange
 from ..functions.ordered import Ordered, lag, lead, running_sum
 from ..schema import AWAY, FPS, HOME, PITCH_LENGTH, PITCH_WIDTH, TEAMS, ball, is_playing
 from ..sources.scratch import written
@@ -64,7 +65,7 @@ def possession_from_control(control: DataFrame, min_hold_s: float = 0.5, max_gap
              .when(F.col("_new") & (F.col("_held") >= hold_n), F.col("_m")))
     state = F.coalesce(F.last(taken, ignorenulls=True).over(upto), F.lit("UNKNOWN"))
     spread = runs.select(*keys, state.alias("ball_status"), F.explode(F.sequence(F.col("_pos"), F.col("_pos") + F.col("_len") - 1)).alias("_pos"))
-    return frames.join(spread, [*keys, "_pos"]).select("match_id", "frame_idx", "period", "timestamp", "ball_status")
+    return frames.join(by_exchange(spread), [*keys, "_pos"]).select("match_id", "frame_idx", "period", "timestamp", "ball_status")
 
 
 def possession_runs(possession: DataFrame, fps: float = FPS, by_period: bool = False) -> DataFrame:
