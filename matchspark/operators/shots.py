@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import whole_groups
 from ..functions.intervals import at_least, closed, joined, minus, union, within
+from ..functions.joins import by_exchange
 from ..functions.ordered import Ordered, lag, lead
 from ..functions.vectors import l1
 from ..schema import FPS
@@ -132,7 +133,7 @@ def spans_per_match(signals: DataFrame, fps: float = FPS, min_s: float = MIN_WID
 def _onto_frames(signals: DataFrame, spans: DataFrame, *names: str) -> DataFrame:
     values = [(F.col("cut") & (F.col("frame_idx") == F.col("s"))).alias("cut") if n == "cut" else F.col(n) for n in names]
     each = spans.select("match_id", *dict.fromkeys(["s", *names]), F.explode(F.sequence("s", "e")).alias("frame_idx")).select("match_id", "frame_idx", *values)
-    return signals.join(each, ["match_id", "frame_idx"]).select(*signals.columns, *names)
+    return signals.join(by_exchange(each), ["match_id", "frame_idx"]).select(*signals.columns, *names)
 
 
 def stinger_and_replay(signals: DataFrame, fps: float = FPS) -> DataFrame:
