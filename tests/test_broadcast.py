@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from matchspark.operators import calibration as C
 from matchspark.operators import shots as X
 from matchspark.plans import catalog, derive, pitch
+from matchspark.schema import finite
 from conftest import SF
 
 
@@ -34,3 +35,15 @@ def test_arrays_go_by_exchange(spark):
     e = C.landmark_errors(lab, h)
     assert "Broadcast" not in e._jdf.queryExecution().executedPlan().toString()
     assert [r.err_m for r in e.collect()] == [0.0] * 3
+
+
+def test_filters_on_positions_compile(spark):
+    """The JVM does not compile methods of over 8,000 bytes; the places of people once made such methods."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t = derive.people(spark, SF).filter(finite(F.col("x")) & finite(F.col("y"))).select("match_id", "x", "y")
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        code = debug.codegenStringSeq(t._jdf.queryExecution().executedPlan())
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
