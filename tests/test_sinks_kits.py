@@ -40,3 +40,18 @@ def test_pooled_kits_equal_group_means(spark):
     c = {r.match_id: r for r in M.pooled_kit_clusters(df).collect()}
     assert set(c) == {"m0", "m1", "m2", "blank"} and all(abs(r.balance - 1) < 1e-12 and r.c0 == c["m0"].c0 for r in c.values())
     assert M.pooled_kits(df.filter("match_id = 'blank'")) == [] and M.pooled_kit_clusters(df.limit(0)).count() == 0
+
+
+def test_match_files_are_few_and_found_by_path(spark, tmp_path):
+    from matchspark.sources.feeds import read_mot
+    from matchspark.sources.scratch import by_match
+    rows = spark.range(0, 400, 1, 8).selectExpr("cast(id % 4 as string) as match_id", "cast(id as int) as frame", "1 as track_id", "1D as x", "2D as y",
+                                                "3D as w", "4D as h", "1D as conf", "1D as cls", "1D as vis", "1D as extra")
+    by_match(rows).write.partitionBy("match_id").csv(f"{tmp_path}/a=b/mot")
+    assert len(list(tmp_path.glob("a=b/mot/match_id=*/part-*.csv"))) == 4
+    back = read_mot(spark, f"{tmp_path}/a=b/mot", suffix=r"/part-[^/]*")
+    assert {(r.match_id, r["count"]) for r in back.groupBy("match_id").count().collect()} == {(str(k), 100) for k in range(4)}
+    rows.filter("match_id = '2'").drop("match_id").coalesce(1).write.csv(f"{tmp_path}/one")
+    part = next((tmp_path / "one").glob("part-*.csv"))
+    (tmp_path / "m-7.csv").write_bytes(part.read_bytes())
+    assert {r.match_id for r in read_mot(spark, f"{tmp_path}/m-7.csv").select("match_id").collect()} == {"m-7"}
