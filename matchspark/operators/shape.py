@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..schema import (AWAY, GOALKEEPER, HOME, PITCH_LENGTH, PITCH_WIDTH, TEAMS, attacking_sign,
                       finite, is_playing, players)
+from ..sources.scratch import written
 
 # Defenders, midfielders, forwards of each formation, in tie-break order.
 FORMATIONS = (("4-4-2", 4, 4, 2), ("4-3-3", 4, 3, 3), ("4-2-3-1", 4, 5, 1), ("3-5-2", 3, 5, 2),
@@ -52,12 +53,15 @@ def attacking_directions(tracks: DataFrame) -> DataFrame:
 
 
 def normalise_direction(tracks: DataFrame) -> DataFrame:
-    """Turn each period so that home attacks +x; every row turns, the ball too."""
+    """Turn each period so that home attacks +x; every row turns, the ball too.
+
+    The signs, one row per match and period, are written: their true size then decides how they are joined, and the tracks are not
+    exchanged for them."""
     signs = attacking_directions(tracks).groupBy("match_id", "period").agg(
         F.max(F.when(F.col("team") == HOME, F.col("direction"))).alias("_h"),
         F.max(F.when(F.col("team") == AWAY, F.col("direction"))).alias("_a"))
     sign = F.coalesce(F.col("_h"), -F.col("_a"), F.lit(-1))
-    return (tracks.join(signs, ["match_id", "period"], "left")
+    return (tracks.join(written(signs), ["match_id", "period"], "left")
             .withColumn("x", F.col("x") * sign).withColumn("y", F.col("y") * sign)
             .select(*tracks.columns))
 

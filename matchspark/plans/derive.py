@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import AWAY, BALL, GOALKEEPER, HOME, PLAYER, UNKNOWN
 
 FRAMES_PER_MATCH = 7500
+FRAMES_PER_TASK = 1 << 16      # fixed value: with their 23 objects a few hundred MB, sorted in memory
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One narrow row per frame, hashed by (match, frame) before anything is exploded from it."""
+    """One narrow row per frame, hashed by (match, frame) before anything is exploded from it; more tasks the more frames there are."""
     o = table(spark, sf_dir, "orders")
     f = (F.col("o_orderkey") % FRAMES_PER_MATCH)
     df = o.select(
@@ -28,7 +29,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((f % 3750).cast("double") / 25.0).alias("timestamp"),
         F.expr(f"cast(((o_orderkey % {FRAMES_PER_MATCH}) div 250) % 6 as int)").alias("ph"),
         F.col("o_custkey").cast("long").alias("ck"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-o.count() // FRAMES_PER_TASK), 1)
     return df.repartition(n, "match_id", "frame_idx")
 
 

@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchspark.operators import calibration as C
+from matchspark.operators import possession as P
+from matchspark.operators import shape as H
 from matchspark.operators import shots as X
 from matchspark.plans import catalog, derive, pitch
 from matchspark.schema import finite
@@ -70,3 +72,18 @@ def test_landmark_benchmark_maps_labels_once(spark):
     """Its plan reads the frames' errors from a file: labels were once mapped three times."""
     got = catalog.QUERIES["landmark_benchmark"](spark, SF)
     assert not any("orders" in f for f in got.inputFiles())
+
+
+def test_frames_are_exchanged_once(spark):
+    """Turning the tracks exchanged all of them by match and period, and then again by frame."""
+    n = H.normalise_direction(derive.tracks(spark, SF))
+    for df in (P.control_frames(n), H.players_with_ball(n), P.possession_orientation_check(n, derive.possession_gt(spark, SF))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "period" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+        assert "SortMergeJoin [match_id" not in plan or "frame_idx" in plan.split("SortMergeJoin [match_id")[1].split("]")[0]
+
+
+def test_tasks_grow_with_the_frames(spark, monkeypatch):
+    assert derive.frames(spark, SF).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(derive, "FRAMES_PER_TASK", 100)
+    assert derive.frames(spark, SF).rdd.getNumPartitions() == 15
