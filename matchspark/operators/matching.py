@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.assignment import assign_many
 from ..functions.batches import whole_groups
+from ..functions.joins import by_exchange
 from ..functions.ordered import Ordered, lag
 from ..schema import (AWAY, BALL, GOALKEEPER, HOME, OFFICIAL, OTHER, PLAYER, PLAYING, REFEREE, UNKNOWN,
                       finite)
@@ -96,28 +97,34 @@ def id_switches(pairs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ time joins
 
-def _bucketed(frames: DataFrame, readings: DataFrame, tol_s: float, by: list[str]):
-    """Equi-join on time buckets of one tolerance, looking one bucket either way."""
-    bucket = lambda c: F.floor(F.col(c) / F.lit(tol_s))
-    near = frames.withColumn("_b", F.explode(F.array(
-        bucket("t") - 1, bucket("t"), bucket("t") + 1)))
-    r = readings.withColumn("_b", bucket("ts"))
-    # Rounding keeps a reading exactly at the tolerance inside it.
-    return near.join(r, by + ["_b"]).withColumn("_dt", F.round(F.abs(F.col("ts") - F.col("t")), 9)).filter(
-        F.col("_dt") <= tol_s)
+CELL = 8       # fixed value: tolerances in a time cell
+
+
+def _near(frames: DataFrame, readings: DataFrame, tol_s: float, by: list[str]):
+    """Frames with the readings within the tolerance, met in time cells: a frame is in one cell, a reading in those it reaches.
+
+    Rows stay dealt by (*by, _cell), so grouping them by frame within its cell asks for no further exchange."""
+    cell = lambda c: F.floor(c / F.lit(tol_s * CELL))
+    # Rounding keeps a reading exactly at the tolerance inside it; the margin covers that.
+    reach = tol_s * (1 + 1e-3) + 1e-6
+    cells = F.sequence(cell(F.col("ts") - reach), cell(F.col("ts") + reach))
+    r = readings.withColumn("_cell", F.explode(cells))
+    near = frames.withColumn("_cell", cell(F.col("t"))).join(by_exchange(r), by + ["_cell"])
+    return near.withColumn("_dt", F.round(F.abs(F.col("ts") - F.col("t")), 9)).filter(F.col("_dt") <= tol_s)
 
 
 def asof_nearest(frames: DataFrame, readings: DataFrame, tol_s: float = 0.05, by=("match_id",)) -> DataFrame:
     """Each frame (columns *by, frame_idx, t) with the nearest reading time within the tolerance."""
     times = readings.select(*by, "ts").distinct()
-    c = _bucketed(frames, times, tol_s, list(by))
-    return c.groupBy(*by, "frame_idx", "t").agg(F.min_by("ts", F.struct("_dt", "ts")).alias("ts"))
+    c = _near(frames, times, tol_s, list(by))
+    return c.groupBy(*by, "_cell", "frame_idx", "t").agg(F.min_by("ts", F.struct("_dt", "ts")).alias("ts")).drop("_cell")
 
 
 def interval_join_closest(frames: DataFrame, readings: DataFrame, tol_s: float = 0.05, by=("match_id",)) -> DataFrame:
     """Per frame and tag, the reading closest in time within the tolerance."""
-    c = _bucketed(frames, readings, tol_s, list(by))
+    c = _near(frames, readings, tol_s, list(by))
     rest = [x for x in readings.columns if x not in by and x not in ("tag_id", "ts")]
-    return c.groupBy(*by, "frame_idx", "t", "tag_id").agg(
+    # The frame comes first: rows are sorted by these columns, and it settles most comparisons at once.
+    return c.groupBy("frame_idx", "tag_id", "t", "_cell", *by).agg(
         F.min(F.struct("_dt", "ts", *rest)).alias("_r")).select(
         *by, "frame_idx", "t", "tag_id", "_r.ts", *[f"_r.{x}" for x in rest])

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from matchspark.functions.assignment import assign, assign_many
+from matchspark.operators import matching as M
 from matchspark.operators.detections import suppress
 from matchspark.operators.matching import match_people, match_people_gated
 from matchspark.operators.scoring import position_summary, tracking_score
@@ -91,3 +92,28 @@ def test_suppression(spark):
             ("m", 0, "b", 3, 0.0, 0.0, 10.0, 10.0, .5)]
     df = spark.createDataFrame(rows, "match_id string, frame_idx int, cls_name string, det int, bbox_x double, bbox_y double, bbox_w double, bbox_h double, conf double")
     assert sorted(r.det for r in suppress(df).collect()) == [0, 2, 3]
+
+
+def test_nearest_readings_by_cells(spark):
+    """Against plain Python on either side of the cells' borders, and without an exchange of the pairs."""
+    rng = np.random.default_rng(4)
+    edge = [0.4 * k + d for k in range(-2, 4) for d in (-0.05, -0.0500001, 0.0, 0.05, 0.0500001)]
+    times = [("m", k, float(t)) for k, t in enumerate([*edge, *rng.uniform(-2, 3, 60)])]
+    reads = [(m, float(t), tag, float(tag)) for m in ("m", "n") for tag in (1, 2) for t in [*edge, *rng.uniform(-2, 3, 40)]]
+    frames = spark.createDataFrame(times, "match_id string, frame_idx int, t double")
+    seen = spark.createDataFrame([*reads, ("m", None, 1, 0.0), ("m", float("nan"), 1, 0.0), ("m", float("inf"), 1, 0.0)],
+                                 "match_id string, ts double, tag_id int, x double")
+    want = {}
+    for _, f, t in times:
+        for m, ts, tag, _ in reads:
+            d = round(abs(ts - t), 9)
+            if m == "m" and d <= 0.05:
+                want[f, tag] = min(want.get((f, tag), (d, ts)), (d, ts))
+    df = M.interval_join_closest(frames, seen)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastExchange" not in plan
+    assert {(r.frame_idx, r.tag_id): r.ts for r in df.collect()} == {k: ts for k, (_, ts) in want.items()}
+    best = {}
+    for (f, _), v in want.items():
+        best[f] = min(best.get(f, v), v)
+    assert {r.frame_idx: r.ts for r in M.asof_nearest(frames, seen).collect()} == {f: ts for f, (_, ts) in best.items()}
