@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut_lineage
+from ..sources.scratch import cut_lineage, written
 from ..functions.quantiles import exact_percentiles
 from ..schema import AWAY, BALL, GOALKEEPER, HOME, PLAYING, REFEREE, TEAMS, finite
 from .matching import id_switches, match_people_gated
@@ -143,7 +143,8 @@ def _located_sides(tracks: DataFrame, sides: DataFrame | None) -> DataFrame:
     p = tracks.filter(F.col("role").isin(*PLAYING) & finite(F.col("x")) & finite(F.col("y")))
     if sides is None:
         return p.withColumn("side", _truth_side("team")).filter(F.col("side").isNotNull())
-    return p.join(sides, ["match_id", "team"])
+    # One row per match and team, written: by their true size Spark need not exchange the tracks for them.
+    return p.join(written(sides), ["match_id", "team"])
 
 
 def _shape(tracks: DataFrame, sides: DataFrame | None, prefix: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from matchspark.operators import calibration as C
 from matchspark.operators import possession as P
+from matchspark.operators import scoring as S
 from matchspark.operators import shape as H
 from matchspark.operators import shots as X
 from matchspark.plans import catalog, derive, pitch
@@ -87,3 +88,9 @@ def test_tasks_grow_with_the_frames(spark, monkeypatch):
     assert derive.frames(spark, SF).rdd.getNumPartitions() == 4
     monkeypatch.setattr(derive, "FRAMES_PER_TASK", 100)
     assert derive.frames(spark, SF).rdd.getNumPartitions() == 15
+
+
+def test_sides_do_not_exchange_the_tracks(spark):
+    t = derive.as_tracks(derive.people(spark, SF))
+    plan = S.shape_error(t, t, S.team_sides(t))._jdf.queryExecution().executedPlan().toString()
+    assert "team" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
