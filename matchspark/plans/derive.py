@@ -18,10 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str, block: int = 1) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, by_match: bool = False) -> DataFrame:
     """One narrow row per frame, hashed by (match, frame) before anything is exploded from it; more tasks the more frames there are.
 
-    With `block` that many frames of a match stay together."""
+    With `by_match` the frames of a match share a task, and its id is known not to be null: files of matches then need no sort when written."""
     o = table(spark, sf_dir, "orders")
     f = (F.col("o_orderkey") % FRAMES_PER_MATCH)
     df = o.select(
@@ -32,7 +32,9 @@ def frames(spark: SparkSession, sf_dir: str, block: int = 1) -> DataFrame:
         F.expr(f"cast(((o_orderkey % {FRAMES_PER_MATCH}) div 250) % 6 as int)").alias("ph"),
         F.col("o_custkey").cast("long").alias("ck"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-o.count() // FRAMES_PER_TASK), 1)
-    return df.repartition(n, "match_id", F.expr(f"frame_idx div {block}") if block > 1 else "frame_idx")
+    if by_match:
+        return df.withColumn("match_id", F.coalesce("match_id", F.lit(""))).repartition(n, "match_id")
+    return df.repartition(n, "match_id", "frame_idx")
 
 
 # Base and step of u (length) and v (width) by phase 0-5, home then away.
@@ -72,16 +74,15 @@ def _objects(df: DataFrame) -> DataFrame:
         f"{flip} * if(e = 22 and ph = 5, 40D, vs[ph] + ((ck * (hs[ph] + 2)) % 29 - 14) / 100D) as y")
 
 
-def frames_of_objects(spark, sf_dir, people: str, ball: str, block: int) -> DataFrame:
-    """One row per frame with its people and its ball, if seen, as arrays of the given expression on o.e, o.x and o.y: the rows of `everyone`, never apart."""
+def frames_of_objects(frames: DataFrame, people: str, ball: str) -> DataFrame:
+    """Frames with their people and their ball, if seen, as arrays of the given expression on o.e, o.x and o.y: the rows of `everyone`, never apart."""
     at = lambda objects: "array(" + ", ".join(
         "array(" + ", ".join("named_struct('e', {}, 'h', {}, 'u', {}D, 'v', {}D)".format(e, *_place(e, ph)) for e in objects) + ")" for ph in range(6)) + ")[ph]"
-    f = frames(spark, sf_dir, block).selectExpr("*", "if(period = 2, -1D, 1D) as flip", f"{at(range(BALL_AT))} as people", f"if({_BALL_SEEN}, {at([BALL_AT])}, array()) as ball")
+    f = frames.selectExpr("*", "if(period = 2, -1D, 1D) as flip", f"{at(range(BALL_AT))} as people", f"if({_BALL_SEEN}, {at([BALL_AT])}, array()) as ball")
     x = "flip * (p.u + ((ck * (p.h + 1)) % 29 - 14) / 100D{})".format
     y = "flip * (p.v + ((ck * (p.h + 2)) % 29 - 14) / 100D)"
     of = lambda k, x, y, text: f"transform(transform({k}, p -> named_struct('e', p.e, 'x', {x}, 'y', {y})), o -> {text}) as {k}"
-    keep = [c for c in f.columns if c not in ("flip", "people", "ball")]
-    return f.selectExpr(*keep, of("people", x(""), y, people), of("ball", x(" + 0.5D"), f"if(ph = 5, flip * 40D, {y})", ball))
+    return f.selectExpr(*frames.columns, of("people", x(""), y, people), of("ball", x(" + 0.5D"), f"if(ph = 5, flip * 40D, {y})", ball))
 
 
 def _rows(df: DataFrame) -> DataFrame:

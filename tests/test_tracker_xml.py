@@ -1,5 +1,8 @@
 """Tracker XML: plain frames are read by columns, all others by a parser; both see the same rows."""
+from xml.etree import ElementTree as ET
+
 import pyarrow as pa
+from conftest import SF
 
 from matchspark.functions.xml_frames import RECORDS, parsed_frame, plain_frames, read_frames, read_objects
 from matchspark.plans import files
@@ -56,10 +59,12 @@ def test_malformed_frame_in_a_file_keeps_the_rest(spark, tmp_path):
     assert [(r.frame_idx, r.track_id, r.x) for r in rows.collect()] == [(2, 6, 0.0)] and skipped.first().skipped == 1
 
 
-def test_written_frames_are_not_exploded_or_exchanged_whole(spark, monkeypatch):
+def test_written_frames_are_whole_files_from_one_narrow_exchange(spark, monkeypatch):
     kept = []
-    monkeypatch.setattr(files.D, "frames_of_objects", lambda *a, _f=files.D.frames_of_objects, **k: kept.append(_f(*a, **k)) or kept[0])
-    from conftest import SF
-    files._xml(spark, SF)
+    monkeypatch.setattr(files.D, "frames_of_objects", lambda *a, _f=files.D.frames_of_objects: kept.append(_f(*a)) or kept[0])
+    path = files._xml(spark, SF)
     plan = kept[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "Generate" not in plan and "NestedLoop" not in plan
+    written = spark.read.text(path, wholetext=True).collect()
+    frames = [len(ET.fromstring(r.value.encode()).findall("frame")) for r in written]
+    assert len(written) == len({r.match_id for r in written}) and sum(frames) == kept[0].count()
