@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 
 OF_FRAME, OF_OBJECT, KINDS = ("eventPeriod", "matchTime", "ballStatus"), ("playerId", "speed", "loc"), ("player", "ball")
 FRAMES = "match_id string, period string, ms string, ball_status string"
-OBJECTS = FRAMES + ", ball boolean, id string, speed string, x double, y double, loc string"
+OBJECTS = FRAMES + ", ball boolean, number int, id string, speed string, x double, y double, loc string"
 _FRAME = [(n, pa.string()) for n in ("match_id", "period", "ms", "ball_status")]
-_OBJECT = [("ball", pa.bool_()), ("id", pa.string()), ("speed", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("loc", pa.string())]
+_OBJECT = [("ball", pa.bool_()), ("number", pa.int32()), ("id", pa.string()), ("speed", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("loc", pa.string())]
 RECORDS = 2000      # fixed value: frames handled at once, a few MB of text
 
 _ATTRS = OF_FRAME + OF_OBJECT
@@ -43,6 +43,12 @@ def _numbers(texts: pa.Array) -> pa.Array:
         return pc.if_else(pc.match_substring_regex(t, _NUMBER), t, None).cast(pa.float64())
 
 
+def _ids(ids: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Plain integers, and the text of the others."""
+    n = pc.if_else(pc.match_substring_regex(ids, "^[0-9]{1,9}$"), ids, None).cast(pa.int32())
+    return n, pc.if_else(n.is_valid(), None, ids)
+
+
 def _places(loc: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     """The two numbers of each place, and the text of those that are not two plain numbers."""
     p = pc.split_pattern(loc, ",")
@@ -96,7 +102,7 @@ def plain_frames(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array], np.ndarra
         return out
     frames, objects = values(head & ok[record], OF_FRAME), inside & ok[record]
     pid, speed, loc = values(objects, OF_OBJECT)
-    return ok, frames, (np.cumsum(ok) - 1)[record[objects]], [pa.array(kind[objects] == BALL), pid, speed, *_places(loc)]
+    return ok, frames, (np.cumsum(ok) - 1)[record[objects]], [pa.array(kind[objects] == BALL), *_ids(pid), speed, *_places(loc)]
 
 
 def parsed_frame(text: str) -> tuple | None:
