@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_exchange
 from .common import saved
 
 HELD = 200_000                                  # distinct words a task holds before it passes their counts on
@@ -145,7 +146,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     schema = "key bigint, word string, n bigint"
     index = words.mapInArrow(lambda b: key_batches(b, counts, False), schema)
     probe = words.mapInArrow(lambda b: key_batches(b, counts, True), schema)
-    met = index.join(probe.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")), "key").where(
+    # Spark takes the keys of a word, dozens of them, to be one row.
+    met = index.join(by_exchange(probe.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))), "key").where(
         (F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
     both = met.select(F.explode(F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"),
                                                                                     F.col("n").alias("near_n")))).alias("p"))
@@ -156,7 +158,7 @@ def followed(links: DataFrame, depth: int) -> DataFrame:
     """word, root: the end of each word's chain of forms, of at most `depth` links; each round doubles how far a word sees."""
     for _ in range(math.ceil(math.log2(depth)) if depth > 1 else 0):
         on = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        links = saved(links.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root")))
+        links = saved(links.join(by_exchange(on), "root", "left").select("word", F.coalesce("next", "root").alias("root")))
     return links
 
 
@@ -177,4 +179,4 @@ def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
         F.when(strong, -top["col1"]).alias("form_n")))
     depth = math.floor(math.log(span.most / max(1, span.least), ratio) + 1e-9) if span.most else 0
     links = followed(found.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root")), depth)
-    return found.join(links, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(by_exchange(links), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from matchspark.llm import hard_negatives, language_id, queries, spelling
-from matchspark.llm.common import crc32_of, table
+from matchspark.llm.common import crc32_of, saved, table
 
 
 def one_edit(a, b):
@@ -83,6 +83,13 @@ def test_word_counts_of_odd_rows(spark, odd_docs, no_docs):
     assert spelling.variants(spelling.word_counts(no_docs)).count() == 0
 
 
+def test_keys_and_chains_of_words_are_not_broadcast(spark):
+    """Spark takes the dozens of keys of a word to be one row; written words are far smaller than the rows read from them."""
+    words = saved(spark.createDataFrame([("ribbon", 50), ("ribon", 1), ("ribbons", 9)], "word string, n long"))
+    for df in (spelling.neighbours(words), spelling.variants(words)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_slips_follow_their_rule(spark):
     texts = [(i, f"Étude{i % 7}x Wörter wanderung, Wanderung WANDERUNG {'abcdef' * (i % 3)} ÀB÷cdef") for i in range(400)]
     plain = defaultdict(int)
