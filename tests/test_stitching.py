@@ -80,3 +80,34 @@ def test_stitching_does_not_depend_on_partitions(spark):
         return sorted((r.tracklet_id, tuple(r.track_ids), r.start, r.end, r.n_frames) for r in got)
     one = run(1)
     assert one == run(7) and len(one) < tid and sorted(i for r in one for i in r[1]) == list(range(tid))
+
+
+def fragments(spark, seed):
+    """Fragments of five runners in each of three matches, with gaps."""
+    rng = np.random.default_rng(seed)
+    rows, tid = [], 0
+    for m, runner in itertools.product("mno", range(5)):
+        f = 0
+        while f < 250:
+            stop = f + int(rng.integers(5, 30))
+            rows += [(m, g, tid, "player", "unknown", 0.2 * g + float(rng.normal(0, 0.3)), 1.5 * runner) for g in range(f, stop)]
+            tid, f = tid + 1, stop + int(rng.integers(1, 25))
+    return spark.createDataFrame(rows, "match_id string, frame_idx int, track_id int, role string, team string, x double, y double")
+
+
+def test_matches_solved_whole_or_by_components_agree(spark, monkeypatch):
+    t = I.build_tracklets(fragments(spark, 5)).cache()
+    got = []
+    for edges in (1 << 20, 0):
+        monkeypatch.setattr(I, "EDGES_PER_TASK", edges)
+        got.append(sorted((r.match_id, r.tracklet_id, tuple(r.track_ids), r.n_frames) for r in I.stitch_tracklets(t).collect()))
+    assert got[0] == got[1] and len(got[0]) < t.count()
+
+
+def test_stitching_runs_no_rounds_for_matches_that_fit_a_task(spark, monkeypatch):
+    """Rounds of joins over tiny tables once took most of the time."""
+    seen, cut = [], I.cut_lineage
+    monkeypatch.setattr(I, "cut_lineage", lambda df: seen.append(0) or cut(df))
+    monkeypatch.setattr("matchspark.functions.components.cut_lineage", lambda df: seen.append(0) or cut(df))
+    I.stitch_tracklets(I.build_tracklets(fragments(spark, 6)))
+    assert len(seen) <= 2 + 3 * 8
