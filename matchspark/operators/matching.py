@@ -2,12 +2,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.assignment import assign_many
-from ..functions.batches import whole_groups
+from ..functions.batches import whole_tables
 from ..functions.joins import by_exchange
 from ..functions.ordered import Ordered, lag
 from ..schema import (AWAY, BALL, GOALKEEPER, HOME, OFFICIAL, OTHER, PLAYER, PLAYING, REFEREE, UNKNOWN,
@@ -17,9 +17,21 @@ PAIRS = "match_id string, frame_idx int, gt_track int, pred_track int, g int, p
 # Roles and teams cross to Python as one small number and come back as text.
 ROLES, TEAM_NAMES = (PLAYER, GOALKEEPER, REFEREE, BALL, OTHER), (HOME, AWAY, OFFICIAL, UNKNOWN)
 FAR = 1e6
+FRAMES_AT_ONCE = 512          # fixed value: frames whose distances are held together
 FRAME = ["match_id", "frame_idx"]
 
 
+def _prices(x, y, r0, rn, c0, cn, cols):
+    """Prices of predictions to start from, in frames of as many predictions as people, else zeros.
+
+    With all moved alike by t, the least sum of distances pairs each with its own, and lengths along t are prices of that pairing."""
+    x0, y0 = np.append(0.0, x.cumsum()), np.append(0.0, y.cumsum())
+    tx, ty = ((s[c0 + cn] - s[c0]) / cn - (s[r0 + rn] - s[r0]) / rn for s in (x0, y0))
+    t = np.hypot(tx, ty)
+    t = np.where((rn == cn) & (t > 0), t, np.inf)
+    return x[cols] * (tx / t)[:, None] + y[cols] * (ty / t)[:, None]
+
+
 def _pair_frames(x, y, start, mid, end, gate: float, gate_first: bool):
     """Row pairs (gt row, pred row, distance) of many frames: gt rows start..mid, pred rows mid..end."""
     ng, np_ = mid - start, end - mid
@@ -29,9 +41,12 @@ def _pair_frames(x, y, start, mid, end, gate: float, gate_first: bool):
     ri, ci = np.arange(rn.max()), np.arange(cn.max())
     rows, cols = np.minimum(r0[:, None] + ri, len(x) - 1), np.minimum(c0[:, None] + ci, len(x) - 1)
     d = np.hypot(x[rows][:, :, None] - x[cols][:, None, :], y[rows][:, :, None] - y[cols][:, None, :])
-    cost = np.where(d <= gate, d, FAR) if gate_first else d.copy()
-    cost[np.broadcast_to((ci >= cn[:, None])[:, None, :], cost.shape)] = np.inf
-    got = assign_many(cost, rn)
+    d[np.broadcast_to((ci >= cn[:, None])[:, None, :], d.shape)] = np.inf
+    # Frames without any two in reach have no pair, whatever the assignment.
+    some = ((d <= gate) & (ri < rn[:, None])[:, :, None]).any(axis=(1, 2))
+    flip, r0, rn, c0, cn, rows, cols, d = (a[some] for a in (flip, r0, rn, c0, cn, rows, cols, d))
+    cost = np.where((d <= gate) | (d == np.inf), d, FAR) if gate_first else d
+    got = assign_many(cost, rn, _prices(x, y, r0, rn, c0, cn, cols))
     b, r = np.nonzero(got >= 0)
     c = got[b, r]
     dist = d[b, r, c]
@@ -54,29 +69,27 @@ def match_people(gt: DataFrame, pred: DataFrame, max_dist: float = 2.0, roles=PL
     exchange by (match, frame); tasks then stream sorted Arrow batches, a frame at a time."""
     code = (F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")) * 8
             + F.array_position(F.array(*[F.lit(t) for t in TEAM_NAMES]), F.col("team"))).cast("int")
-    cols = [F.col(c) for c in ("match_id", "frame_idx", "track_id")] + [
+    cols = [F.col(c).cast(t).alias(c) for c, t in (("match_id", "string"), ("frame_idx", "int"), ("track_id", "int"))] + [
         code.alias("code"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
     both = (_located(gt, roles).select(*cols, F.lit(0).alias("side"))
             .unionByName(_located(pred, roles).select(*cols, F.lit(1).alias("side"))))
 
     def solve(batches):
-        for df, cuts in whole_groups(batches, FRAME):
-            x, y = df["x"].to_numpy(), df["y"].to_numpy()
-            preds = np.append(0, df["side"].to_numpy().cumsum())
+        for table, cuts in whole_tables(batches, FRAME):
+            x, y, side = (table.column(c).to_numpy() for c in ("x", "y", "side"))
+            preds = np.append(0, side.cumsum())
             start, end = cuts[:-1], cuts[1:]
             mid = end - (preds[end] - preds[start])
-            both_there = (start < mid) & (mid < end)
-            if not both_there.any():
-                continue
-            g_rows, p_rows, dist = _pair_frames(x, y, start[both_there], mid[both_there], end[both_there],
-                                                max_dist, gate_first)
-            pick = lambda c, r: df[c].to_numpy()[r]
-            yield pd.DataFrame({
-                "match_id": pick("match_id", g_rows), "frame_idx": pick("frame_idx", g_rows),
-                "gt_track": pick("track_id", g_rows), "pred_track": pick("track_id", p_rows),
-                "g": pick("code", g_rows), "p": pick("code", p_rows), "dist": dist})
-    m = (both.repartition(*FRAME).sortWithinPartitions(*FRAME, "side", "track_id", "x", "y")
-         .mapInPandas(solve, PAIRS))
+            both_there = np.flatnonzero((start < mid) & (mid < end))
+            for k in range(0, len(both_there), FRAMES_AT_ONCE):
+                f = both_there[k:k + FRAMES_AT_ONCE]
+                g_rows, p_rows, dist = _pair_frames(x, y, start[f], mid[f], end[f], max_dist, gate_first)
+                g, p = table.take(pa.array(g_rows)), table.take(pa.array(p_rows))
+                yield from pa.table([*(g.column(c) for c in ("match_id", "frame_idx", "track_id")), p.column("track_id"), g.column("code"),
+                                     p.column("code"), pa.array(dist)], ["match_id", "frame_idx", "gt_track", "pred_track", "g", "p", "dist"]).to_batches()
+    # One number tells frames apart; the sort compares little else.
+    m = (both.repartition(*FRAME).sortWithinPartitions(F.xxhash64(*FRAME), *FRAME, "side", "track_id", "x", "y")
+         .mapInArrow(solve, PAIRS))
     name = lambda values, k: F.try_element_at(F.array(*[F.lit(v) for v in values]), k.cast("int"))
     role, team = (lambda c: name(ROLES, F.expr(f"{c} div 8"))), (lambda c: name(TEAM_NAMES, F.col(c) % 8))
     return m.select("match_id", "frame_idx", "gt_track", "pred_track", role("g").alias("gt_role"), role("p").alias("pred_role"),

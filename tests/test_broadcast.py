@@ -94,3 +94,15 @@ def test_sides_do_not_exchange_the_tracks(spark):
     t = derive.as_tracks(derive.people(spark, SF))
     plan = S.shape_error(t, t, S.team_sides(t))._jdf.queryExecution().executedPlan().toString()
     assert "team" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+
+
+def test_moved_people_compile(spark):
+    """Finite places named each formula three times: the method was too large for the JVM to compile."""
+    from matchspark.operators import matching as M
+    from matchspark.plans import accuracy as A
+    assert largest_method(spark, lambda: M.match_people(A.gt(spark, SF), A.moved(spark, SF))) < 8000
+
+
+def test_finite(spark):
+    df = spark.createDataFrame([(1.0,), (-2.5,), (None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "x double")
+    assert [r.f for r in df.select(finite(F.col("x")).alias("f")).collect()] == [True, True, False, False, False, False]

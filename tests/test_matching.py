@@ -117,3 +117,44 @@ def test_nearest_readings_by_cells(spark):
     for (f, _), v in want.items():
         best[f] = min(best.get(f, v), v)
     assert {r.frame_idx: r.ts for r in M.asof_nearest(frames, seen).collect()} == {f: ts for f, (_, ts) in best.items()}
+
+
+def test_prices_to_start_from_do_not_change_the_optimum():
+    rng = np.random.default_rng(3)
+    cost = np.round(rng.random((60, 5, 5)) * 4, 1)
+    got = assign_many(cost, np.full(60, 5), rng.normal(0, 3, (60, 5)))
+    for c, g in zip(cost, got):
+        assert sorted(g) == list(range(5)) and abs(c[np.arange(5), g].sum() - brute(c)) < 1e-9
+
+
+@pytest.mark.parametrize("gate_first", [False, True])
+def test_frames_moved_alike_need_no_search(monkeypatch, gate_first):
+    """A whole cast moved by 4 m once took as many searches as people; one moved out of reach has no pair and needs none at all."""
+    rng = np.random.default_rng(4)
+    g = rng.uniform(-40, 40, (50, 22, 2))
+    seen, solve = [], M.assign_many
+    monkeypatch.setattr(M, "assign_many", lambda cost, rows, prices: seen.append((cost, prices)) or solve(cost, rows, prices))
+    for shift, n in ((4.0, 50), (300.0, 0)):
+        xy = np.concatenate([g, g + [shift, 0.5]], axis=1).reshape(-1, 2)
+        start = np.arange(50) * 44
+        a, b, d = M._pair_frames(xy[:, 0], xy[:, 1], start, start + 22, start + 44, 5.0, gate_first)
+        cost, prices = seen.pop()
+        assert len(cost) == n and len(a) == 22 * n and (b - a == 22).all()
+        assert ((cost - prices[:, None]).argmin(axis=2) == np.arange(22)).all()
+
+
+def test_whole_tables_keep_a_group_over_many_batches():
+    import pyarrow as pa
+    from matchspark.functions.batches import whole_tables
+    rows = pa.table({"k": ["a"] * 7 + ["b"] + [None] * 2 + ["c"] * 4, "v": list(range(14))})
+    for size, least in ((1, 1), (2, 3), (3, 1), (5, 6), (14, 100)):
+        got = [(t.column("k")[i].as_py(), t.column("v").to_pylist()[i:j]) for t, cuts in whole_tables(iter(rows.to_batches(size)), ["k"], least)
+               for i, j in zip(cuts[:-1], cuts[1:])]
+        assert got == [("a", list(range(7))), ("b", [7]), (None, [8, 9]), ("c", [10, 11, 12, 13])]
+
+
+def test_distances_are_written_once(spark):
+    """Three aggregates each found the pairs anew."""
+    p = spark.createDataFrame([("m", 0, 1, "player", "home", 0.0, 0.0)], "match_id string, frame_idx int, track_id int, role string, team string, x double, y double")
+    plan = position_summary(match_people_gated(p, p), p)._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan and position_summary(match_people_gated(p, p), p).first().recall_2m == 1.0
