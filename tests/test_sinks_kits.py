@@ -55,3 +55,20 @@ def test_match_files_are_few_and_found_by_path(spark, tmp_path):
     part = next((tmp_path / "one").glob("part-*.csv"))
     (tmp_path / "m-7.csv").write_bytes(part.read_bytes())
     assert {r.match_id for r in read_mot(spark, f"{tmp_path}/m-7.csv").select("match_id").collect()} == {"m-7"}
+
+
+def test_only_the_end_of_a_path_is_searched_for_its_match():
+    """A slash that the suffix rules out was counted as a folder: the pattern then started at every letter of the folder above."""
+    from matchspark.plans.files import PART
+    from matchspark.sources.feeds import match_of_path
+    assert "-2)" in str(match_of_path(PART)).replace(" ", "").replace("/,", ",") and "-1)" in str(match_of_path(r"\.csv")).replace(" ", "")
+
+
+def test_calibrations_are_dealt_by_match_for_the_write(spark, tmp_path):
+    """Each task wrote a file for every match."""
+    from matchspark.sources.documents import write_calibration
+    h = "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D) as h"
+    c = spark.range(40).repartition(8).selectExpr("cast(id % 3 as string) as match_id", h, "array(1920, 1080) as image_size",
+        "map('a', array(1D, 2D)) as named_points", "false as use_tps", "'' as notes")
+    write_calibration(c, str(tmp_path / "c"))
+    assert len(list((tmp_path / "c").rglob("*.json"))) == 3
